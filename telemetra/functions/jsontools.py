@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(value) -> str:
@@ -49,17 +50,17 @@ def _each_distinct(texts: pd.Series, fn) -> pd.Series:
     return texts.map({t: fn(t) for t in texts.dropna().unique()})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_hash(texts: pd.Series) -> pd.Series:
     return _each_distinct(texts, lambda t: digest(_load(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shape_hash(texts: pd.Series) -> pd.Series:
     return _each_distinct(texts, lambda t: digest(shape(_load(t))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def shape_json(texts: pd.Series) -> pd.Series:
     return _each_distinct(texts, lambda t: canonical(shape(_load(t))))
 

@@ -47,7 +47,8 @@ def _shares(value: float, cover: np.ndarray) -> np.ndarray:
 def model_nodes(spark: SparkSession, path: str) -> DataFrame:
     """Node table of a saved boosted-tree model: tree, weight, id, children, split, cover, prediction."""
     data = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
-    meta = spark.read.parquet(f"{path}/treesMetadata").select("treeID", "weights")
+    # written as (tree, its metadata, its weight); the column names differ between Spark versions
+    meta = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "metadata", "weights").drop("metadata")
     return data.join(meta, "treeID").select(
         F.col("treeID").alias("tree"),
         F.col("weights").alias("weight"),
@@ -56,7 +57,7 @@ def model_nodes(spark: SparkSession, path: str) -> DataFrame:
         F.col("rightChild").alias("right"),
         F.col("split.featureIndex").alias("feature"),
         F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
-        F.col("rawCount").cast("double").alias("cover"),
+        F.col("impurityStats")[0].alias("cover"),
         "prediction",
     )
 

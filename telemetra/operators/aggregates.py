@@ -7,24 +7,33 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.functions.scalars import clamp, is_server_error, minute
+from telemetra.functions.scalars import clamp, is_server_error
 
 DEFAULT_HOURS, MAX_HOURS = 24, 168
 
 
-def in_window(df: DataFrame, org_id: str, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
+def in_window(df: DataFrame, org_id: str | None, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
+    """Rows of the last hours (1 to 168, default 24) of one tenant, or of all tenants for ``None``."""
     hours = clamp(hours, DEFAULT_HOURS, 1, MAX_HOURS)
     since = F.lit(as_of - dt.timedelta(hours=hours)).cast(df.schema["time"].dataType)
-    return df.filter((F.col("org_id") == org_id) & (F.col("time") >= since))
+    rows = df.filter(F.col("time") >= since)
+    return rows if org_id is None else rows.filter(F.col("org_id") == org_id)
 
 
-def _latency_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per (keys, latency). A hot key shrinks to its distinct latencies before any exact percentile."""
-    errors = F.sum(is_server_error().cast("int"))
-    return df.groupBy(*keys, "latency_ms").agg(F.count(F.lit(1)).alias("n"), errors.alias("errors"))
+def _tenant(org_id: str | None) -> list[str]:
+    """Without a tenant the statistics are kept per tenant, all in one pass."""
+    return ["org_id"] if org_id is None else []
 
 
-def _summary(counts: DataFrame, keys: list[str]) -> DataFrame:
+def _summary(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, server-error rate and exact p95 per key.
+
+    Rows are first counted per (key, latency), so a hot key shrinks to its distinct latencies before the
+    exact percentile is taken.
+    """
+    counts = df.groupBy(*keys, "latency_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(is_server_error().cast("int")).alias("errors")
+    )
     return counts.groupBy(*keys).agg(
         F.sum("n").alias("request_count"),
         (F.sum("errors").cast("double") / F.sum("n")).alias("error_rate"),
@@ -32,18 +41,17 @@ def _summary(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def endpoint_stats(df: DataFrame, org_id: str, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
-    """Count, server-error rate and exact p95 by (endpoint, method), busiest first."""
-    keys = ["endpoint", "method"]
-    return _summary(_latency_counts(in_window(df, org_id, as_of, hours), keys), keys).orderBy(
-        F.desc("request_count"), *keys
-    )
+def endpoint_stats(df: DataFrame, org_id: str | None, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
+    """Statistics by (endpoint, method), busiest first."""
+    keys = [*_tenant(org_id), "endpoint", "method"]
+    return _summary(in_window(df, org_id, as_of, hours), keys).orderBy(F.desc("request_count"), *keys)
 
 
-def tenant_summary(df: DataFrame, org_id: str, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
-    """One row for the tenant; zeros when it has no events in the window."""
-    row = _summary(_latency_counts(in_window(df, org_id, as_of, hours), []), [])
-    return row.select(
+def tenant_summary(df: DataFrame, org_id: str | None, as_of: dt.datetime, hours: int | None = None) -> DataFrame:
+    """One row for the tenant, zeros when it has no events in the window."""
+    keys = _tenant(org_id)
+    return _summary(in_window(df, org_id, as_of, hours), keys).select(
+        *keys,
         F.coalesce("request_count", F.lit(0)).cast("bigint").alias("request_count"),
         F.coalesce("error_rate", F.lit(0.0)).alias("error_rate"),
         F.coalesce("p95_latency", F.lit(0.0)).alias("p95_latency"),
@@ -52,7 +60,8 @@ def tenant_summary(df: DataFrame, org_id: str, as_of: dt.datetime, hours: int |
 
 def kpi_strip(stats: DataFrame) -> DataFrame:
     """Total requests and the plain (unweighted) means over endpoints."""
-    return stats.agg(
+    keys = [c for c in ("org_id",) if c in stats.columns]
+    return stats.groupBy(*keys).agg(
         F.coalesce(F.sum("request_count"), F.lit(0)).cast("bigint").alias("total_requests"),
         F.coalesce(F.avg("error_rate"), F.lit(0.0)).alias("avg_error_rate"),
         F.coalesce(F.avg("p95_latency"), F.lit(0.0)).alias("avg_p95_latency"),
@@ -87,7 +96,3 @@ def hourly_rollup(df: DataFrame) -> DataFrame:
             F.col("n").alias("request_count"),
         )
     )
-
-
-def minute_of(df: DataFrame):
-    return minute("time", df.schema["time"].dataType)

@@ -31,10 +31,11 @@ def _field(text: Column, name: str) -> Column:
 def response_schema(operation: Column) -> Column:
     """JSON text of the response schema: best code first, JSON media first, else the first object media."""
     entries = F.map_entries(_field(operation, "responses"))
-    ordered = F.concat(
-        *[F.filter(entries, lambda e, c=c: e["key"] == c) for c in CODES],
-        F.filter(entries, lambda e: ~e["key"].isin(CODES)),
-    )
+
+    def with_code(code: str) -> Column:
+        return F.filter(entries, lambda e: e["key"] == code)
+
+    ordered = F.concat(*map(with_code, CODES), F.filter(entries, lambda e: ~e["key"].isin(CODES)))
 
     def of(entry: Column) -> Column:
         content = _field(F.when(_is_object(entry["value"]), entry["value"]), "content")

@@ -71,13 +71,20 @@ def merge_predictions(old: DataFrame | None, new: DataFrame, seq: str = "seq") -
     return merged.select(*PREDICTION_KEY, "risk_score", "_last.*")
 
 
-def latest_predictions(df: DataFrame, org_id: str, limit: int | None = None) -> DataFrame:
-    """Newest rows of a tenant, 50 by default and at most 100. Ties follow the endpoint key."""
+def latest_predictions(df: DataFrame, org_id: str | None, limit: int | None = None) -> DataFrame:
+    """Newest rows of a tenant, 50 by default and at most 100; for ``None`` the newest rows of every tenant.
+
+    Ties follow the endpoint key.
+    """
     page = clamp(limit, DEFAULT_PAGE, 1, MAX_PAGE)
     columns = ["time", "api_id", "endpoint", "method", "risk_score", "prediction", "confidence"]
     columns += [c for c in ("top_features",) if c in df.columns]
-    rows = df.filter(F.col("org_id") == org_id).select(*columns)
-    return rows.orderBy(F.desc("time"), "api_id", "endpoint", "method").limit(page)
+    order = [F.desc("time"), "api_id", "endpoint", "method"]
+    if org_id is not None:
+        return df.filter(F.col("org_id") == org_id).select(*columns).orderBy(*order).limit(page)
+    newest = Window.partitionBy("org_id").orderBy(*order)
+    rows = df.select("org_id", *columns).withColumn("_rn", F.row_number().over(newest))
+    return rows.filter(F.col("_rn") <= page).drop("_rn")
 
 
 def with_band(df: DataFrame, risk: str = "risk_score") -> DataFrame:

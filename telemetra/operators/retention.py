@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.session import scratch_dir
+from telemetra.session import remove, scratch_dir
 
 RETENTION_DAYS = 90
 JOB_RETENTION_DAYS = 30
@@ -47,10 +47,8 @@ def _rewrite_dates(spark: SparkSession, path: str, keep: DataFrame, dates: list[
 
 
 def _drop_partitions(spark: SparkSession, path: str, dates: list[dt.date]) -> None:
-    jvm = spark.sparkContext._jvm
     for date in dates:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={date.isoformat()}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, f"{path}/date={date.isoformat()}")
 
 
 def delete_api(spark: SparkSession, path: str, org_id: str, api_id: str) -> int:

@@ -192,9 +192,12 @@ def _entropy(cells: DataFrame) -> DataFrame:
     )
 
 
-def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """One row per tick with everything that needs no earlier ticks."""
-    cells = materialize(_cells(events, slot_seconds), "cells")
+def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS, cells_path: str | None = None) -> DataFrame:
+    """One row per tick with everything that needs no earlier ticks.
+
+    The cells go to ``cells_path``, or to a new place in the scratch folder.
+    """
+    cells = materialize(_cells(events, slot_seconds), "cells", cells_path)
     at = [*KEY, "minute"]
     ticks = (
         _totals(cells)

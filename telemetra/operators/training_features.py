@@ -21,8 +21,13 @@ EWM_ALPHA = 0.3
 EWM_ROWS = 180
 
 
-def minute_frame(events: DataFrame, key: Sequence[str] = ("org_id", "endpoint")) -> DataFrame:
-    """Minute rows of a series from events: percentiles, variance, error rate, traffic; label = any server error."""
+def minute_frame(
+    events: DataFrame, key: Sequence[str] = ("org_id", "endpoint"), label_above: float = 0.0
+) -> DataFrame:
+    """Minute rows of a series from events: percentiles, variance, error rate, traffic.
+
+    ``label`` marks an error rate above ``label_above``.
+    """
     key = list(key)
     at = [*key, "minute"]
     dtype = events.schema["time"].dataType
@@ -52,7 +57,7 @@ def minute_frame(events: DataFrame, key: Sequence[str] = ("org_id", "endpoint"))
             ((n * ss - s * s).cast("double") / (n * n)).alias("latency_variance"),
             (F.col("e") / n).alias("error_rate"),
             (n / F.lit(60.0)).alias("traffic_rps"),
-            F.when(F.col("e") > 0, 1).otherwise(0).alias("label"),
+            F.when(F.col("e") / n > label_above, 1).otherwise(0).alias("label"),
         )
     )
 
