@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_NODES = 1_000_000
 
@@ -56,8 +57,8 @@ def model_nodes(spark: SparkSession, path: str) -> DataFrame:
         F.col("leftChild").alias("left"),
         F.col("rightChild").alias("right"),
         F.col("split.featureIndex").alias("feature"),
-        F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"),
-        F.col("impurityStats")[0].alias("cover"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        F.get("impurityStats", F.lit(0)).alias("cover"),
         "prediction",
     )
 
@@ -114,5 +115,5 @@ def with_contributions(df: DataFrame, model_path: str, features: list[str]) -> D
             values = contributions(frame[features].to_numpy(dtype=float), leaves)
             yield frame.assign(contributions=list(values), base_score=base)
 
-    schema = df.schema.add("contributions", "array<double>").add("base_score", "double")
+    schema = T.StructType([*df.schema.fields, T.StructField("contributions", T.ArrayType(T.DoubleType())), T.StructField("base_score", T.DoubleType())])
     return df.mapInPandas(explain, schema)

@@ -351,6 +351,9 @@ def oracle_sql() -> dict[str, str]:
           {R('greatest(risk_score, 1 - risk_score)', 'confidence')}, {R('error_rate_ewm', 'stored_ewm')}, 25 AS stored_values,
           '1.0' AS model_version, '2.0' AS feature_schema_version, is_warmed_up FROM s"""
 
+    sql["stream_features"] = sql["feature_vector"]
+    sql["stream_live"] = f"WITH {TEL}, {state.split('HAVING')[0]}) SELECT {shown} FROM state"
+
     # --- predictions
     b = "round(risk_score * 0.5::double + 0.2::double, 9)"
     sql["predictions_upsert"] = f"""WITH {TEL}, {PRED}, n AS (SELECT *, {b} AS b FROM pred)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ from telemetra.operators import (
 from telemetra.schemas import ENDPOINT_KEY, FEATURES, TOP_FEATURES
 from telemetra.session import materialize, scratch_dir
 from telemetra.sources import carrier, envelope
+from telemetra.streaming import run
 
 AS_OF = carrier.AS_OF
 SERIES = ["org_id", "endpoint"]
@@ -622,7 +624,7 @@ def gbt_scores(spark, sf):
 @query
 def tree_contributions(spark, sf):
     split, model, names = _model(spark, sf)
-    path = f"{scratch_dir(spark)}/trees-{id(model)}"
+    path = f"{scratch_dir(spark)}/trees-{uuid.uuid4().hex}"
     scoring.tree_model(model).write().overwrite().save(path)
     rows = split.withColumn("is_warmed_up", F.lit(True))
     scored = scoring.score(rows, model, names, path, explain_min_risk=0.5)
@@ -855,3 +857,57 @@ def retention_90_days(spark, sf):
 @query
 def purge_jobs(spark, sf):
     return retention.purge_jobs(_orders_as_jobs(spark, sf), dt.datetime(2000, 6, 1)).select("id", "status")
+
+
+# --- streams: run to the end of their input, answer with what they stored ----------------------------
+
+
+def _in_arrival_files(spark, sf, files: int = 2):
+    """The events as a stream that delivers several files one after the other."""
+    path = f"{scratch_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    t = carrier.telemetry(spark, sf).drop("props")
+    t.repartitionByRange(files, "seq").write.parquet(path)
+    return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_features(spark, sf):
+    """Feature rows of the last version of every tick, through both streaming jobs' state."""
+    store = run.Store(f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}")
+    ingest = (
+        _in_arrival_files(spark, sf)
+        .writeStream.foreachBatch(lambda batch, n: run.store_events(batch, store, n, late_after=None) and None)
+        .option("checkpointLocation", store.at("checkpoint/ingest"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    ingest.awaitTermination()
+    scoring_job = run.start_scoring(
+        run.read_ticks(spark, store, 100), store, store.at("checkpoint/scoring"), fixture_risk, trigger={"availableNow": True}
+    )
+    scoring_job.awaitTermination()
+    latest = spark.read.parquet(store.at("features"))
+    newest = latest.groupBy(*ENDPOINT_KEY, "minute").agg(F.max(F.struct("version", "batch")).alias("v"))
+    rows = latest.join(newest, [*ENDPOINT_KEY, "minute"]).filter(
+        (F.col("version") == F.col("v.version")) & (F.col("batch") == F.col("v.batch"))
+    )
+    names = [*FEATURES, "latency_mean", "latency_p95", "is_warmed_up"]
+    return rounded(rows.select(F.timestamp_micros("now_us").cast("timestamp_ntz").alias("time"), *ENDPOINT_KEY, *names))
+
+
+@query
+def stream_live(spark, sf):
+    """Live state after the whole stream, from the state store's running totals."""
+    store = run.Store(f"{scratch_dir(spark)}/live-{uuid.uuid4().hex}")
+    job = run.start_live(
+        _in_arrival_files(spark, sf), store, store.at("checkpoint"), trigger={"availableNow": True}
+    )
+    job.awaitTermination()
+    rows = spark.read.parquet(store.at("live")).drop("batch")
+    last = rows.groupBy(*ENDPOINT_KEY).agg(F.max_by(F.struct(*rows.columns), "requests").alias("s")).select("s.*")
+    return rounded(
+        last.select(
+            *ENDPOINT_KEY, "requests", "successes", "errors", "last_latency", "last_status",
+            F.timestamp_micros("last_seen_us").cast("timestamp_ntz").alias("last_seen"), "error_rate", "avg_latency",
+        )
+    )

@@ -16,15 +16,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from telemetra.functions.scalars import MINUTE_US, from_micros, minute_index
+from telemetra.functions.scalars import from_micros, minute_index
 from telemetra.operators import deadletters, timing, validation
+from telemetra.operators.live import DEFAULT_RETENTION
 from telemetra.operators.predictions import alerts, label_risk, prediction_rows, run_metrics
 from telemetra.operators.serving_features import base_features
 from telemetra.schemas import ALERT, ENDPOINT_KEY
 from telemetra.session import materialize, remove
 from telemetra.sources import envelope
 from telemetra.sources.tables import upsert_predictions, with_date
-from telemetra.streaming.state import BASE, TICK_SCHEMA, with_stream_history
+from telemetra.streaming.state import BASE, TICK_SCHEMA, start_stateful, stream_live, with_stream_history
 
 # Attempts and waits of a failing batch, and the alert message header.
 ATTEMPTS = 3
@@ -129,11 +130,14 @@ def start_ingest(
             ).withColumns({k: F.lit(v) for k, v in counters.items()})
             write_batch(row, store.at("metrics/ingest"), batch_id)
 
+        batch.persist()  # read by the valid and the invalid branch
         try:
             attempt(work)
         except Exception as exc:
             # the batch is set aside whole, as raw messages, and the stream goes on
             write_batch(deadletters.dlq_processing(batch, str(exc)[:500]), store.at("dlq_processing"), batch_id)
+        finally:
+            batch.unpersist()
 
     writer = messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
@@ -170,7 +174,24 @@ def start_scoring(
 
     features = with_stream_history(ticks)
     writer = features.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()
+    return start_stateful(ticks.sparkSession, writer.trigger(**(trigger or {"processingTime": "2 seconds"})))
+
+
+def start_live(
+    events: DataFrame,
+    store: Store,
+    checkpoint: str,
+    retention_minutes: int = DEFAULT_RETENTION,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Telemetry stream (with ``seq``) to live endpoint states; each batch holds the endpoints it touched."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, store.at("live"), batch_id)
+
+    writer = stream_live(events, retention_minutes).writeStream.outputMode("update").foreachBatch(on_batch)
+    writer = writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 seconds"}))
+    return start_stateful(events.sparkSession, writer)
 
 
 def alert_messages(rows: DataFrame) -> DataFrame:
@@ -190,7 +211,3 @@ def read_alerts(spark: SparkSession, store: Store) -> DataFrame:
     """The alert messages as a stream of rows."""
     schema = "topic string, schema string, value string, batch bigint"
     return parse_alerts(spark.readStream.schema(schema).parquet(store.at("alerts")))
-
-
-def minute_start(df: DataFrame) -> DataFrame:
-    return df.withColumn("minute_start", from_micros(F.col("minute") * MINUTE_US, "timestamp"))

@@ -10,15 +10,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from telemetra.operators.live import DEFAULT_RETENTION, FALLBACK_RETENTION, normalise_keys
 from telemetra.operators.serving_features import CAPACITY_RPS, EWM_ALPHA, HISTORY, WARMUP_EVENTS
 from telemetra.schemas import ENDPOINT_KEY, FEATURE_ALIASES, FEATURES
 
 KEY_SCHEMA = ", ".join(f"{k} string" for k in ENDPOINT_KEY)
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings a stateful query takes over when it starts. Without new data there is nothing to report, so no
+# empty batches are run (state with an expiry would otherwise ask for one after the other).
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 # What a snapshot keeps of a tick. Late events may revise the last half hour, so that much more is kept.
 SNAPSHOT = ["minute", "events", "p95_latency", "latency_variance", "error_rate", "traffic_rps", "schema_entropy"]
@@ -111,9 +117,20 @@ class HistoryProcessor(StatefulProcessor):
         pass
 
 
+def start_stateful(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a query under the state settings and puts the session's own back."""
+    before = {name: spark.conf.get(name, None) for name in STATE_CONF}
+    try:
+        for name, value in STATE_CONF.items():
+            spark.conf.set(name, value)
+        return writer.start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def with_stream_history(ticks: DataFrame) -> DataFrame:
     """Full feature rows from a stream of ticks (``batch`` orders their versions)."""
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return ticks.groupBy(*ENDPOINT_KEY).transformWithStateInPandas(
         HistoryProcessor(), outputStructType=FEATURE_SCHEMA, outputMode="Update", timeMode="None"
     )
@@ -164,7 +181,6 @@ class LiveProcessor(StatefulProcessor):
 
 def stream_live(events: DataFrame, retention_minutes: int = DEFAULT_RETENTION) -> DataFrame:
     """Updated live state of every endpoint a micro-batch touches. Needs ``seq``, the arrival number."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     slim = normalise_keys(events).selectExpr(
         *ENDPOINT_KEY,
         "cast(seq as bigint) as seq",
