@@ -27,7 +27,14 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "4")
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g"}
+        "bench",
+        f"local[{cpus}]",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "8g",
+            # the tables are small: let a few kilobytes keep their own task
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        },
     )
     spark.sparkContext.setLogLevel("OFF")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -138,20 +139,24 @@ def join_url(base, path) -> Column:
     return F.when(origin != "", F.concat(origin, full, rest))
 
 
-def _hex_ranges(nets: list[str]) -> list[tuple[str, str]]:
+def _hex_ranges(nets: list[str]) -> Column:
+    """Ranges as an array of (low, high) hex texts, which compare like the addresses."""
     out = []
     for text in nets:
         net = ipaddress.ip_network(text)
         digits = 8 if net.version == 4 else 32
-        out.append((format(int(net[0]), f"0{digits}x"), format(int(net[-1]), f"0{digits}x")))
-    return out
+        low, high = (F.lit(format(int(net[i]), f"0{digits}x")) for i in (0, -1))
+        out.append(F.struct(low.alias("low"), high.alias("high")))
+    return F.array(*out)
 
 
 def _within(hex_text: Column, nets: list[str]) -> Column:
-    hit = F.lit(False)
-    for low, high in _hex_ranges(nets):
-        hit = hit | hex_text.between(low, high)
-    return hit
+    return F.exists(_hex_ranges(nets), lambda r: hex_text.between(r["low"], r["high"]))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -160,43 +165,55 @@ _V4 = f"^{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$"
 
 def v4_hex(h: Column) -> Column:
     """Eight hex digits of a dotted address, or null."""
-    octets = [F.lpad(F.lower(F.hex(F.regexp_extract(h, _V4, i).try_cast("int"))), 2, "0") for i in range(1, 5)]
-    return F.when(h.rlike(_V4), F.concat(*octets))
+    octets = F.transform(F.split(h, "[.]"), lambda o: F.lpad(F.lower(F.hex(o.try_cast("int"))), 2, "0"))
+    return F.when(h.rlike(_V4), F.array_join(octets, ""))
+
+
+def _v6_digits(text: Column) -> Column:
+    """Digits of an address in colon form, filling in one ``::``."""
+
+    def fields(side: Column) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+
+    def filled(sides: Column) -> Column:
+        short = F.size(sides) == 2
+        left, right = fields(F.get(sides, F.lit(0))), fields(F.get(sides, F.lit(1)))
+        missing = 8 - F.size(left) - F.size(right)
+        zeros = F.array_repeat(F.lit("0"), F.when(short, F.greatest(missing, F.lit(0))).otherwise(0))
+        fits = F.when(short, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
+        return F.when(fits, F.concat(left, zeros, right))
+
+    shape = text.rlike("^[0-9a-f:]+$") & ~text.rlike(":::|^:[^:]|[^:]:$|[0-9a-f]{5}")
+    groups = F.transform(let(F.split(text, "::"), filled), lambda g: F.lpad(g, 4, "0"))
+    return F.when(shape, F.array_join(groups, ""))
 
 
 def v6_hex(h: Column) -> Column:
     """Thirty-two hex digits of an IPv6 address (also with a dotted tail), or null."""
     tail = v4_hex(F.regexp_extract(h, "([0-9.]+)$", 1))
-    dotted = F.contains(h, F.lit("."))
-    groups = F.concat(
-        F.regexp_replace(h, "[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)
-    )
-    text = F.when(dotted, groups).otherwise(h)
-    sides = F.split(text, "::")
-    short = F.size(sides) == 2
+    plain = F.when(
+        F.contains(h, F.lit(".")),
+        let(tail, lambda t: F.concat(F.regexp_replace(h, "[0-9.]+$", ""), F.substring(t, 1, 4), F.lit(":"), F.substring(t, 5, 4))),
+    ).otherwise(h)
+    return let(plain, _v6_digits)
 
-    def fields(side: Column) -> Column:
-        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
 
-    left, right = fields(F.get(sides, F.lit(0))), F.when(short, fields(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    zeros = F.array_repeat(F.lit("0"), F.when(short, F.greatest(missing, F.lit(0))).otherwise(0))
-    full = F.concat(left, zeros, right)
-    shape = text.rlike("^[0-9a-f:]+$") & ~text.rlike(":::") & ~text.rlike("^:[^:]") & ~text.rlike("[^:]:$")
-    sized = (F.size(full) == 8) & (F.size(sides) <= 2) & F.when(short, missing >= 1).otherwise(True)
-    narrow = F.forall(full, lambda g: F.length(g) <= 4)
-    return F.when(shape & sized & narrow, F.concat_ws("", F.transform(full, lambda g: F.lpad(g, 4, "0"))))
+def _blocked_v4(digits: Column) -> Column:
+    return _within(digits, BLOCKED_V4) & ~_within(digits, PUBLIC_V4)
+
+
+def _blocked_v6(digits: Column) -> Column:
+    """An IPv4-mapped address is judged by the address it carries."""
+    mapped = F.startswith(digits, F.lit("0" * 20 + "ffff"))
+    own = _within(digits, BLOCKED_V6) & ~_within(digits, PUBLIC_V6)
+    return F.when(mapped, let(F.substring(digits, 25, 8), _blocked_v4)).otherwise(own)
 
 
 def literal_ip_verdict(h: Column) -> Column:
     """"public", "blocked", or null when the host is not a literal address."""
     h = F.lower(h)
-    v4 = v4_hex(h)
-    # an IPv4-mapped address is judged by the address it carries
-    v6 = F.when(F.contains(h, F.lit(":")), v6_hex(F.regexp_replace(h, "%.*$", "")))
-    mapped = F.startswith(v6, F.lit("0" * 20 + "ffff"))
-    as_v4 = F.coalesce(v4, F.when(mapped, F.substring(v6, 25, 8)))
-    blocked = F.when(as_v4.isNotNull(), _within(as_v4, BLOCKED_V4) & ~_within(as_v4, PUBLIC_V4)).when(
-        v6.isNotNull(), _within(v6, BLOCKED_V6) & ~_within(v6, PUBLIC_V6)
-    )
-    return F.when(blocked, "blocked").when(~blocked, "public")
+    # a host with a colon can only be IPv6; the other branch is never evaluated for it
+    v6 = let(v6_hex(F.regexp_replace(h, "%.*$", "")), lambda d: F.when(d.isNotNull(), _blocked_v6(d)))
+    v4 = let(v4_hex(h), lambda d: F.when(d.isNotNull(), _blocked_v4(d)))
+    blocked = F.when(F.contains(h, F.lit(":")), v6).otherwise(v4)
+    return let(blocked, lambda b: F.when(b, "blocked").when(~b, "public"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.jsontools import canonical_hash, shape_hash
-from telemetra.functions.urls import normalise_path
+from telemetra.functions.urls import let, normalise_path
 
 # Operations of a path, order of preferred response codes, preferred media type.
 METHODS = ["get", "post", "put", "patch", "delete", "head", "options"]
@@ -25,28 +25,35 @@ def _is_object(text: Column) -> Column:
 def _field(text: Column, name: str) -> Column:
     """An object field as a map of JSON texts, or null."""
     inner = F.from_json(text, f"{name} string")[name]
-    return F.when(_is_object(inner), F.from_json(inner, _TEXTS))
+    return let(inner, lambda t: F.when(_is_object(t), F.from_json(t, _TEXTS)))
 
 
-def response_schema(operation: Column) -> Column:
-    """JSON text of the response schema: best code first, JSON media first, else the first object media."""
-    entries = F.map_entries(_field(operation, "responses"))
-
-    def with_code(code: str) -> Column:
-        return F.filter(entries, lambda e: e["key"] == code)
+def _schema_of(response: Column) -> Column:
+    """Schema text of one response: its JSON media, else its first object media."""
 
-    ordered = F.concat(*map(with_code, CODES), F.filter(entries, lambda e: ~e["key"].isin(CODES)))
+    def of_media(media: Column) -> Column:
+        return let(F.from_json(media, "schema string")["schema"], lambda t: F.when(_is_object(t), t))
 
-    def of(entry: Column) -> Column:
-        content = _field(F.when(_is_object(entry["value"]), entry["value"]), "content")
+    def of_content(content: Column) -> Column:
         named = F.try_element_at(content, F.lit(MEDIA))
-        objects = F.filter(F.map_values(content), _is_object)
-        media = F.when(_is_object(named), named).otherwise(F.get(objects, F.lit(0)))
-        schema = F.from_json(media, "schema string")["schema"]
-        return F.when(_is_object(schema), schema)
+        first = F.get(F.filter(F.map_values(content), _is_object), F.lit(0))
+        return of_media(F.when(_is_object(named), named).otherwise(first))
+
+    return F.when(_is_object(response), let(_field(response, "content"), of_content))
+
+
+def response_schema(operation: Column) -> Column:
+    """JSON text of the response schema: the preferred codes first, then the others as they stand."""
 
-    found = F.filter(F.transform(ordered, of), lambda s: s.isNotNull())
-    return F.get(found, F.lit(0))
+    def first_schema(entries: Column) -> Column:
+        def with_code(code: str) -> Column:
+            return F.filter(entries, lambda e: e["key"] == code)
+
+        ordered = F.concat(*map(with_code, CODES), F.filter(entries, lambda e: ~e["key"].isin(CODES)))
+        found = F.filter(F.transform(ordered, lambda e: _schema_of(e["value"])), lambda s: s.isNotNull())
+        return F.get(found, F.lit(0))
+
+    return let(F.map_entries(_field(operation, "responses")), first_schema)
 
 
 def spec_operations(specs: DataFrame) -> DataFrame:
@@ -60,13 +67,13 @@ def spec_operations(specs: DataFrame) -> DataFrame:
     methods = paths.select(
         "spec_id", "org_id", "api_id", "path", F.posexplode(F.from_json("item", _TEXTS)).alias("pos", "verb", "operation")
     ).filter(F.lower("verb").isin(METHODS))
-    schema = F.when(_is_object(F.col("operation")), response_schema(F.col("operation")))
+    found = F.when(_is_object(F.col("operation")), response_schema(F.col("operation")))
+    # an empty schema object promises nothing
+    schema = let(found, lambda t: F.when(~t.rlike("^\\s*\\{\\s*\\}\\s*$"), t))
     ops = methods.select(
         "spec_id", "org_id", "api_id", "path", "pos", F.upper("verb").alias("method"), schema.alias("schema")
     )
-    # an empty schema object promises nothing
-    text = F.when(~F.col("schema").rlike("^\\s*\\{\\s*\\}\\s*$"), F.col("schema"))
-    return ops.withColumn("schema", text).withColumn("schema_hash", canonical_hash("schema"))
+    return ops.withColumn("schema_hash", canonical_hash("schema"))
 
 
 def new_endpoints(ops: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -88,20 +95,14 @@ def sync_contracts(ops: DataFrame, endpoints: DataFrame, contracts: DataFrame, a
     at = ["org_id", "endpoint_id"]
     synced = synced_operations(ops, endpoints).withColumnRenamed("schema_hash", "new_hash")
     newest = Window.partitionBy(*at).orderBy(F.desc("created_at"), F.desc("schema_hash"))
-    kept = (
-        contracts.select(*at, "schema_hash", "created_at")
-        .withColumn("_rn", F.row_number().over(newest))
-        .join(synced, at, "left")
-        .select(
-            *at,
-            F.when(F.col("_rn") == 1, F.coalesce("new_hash", "schema_hash")).otherwise(F.col("schema_hash")).alias("schema_hash"),
-            "created_at",
-        )
-    )
-    added = synced.join(contracts.select(*at), at, "left_anti").select(
-        *at, F.col("new_hash").alias("schema_hash"), F.lit(as_of).cast(contracts.schema["created_at"].dataType).alias("created_at")
+    stored = contracts.select(*at, "schema_hash", "created_at").withColumn("_rn", F.row_number().over(newest))
+    renewed = F.coalesce(F.col("_rn"), F.lit(1)) == 1
+    now = F.lit(as_of).cast(contracts.schema["created_at"].dataType)
+    return stored.join(synced, at, "full_outer").select(
+        *at,
+        F.when(renewed, F.coalesce("new_hash", "schema_hash")).otherwise(F.col("schema_hash")).alias("schema_hash"),
+        F.when(F.col("_rn").isNull(), now).otherwise(F.col("created_at")).alias("created_at"),
     )
-    return kept.unionByName(added)
 
 
 def _segments(path: Column) -> Column:

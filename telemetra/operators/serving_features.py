@@ -143,19 +143,15 @@ def _latency(cells: DataFrame) -> DataFrame:
         *KEY, (F.col("minute") + 1).alias("minute"), "latency", F.col("n1").alias("w")
     )
     hist = now.unionAll(nxt).groupBy(*KEY, "minute", "latency").agg(F.sum("w").alias("w"))
-    x = F.col("latency").cast("decimal(20,0)")
+    x = F.col("latency").cast("double")
     moments = hist.groupBy(*KEY, "minute").agg(
         F.percentile("latency", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)), F.col("w")).alias("p"),
-        F.sum("w").alias("w"),
+        F.sum("w").cast("double").alias("w"),
         F.sum(F.col("w") * x).alias("sx"),
         F.sum(F.col("w") * x * x).alias("sxx"),
     )
-    mean = F.col("sx").cast("double") / F.col("w")
-    # shifted by the mean's integer part the sums stay exact integers and the difference stays small
-    centre = F.floor(mean).cast("decimal(20,0)")
-    spread = F.col("sxx") - 2 * centre * F.col("sx") + centre * centre * F.col("w")
-    off = (F.col("sx") - centre * F.col("w")).cast("double") / F.col("w")
-    variance = F.greatest(F.lit(0.0), spread.cast("double") / F.col("w") - off * off)
+    # sums of whole numbers, exact below 2^53; divided once
+    variance = F.greatest(F.lit(0.0), F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx")) / (F.col("w") * F.col("w"))
     return moments.select(
         *KEY,
         "minute",
@@ -292,23 +288,28 @@ def with_history(ticks: DataFrame, history: int = HISTORY) -> DataFrame:
         z.alias("latency_p95_zscore"),
         F.coalesce(F.max("p95_latency").over(last(15)), c("p95_latency")).alias("p95_latency_roll_max_15"),
     )
+    size = F.size("errors")
     ewm = F.aggregate(
         F.slice("errors", 2, history),
         F.get("errors", F.lit(0)),
         lambda acc, x: F.lit(EWM_ALPHA) * x + F.lit(1.0 - EWM_ALPHA) * acc,
     )
-    size = F.size("errors")
     at = F.lit(0.8) * (size - 1)
-    low, high = F.get("sorted", F.floor(at).cast("int")), F.get("sorted", F.ceil(at).cast("int"))
-    cut = low + (high - low) * (at - F.floor(at))
-    recent = F.slice("errors", F.greatest(size - 9, F.lit(1)), 10)
-    streak = F.when(size >= 3, F.size(F.filter(recent, lambda x: x > F.col("cut")))).otherwise(0)
-    return (
-        t.withColumn("error_rate_ewm", F.coalesce(F.when(size > 0, ewm), F.lit(0.0)))
-        .withColumn("sorted", F.array_sort("errors"))
-        .withColumn("cut", F.when(size > 0, cut))
-        .withColumn("error_high_streak", streak.cast("double"))
-        .drop("errors", "sorted", "cut")
+
+    def quantile(ordered: Column) -> Column:
+        low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    def above_quantile(ordered: Column) -> Column:
+        recent = F.slice("errors", F.greatest(size - 9, F.lit(1)), 10)
+        return F.size(F.filter(recent, lambda x: x > quantile(ordered))).cast("double")
+
+    # a one-element array binds the sorted history, so that it is sorted once
+    streak = F.get(F.transform(F.array(F.array_sort("errors")), above_quantile), F.lit(0))
+    return t.select(
+        *[name for name in t.columns if name != "errors"],
+        F.coalesce(F.when(size > 0, ewm), F.lit(0.0)).alias("error_rate_ewm"),
+        F.when(size >= 3, streak).otherwise(0.0).alias("error_high_streak"),
     )
 
 

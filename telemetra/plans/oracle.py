@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from telemetra.sources.carrier import PATHS, SCHEMA_ITEM, SCHEMA_LIST
 
+# Digits kept of a double: engines may differ in the last bits. One feature is tiny and keeps more.
+DIGITS = {"*": 6, "traffic_utilization_proxy": 9}
+
 K = "org_id, api_id, endpoint, method"
 
 
-def R(expr: str, alias: str | None = None, digits: int = 9) -> str:
+def R(expr: str, alias: str | None = None, digits: int | None = None) -> str:
+    digits = digits or DIGITS.get(alias or expr, DIGITS["*"])
     return f"round({expr}, {digits}) + 0.0 AS {alias or expr}"
 
 
@@ -409,7 +413,7 @@ def oracle_sql() -> dict[str, str]:
     sql["deltas"] = f"WITH {TEL}, {MIN}, {delta} SELECT time, {S}, {R('latency_delta')}, {R('error_rate_delta')}, {R('traffic_delta')} FROM d"
     sql["bfill"] = f"""WITH {TEL}, {MIN}, g AS (SELECT *, CASE WHEN label = 1 THEN p95_latency END AS g FROM m)
         SELECT time, {S}, round(first_value(g IGNORE NULLS) OVER (PARTITION BY {S} ORDER BY time
-          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 9) + 0.0 AS gappy FROM g"""
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS gappy FROM g"""
     sql["quantile_repair"] = f"""WITH {TEL}, {MIN}, a AS (SELECT *, greatest(p90_latency, p50_latency * 1.15::double) AS n90 FROM m)
         SELECT time, {S}, {R('p50_latency')}, {R('n90', 'p90_latency')},
           {R('greatest(p95_latency, n90 * 1.18::double)', 'p95_latency')} FROM a"""
@@ -477,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
     sql["roc_auc"] = f"""WITH {TEL}, {SCORED}, r AS (SELECT label, rank() OVER (ORDER BY score)
           + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS rk FROM scored)
         SELECT round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::double)
-          / (count(*) FILTER (label = 1)::double * count(*) FILTER (label = 0)), 9) + 0.0 AS roc_auc FROM r"""
+          / (count(*) FILTER (label = 1)::double * count(*) FILTER (label = 0)), 6) + 0.0 AS roc_auc FROM r"""
     curve = """s AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scored GROUP BY score),
       cv AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,
         sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s)"""
@@ -499,7 +503,8 @@ def oracle_sql() -> dict[str, str]:
     four = ["p50_latency", "p95_latency", "traffic_rps", "error_rate"]
     cut = "quantile_cont({0}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])"
     parts = " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", len(list_filter((SELECT {cut.format(c)} FROM scored), lambda q: q < {c})) AS bin, label FROM scored"""
+        f"""SELECT '{c}' AS "column", len(list_filter((SELECT {cut.format(f'round({c}, 6)')} FROM scored),
+          lambda q: q < round({c}, 6))) AS bin, label FROM scored"""
         for c in four
     )
     sql["mutual_info"] = f"""WITH {TEL}, {SCORED}, u AS ({parts}),
@@ -538,7 +543,7 @@ def oracle_sql() -> dict[str, str]:
     sql["api_endpoint_counts"] = f"""WITH {APIS}, {EPS} SELECT a.id AS api_id, a.org_id, a.name, a.base_url, count(e.id) AS endpoints
         FROM apis a LEFT JOIN eps e ON e.api_id = a.id GROUP BY ALL"""
     sql["endpoints_per_api"] = f"""WITH {APIS}, {EPS} SELECT round((SELECT count(*) FROM eps)
-        / greatest((SELECT count(*) FROM apis), 1)::double, 9) + 0.0 AS endpoints_per_api"""
+        / greatest((SELECT count(*) FROM apis), 1)::double, 6) + 0.0 AS endpoints_per_api"""
     sql["api_tree"] = f"""WITH {APIS}, {EPS} SELECT a.id AS api_id, a.org_id,
         coalesce(string_agg(e.path || ' ' || e.method || ' ' || e.id, ';' ORDER BY e.path, e.method, e.id), '') AS endpoints
         FROM apis a LEFT JOIN eps e ON e.api_id = a.id GROUP BY a.id, a.org_id"""

@@ -30,6 +30,7 @@ from telemetra.operators import (
     urls,
     validation,
 )
+from telemetra.plans.oracle import DIGITS
 from telemetra.schemas import ENDPOINT_KEY, FEATURES, TOP_FEATURES
 from telemetra.session import materialize, scratch_dir
 from telemetra.sources import carrier, envelope
@@ -52,10 +53,14 @@ def queries() -> dict[str, Query]:
     return dict(_registry)
 
 
-def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Doubles to nine digits (and no negative zero), so engines can differ in the last bits."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to the checked digits (and no negative zero), so engines can differ in the last bits."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in doubles else c for c in df.columns])
+
+    def value(c: str):
+        return (F.round(c, DIGITS.get(c, DIGITS["*"])) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
+
+    return df.select(*map(value, df.columns))
 
 
 # --- dashboard aggregates -------------------------------------------------------------------------
@@ -595,7 +600,8 @@ def backtest_tail(spark, sf):
 
 @query
 def mutual_info(spark, sf):
-    return rounded(evaluation.mutual_information(scored_minutes(spark, sf), ["p50_latency", "p95_latency", "traffic_rps", "error_rate"]))
+    # rounded first: a cut between equal values must not split them by their last bit
+    return rounded(evaluation.mutual_information(rounded(scored_minutes(spark, sf)), ["p50_latency", "p95_latency", "traffic_rps", "error_rate"]))
 
 
 @query

@@ -12,8 +12,8 @@ AS_OF = dt.datetime(2024, 1, 1, 1, 12)
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as telemetry: 30 days squeezed into 72 minutes, ids spread over 3 orgs and 6 apis."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("int")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     shifted = start + F.expr("(unix_micros(cast(ts as timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00')) div 600")
     status = (
@@ -25,8 +25,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"),
         F.timestamp_micros(shifted).cast("timestamp_ntz").alias("time"),
-        F.format_string("00000000-0000-4000-8000-%012d", F.col("user_id") % 3).alias("org_id"),
-        F.format_string("00000000-0000-4000-9000-%012d", F.col("user_id") % 6).alias("api_id"),
+        _uuid("8000", F.col("user_id") % 3).alias("org_id"),
+        _uuid("9000", F.col("user_id") % 6).alias("api_id"),
         F.concat(F.lit("/v1/"), "event_type").alias("endpoint"),
         F.when(k % 4 == 0, "POST").otherwise("GET").alias("method"),
         status.alias("status"),
@@ -40,7 +40,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _uuid(family: str, c):
-    return F.format_string(f"00000000-0000-4000-{family}-%012d", c)
+    return F.concat(F.lit(f"00000000-0000-4000-{family}-"), F.lpad(c.cast("string"), 12, "0"))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +170,8 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as observed responses of the telemetry organisations, bodies of several JSON shapes."""
-    t = telemetry(spark, sf_dir)
-    k = F.get_json_object("props", "$.k").cast("int")
+    t = telemetry(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     ks = k.cast("string")
     url = (
         F.when(k % 6 == 0, F.concat(F.lit("https://api.example.com/items/"), ks, F.lit("?x=1")))
