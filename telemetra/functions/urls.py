@@ -203,10 +203,8 @@ def _blocked_v4(digits: Column) -> Column:
 
 
 def _blocked_v6(digits: Column) -> Column:
-    """An IPv4-mapped address is judged by the address it carries."""
-    mapped = F.startswith(digits, F.lit("0" * 20 + "ffff"))
-    own = _within(digits, BLOCKED_V6) & ~_within(digits, PUBLIC_V6)
-    return F.when(mapped, let(F.substring(digits, 25, 8), _blocked_v4)).otherwise(own)
+    """IPv4-mapped addresses lie in a reserved range, so they are blocked whatever they carry."""
+    return _within(digits, BLOCKED_V6) & ~_within(digits, PUBLIC_V6)
 
 
 def literal_ip_verdict(h: Column) -> Column:

@@ -169,24 +169,20 @@ def precision_at(scored: DataFrame, tie_order: Sequence[str], shares: Sequence[f
         )
     ).alias("q")
     whole = cells.select(*levels, "n", "pos", "before_n", wanted).filter(F.col("before_n") < F.col("q.k"))
-    full = whole.filter(F.col("before_n") + F.col("n") <= F.col("q.k")).select("q.share", "q.k", "pos")
+    end = F.col("before_n") + F.col("n")
+    full = whole.filter(end <= F.col("q.k")).select("q.share", "q.k", "pos")
     # the one cell per share that is cut: only its rows are ranked
-    cut = whole.filter(F.col("before_n") + F.col("n") > F.col("q.k")).select(
-        *levels, "q.share", "q.k", (F.col("q.k") - F.col("before_n")).alias("take")
+    cut = whole.filter(end > F.col("q.k")).select(
+        *levels, F.col("q.share").alias("_share"), F.col("q.k").alias("_k"), (F.col("q.k") - F.col("before_n")).alias("_take")
     )
-    order = Window.partitionBy("share").orderBy(*tie_order)
+    order = Window.partitionBy("_share").orderBy(*tie_order)
     partly = (
         rows.join(cut, levels)
         .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= F.col("take"))
-        .select("share", "k", (F.col("label") == 1).cast("bigint").alias("pos"))
-    )
-    return (
-        full.unionByName(partly)
-        .groupBy("share", "k")
-        .agg((F.sum("pos") / F.col("k")).alias("precision"))
-        .select("share", "k", "precision")
+        .filter(F.col("_rn") <= F.col("_take"))
+        .select(F.col("_share").alias("share"), F.col("_k").alias("k"), (F.col("label") == 1).cast("bigint").alias("pos"))
     )
+    return full.unionByName(partly).groupBy("share", "k").agg((F.sum("pos") / F.col("k")).alias("precision"))
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
