@@ -172,9 +172,9 @@ def contract_verdict(observed: DataFrame, endpoints: DataFrame, contracts: DataF
     """
     seen = observed.withColumn("method", F.upper("method")).withColumn("path", normalise_path("url"))
     at = ["org_id", "method", "path"]
-    out = seen.join(match_paths(seen, endpoints), at, "left").join(
-        newest_contracts(contracts), ["org_id", "endpoint_id"], "left"
-    )
+    # contracts meet the distinct paths first, so the responses themselves take part in one join only
+    matched = match_paths(seen, endpoints).join(newest_contracts(contracts), ["org_id", "endpoint_id"], "left")
+    out = seen.join(matched, at, "left")
     has = F.col("contract_hash").isNotNull()
     out = out.withColumn("observed_hash", shape_hash(F.when(has, F.coalesce("body", F.lit("null")))))
     status = F.when(~has, "missing").when(F.col("observed_hash") == F.col("contract_hash"), "valid").otherwise("warning")

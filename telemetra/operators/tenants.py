@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemetra.plans.scale import join_small
+
 # APIs allowed per plan when no flag overrides them; null is unlimited, other plans get 1.
 PLAN_LIMITS = {"free": 1, "pro": 10, "business": None}
 
@@ -12,7 +14,7 @@ PLAN_LIMITS = {"free": 1, "pro": 10, "business": None}
 def known_orgs(events: DataFrame, orgs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events of known organisations, events of unknown ones)."""
     ids = orgs.select(F.col("id").alias("org_id")).distinct()
-    return events.join(ids, "org_id", "left_semi"), events.join(ids, "org_id", "left_anti")
+    return join_small(events, ids, ["org_id"], "left_semi"), join_small(events, ids, ["org_id"], "left_anti")
 
 
 def apis_per_org(apis: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from telemetra.operators import deadletters, timing, validation
 from telemetra.operators.live import DEFAULT_RETENTION
 from telemetra.operators.predictions import alerts, label_risk, prediction_rows, run_metrics
 from telemetra.operators.serving_features import base_features
+from telemetra.plans.scale import join_small
 from telemetra.schemas import ALERT, ENDPOINT_KEY
 from telemetra.session import materialize, remove
 from telemetra.sources import envelope
@@ -44,34 +45,51 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Writes the rows of one micro-batch; running the batch again replaces them."""
+def write_batch(df: DataFrame, path: str, batch_id: int, *above: str) -> None:
+    """Writes the rows of one micro-batch under ``batch=`` (below the ``above`` columns, if any).
+
+    Running the batch again replaces them.
+    """
     (
         df.withColumn("batch", F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", *partitions)
+        .partitionBy(*above, "batch")
         .parquet(path)
     )
 
 
+def read_folders(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    """Only these folders of a table, so that no listing grows with the number of batches ever run."""
+    return spark.read.option("basePath", root).parquet(*folders)
+
+
+def hours_since(spark: SparkSession, root: str, since: dt.datetime) -> list[str]:
+    """Folders of the hours from ``since`` on; there are as many as hours are retained."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/date=*/hour=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    first = f"date={since.date().isoformat()}/hour={since.hour:02d}"
+    names = ["/".join(f.getPath().toString().split("/")[-2:]) for f in found]
+    return [f"{root}/{n}" for n in sorted(names) if n >= first]
+
+
 def touched_ticks(spark: SparkSession, events: DataFrame, store: Store, batch_id: int) -> DataFrame | None:
     """Ticks that a batch of stored events creates or changes, computed by the batch operator.
 
-    Reads only the stored events since 16 minutes before the batch's oldest one, of the touched endpoints.
+    Reads only the hours of stored events since 16 minutes before the batch's oldest one, of the touched
+    endpoints.
     """
     touched = events.groupBy(*ENDPOINT_KEY).agg(F.min(minute_index("time")).alias("since"))
     oldest = events.agg(F.min("time").alias("t")).first()["t"]
     if oldest is None:
         return None
     from_time = oldest.replace(second=0, microsecond=0) - LOOKBACK
-    stored = spark.read.parquet(store.at("telemetry"))
-    recent = stored.filter(
-        (F.col("date") >= from_time.date()) & (F.col("time") >= F.lit(from_time).cast(stored.schema["time"].dataType))
-    )
-    recent = recent.join(touched.select(*ENDPOINT_KEY), ENDPOINT_KEY, "left_semi")
+    root = store.at("telemetry")
+    recent = read_folders(spark, root, hours_since(spark, root, from_time))
+    recent = recent.filter(F.col("time") >= F.lit(from_time).cast(recent.schema["time"].dataType))
+    recent = join_small(recent, touched.select(*ENDPOINT_KEY), ENDPOINT_KEY, "left_semi")
     ticks = base_features(recent, cells_path=store.at(f"cells/batch={batch_id}"))
-    changed = ticks.join(touched, ENDPOINT_KEY).filter(F.col("minute") >= F.col("since"))
+    changed = join_small(ticks, touched, ENDPOINT_KEY).filter(F.col("minute") >= F.col("since"))
     return changed.select(*ENDPOINT_KEY, "minute", "now_us", "events", *BASE)
 
 
@@ -79,14 +97,17 @@ def store_events(events: DataFrame, store: Store, batch_id: int, late_after: dt.
     """Appends telemetry, then writes the ticks of the events that are not late. Returns counters."""
     spark = events.sparkSession
     seen = Observation(f"stored-{batch_id}")
-    counted = events.observe(seen, F.count(F.lit(1)).alias("stored"))
-    write_batch(with_date(counted), store.at("telemetry"), batch_id, "date")
-    mine = spark.read.parquet(store.at("telemetry")).filter(F.col("batch") == batch_id)
-    on_time, counters = mine, dict(seen.get)
+    counted = with_date(events.observe(seen, F.count(F.lit(1)).alias("stored")))
+    hourly = counted.withColumn("hour", F.date_format("time", "HH"))
+    write_batch(hourly, store.at("telemetry"), batch_id, "date", "hour")
+    counters = dict(seen.get)
+    if not counters["stored"]:
+        return counters
+    on_time = read_folders(spark, store.at("telemetry"), [store.at(f"telemetry/date=*/hour=*/batch={batch_id}")])
     if late_after is not None:
-        on_time, late = timing.drop_late(mine, F.current_timestamp(), late_after)
+        on_time, late = timing.drop_late(on_time, F.current_timestamp(), late_after)
         counters["late"] = late.count()
-    ticks = touched_ticks(spark, on_time, store, batch_id) if counters["stored"] else None
+    ticks = touched_ticks(spark, on_time, store, batch_id)
     if ticks is not None:
         write_batch(ticks, store.at("ticks"), batch_id)
         remove(spark, store.at(f"cells/batch={batch_id}"))
@@ -122,12 +143,12 @@ def start_ingest(
         def work() -> None:
             ok, bad = envelope.decode_messages(batch)
             ok = ok.withColumn("seq", F.col("offset") * 1_000_000 + F.col("pos"))
-            write_batch(deadletters.dlq_invalid(bad), store.at("dlq"), batch_id)
-            counters = store_events(validation.to_telemetry(ok), store, batch_id, late_after)
-            invalid = spark.read.parquet(store.at("dlq")).filter(F.col("batch") == batch_id)
-            row = invalid.agg(
-                F.count(F.lit(1)).alias("invalid"), F.count_if(F.col("original_payload").isNull()).alias("corrupt")
-            ).withColumns({k: F.lit(v) for k, v in counters.items()})
+            seen = Observation(f"invalid-{batch_id}")
+            corrupt = F.count_if(F.col("original_payload").isNull())
+            dead = deadletters.dlq_invalid(bad).observe(seen, F.count(F.lit(1)).alias("invalid"), corrupt.alias("corrupt"))
+            write_batch(dead, store.at("dlq"), batch_id)
+            counters = store_events(validation.to_telemetry(ok), store, batch_id, late_after) | seen.get
+            row = spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in counters.items()])
             write_batch(row, store.at("metrics/ingest"), batch_id)
 
         batch.persist()  # read by the valid and the invalid branch
@@ -163,7 +184,7 @@ def start_scoring(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch.withColumnRenamed("batch", "version"), store.at("features"), batch_id)
-        stored = batch.sparkSession.read.parquet(store.at("features")).filter(F.col("batch") == batch_id)
+        stored = read_folders(batch.sparkSession, store.at("features"), [store.at(f"features/batch={batch_id}")])
         rows = stored.withColumn("time", from_micros("now_us", time_type)).withColumn("seq", F.col("version"))
         scored = label_risk(scorer(rows))
         new = materialize(prediction_rows(scored, model_hash), "scored", store.at(f"scored/batch={batch_id}"))

@@ -46,7 +46,7 @@ def test_stream_equals_batch(spark, sf, streamed):
     events = spark.read.parquet(store.at("telemetry"))
     assert events.count() == ok.count()
     assert spark.read.parquet(store.at("dlq")).count() == bad.count()
-    want = {tuple(r[k] for k in (*ENDPOINT_KEY, "time")): r for r in serving_features(events.drop("batch", "date")).collect()}
+    want = {tuple(r[k] for k in (*ENDPOINT_KEY, "time")): r for r in serving_features(events.drop("batch", "date", "hour")).collect()}
     rows = spark.read.parquet(store.at("features")).withColumn("time", F.timestamp_micros("now_us")).collect()
     newest = {}
     for r in sorted(rows, key=lambda r: (r["version"], r["batch"])):
@@ -82,8 +82,8 @@ def test_a_repeated_batch_changes_nothing(spark, streamed):
     _, store = streamed
     telemetry = spark.read.parquet(store.at("telemetry"))
     before = (telemetry.count(), spark.read.parquet(store.at("ticks")).count())
-    rows = [r.asDict() for r in telemetry.filter("batch = 1").drop("batch", "date").collect()]
-    schema = telemetry.drop("batch", "date").schema
+    rows = [r.asDict() for r in telemetry.filter("batch = 1").drop("batch", "date", "hour").collect()]
+    schema = telemetry.drop("batch", "date", "hour").schema
     run.store_events(spark.createDataFrame(rows, schema), store, 1, late_after=None)
     assert (spark.read.parquet(store.at("telemetry")).count(), spark.read.parquet(store.at("ticks")).count()) == before
 
