@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.plans.scale import exact_quantiles, ranked, running_totals, score_totals, unit_levels, with_time_levels
+from telemetra.session import materialize
 
 # Threshold grid in hundredths, precision floor, top shares, stability limits, warning shares.
 GRID = (5, 95)
@@ -27,19 +28,18 @@ def _positives(label: str = "label") -> dict[str, Column]:
 
 
 def time_ranked(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Adds ``rn``, the position in time order. ``order_by`` starts with the time column."""
-    order = list(order_by)
-    return ranked(with_time_levels(df, order[0]), order, ["_hour", "_minute"]).drop("_hour", "_minute")
-
+    """Adds ``rn``, the position in time order, and ``total``, the number of rows.
 
-def _count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ``order_by`` starts with the time column.
+    """
+    order = list(order_by)
+    return ranked(with_time_levels(df, order[0]), order, ["_hour", "_minute"], total="total").drop("_hour", "_minute")
 
 
 def chrono_split(df: DataFrame, order_by: Sequence[str], frac: float = 0.75) -> DataFrame:
     """Adds ``split``: the first ``int(n * frac)`` rows in time order are train, the rest test."""
-    cut = F.floor(_count(df) * frac)
-    return time_ranked(df, order_by).withColumn("split", F.when(F.col("rn") <= cut, "train").otherwise("test")).drop("rn")
+    train_row = F.col("rn") <= F.floor(F.col("total") * frac)
+    return time_ranked(df, order_by).withColumn("split", F.when(train_row, "train").otherwise("test")).drop("rn", "total")
 
 
 def cv_folds(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
@@ -47,13 +47,13 @@ def cv_folds(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
 
     Rows repeat once per fold they belong to.
     """
-    total = _count(df)
+    total = F.col("total")
     size = F.floor(total / (n + 1))
     folds = F.explode(F.sequence(F.lit(1), F.lit(n))).alias("fold")
     rows = time_ranked(df, order_by).select("*", folds)
     start = total - (n + 1 - F.col("fold")) * size
     part = F.when(F.col("rn") <= start, "train").when(F.col("rn") <= start + size, "test")
-    return rows.withColumn("part", part).filter(F.col("part").isNotNull()).drop("rn")
+    return rows.withColumn("part", part).filter(F.col("part").isNotNull()).drop("rn", "total")
 
 
 def fold_stability(fold_auc: DataFrame) -> DataFrame:
@@ -123,23 +123,25 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     return t.agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
 
 
+def _with_counts(scored: DataFrame) -> DataFrame:
+    """Per distinct score: ``tp`` and ``fp`` of the rows at or above it, and the class totals ``t``."""
+    t = materialize(score_totals(scored, "score", _positives()), "curve")
+    sums = t.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
+    t = t.withColumn("t", sums)
+    return t.withColumn("tp", F.col("t.p") - F.col("before_pos")).withColumn("fp", F.col("t.n") - F.col("before_neg"))
+
+
 def average_precision(scored: DataFrame) -> DataFrame:
     """Sum of precision times the gain in recall over descending distinct scores."""
-    t = score_totals(scored, "score", _positives())
-    tot = t.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar()
-    t = t.withColumn("t", tot)
-    tp = F.col("t.p") - F.col("before_pos")
-    fp = F.col("t.n") - F.col("before_neg")
-    gain = F.col("pos") * (tp / (tp + fp))
-    return t.agg((F.sum(gain) / F.max("t.p")).alias("average_precision"))
+    t = _with_counts(scored)
+    gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return t.agg((F.sum(gain) / F.sum("pos")).alias("average_precision"))
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
     """(score, tpr, fpr, precision) per distinct score, for curves."""
-    t = score_totals(scored, "score", _positives())
-    t = t.withColumn("t", t.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t")).scalar())
-    tp, fp = F.col("t.p") - F.col("before_pos"), F.col("t.n") - F.col("before_neg")
-    return t.select(
+    tp, fp = F.col("tp"), F.col("fp")
+    return _with_counts(scored).select(
         "score", (tp / F.col("t.p")).alias("tpr"), (fp / F.col("t.n")).alias("fpr"), (tp / (tp + fp)).alias("precision")
     )
 
@@ -155,11 +157,12 @@ def precision_at(scored: DataFrame, tie_order: Sequence[str], shares: Sequence[f
         scored.withColumn("_b1", -b1).withColumn("_b2", -b2).withColumn("_s", -F.col("score")), tie_order[0]
     )
     levels = ["_b1", "_b2", "_s", "_hour", "_minute"]
-    total = _count(scored)
     cells = rows.groupBy(*levels).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == 1).cast("bigint")).alias("pos")
     )
-    cells = running_totals(cells, levels, ["n"])
+    cells = materialize(cells, "cells")
+    total = cells.agg(F.sum("n").alias("n")).scalar()
+    cells = running_totals(cells, levels, ["n"], stored=True)
     wanted = F.explode(
         F.array(
             *[

@@ -101,8 +101,8 @@ def chunk_distribution(df: DataFrame, order_by: Sequence[str], n: int = 10) -> D
     ``order_by`` starts with the time column and must order rows uniquely.
     """
     order = list(order_by)
-    rows = ranked(with_time_levels(df, order[0]), order, ["_hour", "_minute"])
-    size = F.floor(df.agg(F.count(F.lit(1)).alias("n")).scalar() / n)
+    rows = ranked(with_time_levels(df, order[0]), order, ["_hour", "_minute"], total="total")
+    size = F.floor(F.col("total") / n)
     chunk = F.floor((F.col("rn") - 1) / size).cast("bigint")
     return (
         rows.withColumn("chunk", chunk + 1)

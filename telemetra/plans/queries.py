@@ -614,8 +614,8 @@ def _model(spark, sf):
     """(features with label, model, feature names): a short training run on the first three quarters."""
     m = training_features.minute_frame(carrier.telemetry(spark, sf), SERIES, 0.25)
     names = ["p50_latency", "p90_latency", "p95_latency", "traffic_rps", "error_rate_ewm", "error_rate_roll_mean_15", "error_high_streak"]
-    frame = training_features.training_features(m, SERIES)
-    split = materialize(evaluation.chrono_split(frame, ["time", *SERIES]), "frame")
+    frame = materialize(training_features.training_features(m, SERIES), "frame")
+    split = materialize(evaluation.chrono_split(frame, ["time", *SERIES]), "split")
     return split, scoring.train(split.filter("split = 'train'"), names, rounds=10, depth=4, rate=0.1), names
 
 

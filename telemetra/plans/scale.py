@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.session import materialize
+
 BINS = 65_536
 SMALL_ROWS = 200_000
 
@@ -26,14 +28,17 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 
 
 def running_totals(
-    groups: DataFrame, levels: Sequence[str], values: Sequence[str], by: Sequence[str] = ()
+    groups: DataFrame, levels: Sequence[str], values: Sequence[str], by: Sequence[str] = (), stored: bool = False
 ) -> DataFrame:
     """Adds ``before_<v>``: the sum of ``v`` over all rows ordered ahead by the nested ``levels``.
 
     ``groups`` holds one row per (by, levels). The first level must have a bounded number of values;
-    every later level subdivides the one before it.
+    every later level subdivides the one before it. Each level reads the groups, so they are written to
+    the scratch folder once, unless they come from there (``stored``): their source is computed one time.
     """
     by, levels = list(by), list(levels)
+    if not stored:
+        groups = materialize(groups, "groups")
 
     def ahead(part: list[str], order: str):
         return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -56,12 +61,23 @@ def running_totals(
 
 
 def ranked(
-    df: DataFrame, order_by: Sequence[str | Column], levels: Sequence[str], by: Sequence[str] = (), name: str = "rn"
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    levels: Sequence[str],
+    by: Sequence[str] = (),
+    name: str = "rn",
+    total: str | None = None,
 ) -> DataFrame:
-    """Global row number (from 1) in ``order_by`` order; ``levels`` are coarser forms of that order."""
+    """Global row number (from 1) in ``order_by`` order; ``levels`` are coarser forms of that order.
+
+    ``total`` names a column for the number of rows, which the ranking knows anyway. The input is read
+    twice (counted, then numbered): store it first when it is costly.
+    """
     at = [*by, *levels]
-    counts = df.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
-    offsets = running_totals(counts, levels, ["n"], by).select(*at, F.col("before_n").alias("_offset"))
+    counts = materialize(df.groupBy(*at).agg(F.count(F.lit(1)).alias("n")), "counts")
+    offsets = running_totals(counts, levels, ["n"], by, stored=True).select(*at, F.col("before_n").alias("_offset"))
+    if total:
+        offsets = offsets.withColumn(total, counts.agg(F.sum("n").alias("n")).scalar())
     within = F.row_number().over(Window.partitionBy(*at).orderBy(*order_by))
     return (
         df.withColumn(name, within)
@@ -101,6 +117,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    hist = materialize(hist, "hist")
     span = hist.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("n").alias("_n"))
 
     def attach(frame: DataFrame) -> DataFrame:
@@ -112,7 +129,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     binned = attach(hist).withColumn("_p", pos)
     b1, b2 = unit_levels("_p")
     binned = binned.withColumn("_b1", b1).withColumn("_b2", b2).drop("_lo", "_hi", "_p")
-    ordered = running_totals(binned.drop("_n"), ["_b1", "_b2", "_v"], ["n"], by)
+    ordered = running_totals(binned.drop("_n"), ["_b1", "_b2", "_v"], ["n"], by, stored=True)
     wanted = F.array(
         *[
             F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"))
