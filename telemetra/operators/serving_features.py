@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.functions.scalars import MINUTE_US, finite, from_micros, micros
+from telemetra.functions.scalars import MINUTE_US, micros
 from telemetra.schemas import ENDPOINT_KEY, FEATURE_ALIASES, FEATURES
 from telemetra.session import materialize
 
@@ -201,41 +201,39 @@ def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS, cells_pat
         .join(_slot_links(cells), at)
         .join(_entropy(cells), at, "left")
     )
-    by_minute = Window.partitionBy(*KEY).orderBy("minute")
+    key = ", ".join(KEY)
 
-    def over(w: int, whole: Column, part: Column | None = None, upto: int = 0) -> Column:
+    def over(w: int, whole: str, part: str | None = None, upto: int = 0) -> str:
         """Sum over the last w minutes (less ``upto``) plus the covered part of the minute before them."""
-        total = F.sum(whole).over(by_minute.rangeBetween(1 - w, -upto))
-        total = F.coalesce(total, F.lit(0))
-        if part is not None:
-            total = total + F.coalesce(F.sum(part).over(by_minute.rangeBetween(-w, -w)), F.lit(0))
-        return total
-
-    c = F.col
-    inner_ch, inner_br = c("ch") + c("in_ch"), c("br") + c("in_br")
-    t = ticks.select(
+
+        def total(what: str, first: int, last: int) -> str:
+            bound = f"{-last} PRECEDING" if last else "CURRENT ROW"
+            frame = f"RANGE BETWEEN {-first} PRECEDING AND {bound}" if first else "RANGE CURRENT ROW"
+            return f"coalesce(sum({what}) OVER (PARTITION BY {key} ORDER BY minute {frame}), 0)"
+
+        whole_minutes = total(whole, 1 - w, -upto)
+        return whole_minutes + (f" + {total(part, -w, -w)}" if part else "")
+
+    t = ticks.selectExpr(
         *KEY,
         "minute",
         "now_us",
-        c("n").alias("events"),
-        F.sum("n").over(by_minute.rowsBetween(Window.unboundedPreceding, 0)).alias("events_so_far"),
+        "n AS events",
+        f"sum(n) OVER (PARTITION BY {key} ORDER BY minute ROWS UNBOUNDED PRECEDING) AS events_so_far",
         "p50_latency",
         "p90_latency",
         "p95_latency",
         "latency_variance",
-        F.coalesce(F.greatest(c("schema_entropy"), F.lit(0.0)), F.lit(0.0)).alias("schema_entropy"),
-        over(1, c("n"), c("n1")).alias("c1"),
-        over(5, c("n"), c("n5")).alias("c5"),
-        over(1, c("e"), c("e1")).alias("x1"),
-        over(5, c("e"), c("e5")).alias("x5"),
-        over(5, c("s"), c("s5")).alias("l5"),
-        (over(15, inner_ch, c("ch15") + c("tail_ch")) + over(15, c("out_ch"), upto=1)).alias("changes"),
-        (over(15, inner_br, c("br15") + c("tail_br")) + over(15, c("out_br"), upto=1)).alias("breaking"),
+        "coalesce(greatest(schema_entropy, 0D), 0D) AS schema_entropy",
+        f"{over(1, 'n', 'n1')} AS c1",
+        f"{over(5, 'n', 'n5')} AS c5",
+        f"{over(1, 'e', 'e1')} AS x1",
+        f"{over(5, 'e', 'e5')} AS x5",
+        f"{over(5, 's', 's5')} AS l5",
+        f"{over(15, 'ch + in_ch', 'ch15 + tail_ch')} + {over(15, 'out_ch', upto=1)} AS changes",
+        f"{over(15, 'br + in_br', 'br15 + tail_br')} + {over(15, 'out_br', upto=1)} AS breaking",
     )
-    err1, err5 = c("x1") / c("c1"), c("x5") / c("c5")
-    rps1, rps5 = c("c1") / F.lit(60.0), c("c5") / F.lit(300.0)
-    changes = c("changes").cast("double")
-    return t.select(
+    return t.selectExpr(
         *KEY,
         "minute",
         "now_us",
@@ -245,17 +243,17 @@ def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS, cells_pat
         "p90_latency",
         "p95_latency",
         "latency_variance",
-        (c("p50_latency") - c("l5") / c("c5")).alias("latency_delta"),
-        err1.alias("error_rate"),
-        (err1 - err5).alias("error_rate_delta"),
-        rps1.alias("traffic_rps"),
-        (rps1 - rps5).alias("traffic_delta"),
-        changes.alias("schema_fields_added"),
-        F.greatest(F.lit(0.0), changes - 1).alias("schema_fields_removed"),
-        F.when(c("breaking") > 0, 1.0).otherwise(0.0).alias("schema_breaking_changes"),
+        "p50_latency - l5 / c5 AS latency_delta",
+        "x1 / c1 AS error_rate",
+        "x1 / c1 - x5 / c5 AS error_rate_delta",
+        "c1 / 60D AS traffic_rps",
+        "c1 / 60D - c5 / 300D AS traffic_delta",
+        "double(changes) AS schema_fields_added",
+        "greatest(0D, changes - 1D) AS schema_fields_removed",
+        "if(breaking > 0, 1D, 0D) AS schema_breaking_changes",
         "schema_entropy",
-        F.when(c("changes") > 0, 1.0).otherwise(0.0).alias("recent_deploy"),
-        (c("p95_latency") / F.greatest(c("p50_latency"), F.lit(1.0))).alias("p95_to_p50_ratio"),
+        "if(changes > 0, 1D, 0D) AS recent_deploy",
+        "p95_latency / greatest(p50_latency, 1D) AS p95_to_p50_ratio",
     )
 
 
@@ -264,63 +262,54 @@ def with_history(ticks: DataFrame, history: int = HISTORY) -> DataFrame:
 
     These windows see one row per minute and key, a number bounded by the retention period.
     """
-    order = Window.partitionBy(*KEY).orderBy("minute")
+    order = f"OVER (PARTITION BY {', '.join(KEY)} ORDER BY minute)"
 
-    def last(n: int) -> Window:
-        return order.rowsBetween(-n, -1)
+    def last(n: int) -> str:
+        return f"{order[:-1]} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 
-    c = F.col
-    errors = F.collect_list("error_rate").over(last(history))
-    e = [F.lag("error_rate", i).over(order) for i in (1, 2, 3)]
-    mean30, std30 = F.avg("p95_latency").over(last(30)), F.stddev_pop("p95_latency").over(last(30))
+    e1, e2, e3 = (f"lag(error_rate, {i}) {order}" for i in (1, 2, 3))
     # a constant window may leave rounding noise in the deviation; its range says exactly whether it varies
-    varies30 = F.max("p95_latency").over(last(30)) > F.min("p95_latency").over(last(30))
-    z = F.when(varies30, (F.lag("p95_latency").over(order) - mean30) / std30).otherwise(0.0)
-    t = ticks.select(
+    varies = f"max(p95_latency) {last(30)} > min(p95_latency) {last(30)}"
+    z = f"(lag(p95_latency) {order} - avg(p95_latency) {last(30)}) / stddev_pop(p95_latency) {last(30)}"
+    t = ticks.selectExpr(
         "*",
-        errors.alias("errors"),
-        F.coalesce(c("schema_entropy") - F.lag("schema_entropy").over(order), F.lit(0.0)).alias("schema_entropy_delta"),
-        F.coalesce(F.avg("p95_latency").over(last(15)), c("p95_latency")).alias("p95_latency_roll_mean_15"),
-        F.coalesce(F.stddev_pop("latency_variance").over(last(15)), F.lit(0.0)).alias("latency_variance_roll_std_15"),
-        F.coalesce(F.avg("error_rate").over(last(15)), c("error_rate")).alias("error_rate_roll_mean_15"),
-        F.coalesce((e[0] - e[1]) - (e[1] - e[2]), F.lit(0.0)).alias("error_rate_acceleration"),
-        (F.coalesce(F.avg("traffic_rps").over(last(10)), c("traffic_rps")) / CAPACITY_RPS).alias("traffic_utilization_proxy"),
-        z.alias("latency_p95_zscore"),
-        F.coalesce(F.max("p95_latency").over(last(15)), c("p95_latency")).alias("p95_latency_roll_max_15"),
+        f"collect_list(error_rate) {last(history)} AS errors",
+        f"coalesce(schema_entropy - lag(schema_entropy) {order}, 0D) AS schema_entropy_delta",
+        f"coalesce(avg(p95_latency) {last(15)}, p95_latency) AS p95_latency_roll_mean_15",
+        f"coalesce(stddev_pop(latency_variance) {last(15)}, 0D) AS latency_variance_roll_std_15",
+        f"coalesce(avg(error_rate) {last(15)}, error_rate) AS error_rate_roll_mean_15",
+        f"coalesce(({e1} - {e2}) - ({e2} - {e3}), 0D) AS error_rate_acceleration",
+        f"coalesce(avg(traffic_rps) {last(10)}, traffic_rps) / {CAPACITY_RPS}D AS traffic_utilization_proxy",
+        f"if({varies}, {z}, 0D) AS latency_p95_zscore",
+        f"coalesce(max(p95_latency) {last(15)}, p95_latency) AS p95_latency_roll_max_15",
     )
-    size = F.size("errors")
-    ewm = F.aggregate(
-        F.slice("errors", 2, history),
-        F.get("errors", F.lit(0)),
-        lambda acc, x: F.lit(EWM_ALPHA) * x + F.lit(1.0 - EWM_ALPHA) * acc,
-    )
-    at = F.lit(0.8) * (size - 1)
-
-    def quantile(ordered: Column) -> Column:
-        low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
-        return low + (high - low) * (at - F.floor(at))
-
-    def above_quantile(ordered: Column) -> Column:
-        recent = F.slice("errors", F.greatest(size - 9, F.lit(1)), 10)
-        return F.size(F.filter(recent, lambda x: x > quantile(ordered))).cast("double")
-
-    # a one-element array binds the sorted history, so that it is sorted once
-    streak = F.get(F.transform(F.array(F.array_sort("errors")), above_quantile), F.lit(0))
-    return t.select(
+    smooth = f"(acc, x) -> {EWM_ALPHA}D * x + {1.0 - EWM_ALPHA}D * acc"
+    at = "0.8D * (size(errors) - 1)"
+    low, high = (f"get(s, int({f}({at})))" for f in ("floor", "ceil"))
+    quantile = f"{low} + ({high} - {low}) * ({at} - floor({at}))"
+    recent = "slice(errors, greatest(size(errors) - 9, 1), 10)"
+    # the one-element array binds the sorted history, so that it is sorted once
+    streak = f"get(transform(array(array_sort(errors)), s -> size(filter({recent}, x -> x > {quantile}))), 0)"
+    return t.selectExpr(
         *[name for name in t.columns if name != "errors"],
-        F.coalesce(F.when(size > 0, ewm), F.lit(0.0)).alias("error_rate_ewm"),
-        F.when(size >= 3, streak).otherwise(0.0).alias("error_high_streak"),
+        f"if(size(errors) > 0, aggregate(slice(errors, 2, {history}), get(errors, 0), {smooth}), 0D) AS error_rate_ewm",
+        f"if(size(errors) >= 3, double({streak}), 0D) AS error_high_streak",
     )
 
 
 def finish(ticks: DataFrame, time_type="timestamp") -> DataFrame:
     """Key, time, the features in model order with the non-finite guard, aliases and the warm-up flag."""
-    return ticks.select(
-        from_micros("now_us", time_type).alias("time"),
+
+    def guarded(name: str, alias: str) -> str:
+        return f"if({name} IS NULL OR isnan({name}) OR abs({name}) = double('inf'), 0D, {name}) AS {alias}"
+
+    kind = time_type if isinstance(time_type, str) else time_type.simpleString()
+    return ticks.selectExpr(
+        f"cast(timestamp_micros(now_us) AS {kind}) AS time",
         *KEY,
-        *[finite(name).alias(name) for name in FEATURES],
-        *[finite(base).alias(alias) for alias, base in FEATURE_ALIASES.items()],
-        (F.col("events_so_far") >= WARMUP_EVENTS).alias("is_warmed_up"),
+        *[guarded(name, name) for name in FEATURES],
+        *[guarded(base, alias) for alias, base in FEATURE_ALIASES.items()],
+        f"events_so_far >= {WARMUP_EVENTS} AS is_warmed_up",
     )
 
 

@@ -57,10 +57,10 @@ def rounded(df: DataFrame) -> DataFrame:
     """Doubles to the checked digits (and no negative zero), so engines can differ in the last bits."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
 
-    def value(c: str):
-        return (F.round(c, DIGITS.get(c, DIGITS["*"])) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
+    def value(c: str) -> str:
+        return f"round(`{c}`, {DIGITS.get(c, DIGITS['*'])}) + 0D AS `{c}`" if c in doubles else f"`{c}`"
 
-    return df.select(*map(value, df.columns))
+    return df.selectExpr(*map(value, df.columns))
 
 
 # --- dashboard aggregates -------------------------------------------------------------------------

@@ -17,8 +17,6 @@ CONF = {
     "spark.python.unix.domain.socket.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # methods beyond 8000 bytes of bytecode are not compiled by the JVM; split them instead
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # call sites of every column expression are costly to record
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
