@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import is_blank, is_uuid, parse_rfc3339
-from telemetra.schemas import RAW_EVENT
 
 MAX_EVENTS_PER_REQUEST = 1000
 ENDPOINT_BYTES = 256
@@ -139,7 +138,3 @@ def reject_array_batches(requests: DataFrame, max_events: int = MAX_EVENTS_PER_R
     flat = events.select("batch_id", "pos", "event.*")
     ok, bad = reject_batches(flat, max_events)
     return ok, wrong_shape.unionByName(bad.select("batch_id", "reason"))
-
-
-def raw_event_type() -> str:
-    return f"array<struct<{RAW_EVENT.replace(' string', ':string').replace(' int', ':int')}>>"

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from telemetra.functions.scalars import MINUTE_US, clamp, micros
-from telemetra.operators.predictions import PREDICTION_KEY, merge_predictions
+from telemetra.functions.scalars import clamp
+from telemetra.operators.predictions import merge_predictions
 from telemetra.schemas import MINUTES
 from telemetra.session import scratch_dir
 
@@ -102,11 +102,3 @@ def model_hash(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 per file of a saved model, as (path, model_hash)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.sha2("content", 256).alias("model_hash"))
-
-
-def prediction_key() -> list[str]:
-    return list(PREDICTION_KEY)
-
-
-def minutes_of(df: DataFrame) -> DataFrame:
-    return df.withColumn("minute", F.floor(micros("time") / MINUTE_US).cast("bigint"))
