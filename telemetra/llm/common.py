@@ -46,7 +46,8 @@ class Words:
         except KeyError:
             import xxhash
 
-            for w in set(words) - known.keys():
-                known[w] = xxhash.xxh64_intdigest(w)
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
             found = [known[w] for w in words]
         return np.array(found, dtype=np.uint64)

@@ -14,7 +14,9 @@ is sorted globally, and the ids themselves are stored once and never shuffled by
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,63 +33,102 @@ LENGTH = 2048
 GRAIN = 8
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 300_000  # text parts whose ids a worker keeps
+CACHE = 200_000  # text parts whose ids a worker keeps, new ones; as many older ones stay
+
+STOPS = ".,;:!?"
+#: byte-level models write a byte that is no printable Latin-1 character as the next free one above 255
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 PIECES = (
     "part int, cls int, local long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
 )
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of whole texts. Byte-level BPE never merges across a space that follows a non-space, so the parts
-    between single spaces are encoded apart and remembered. Texts with other white space next to a space, where
+    between single spaces are encoded apart and remembered. Texts with other white space, where
     that does not hold, are encoded whole."""
 
     def __init__(self, path: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def learn(self, into: dict[str, bytes], parts: list[str], lead: str) -> None:
-        for at in range(0, len(parts), 5000):
-            some = parts[at : at + 5000]
-            for part, e in zip(some, self.tokenizer.encode_batch([lead + p for p in some], add_special_tokens=False)):
-                into[part] = np.asarray(e.ids, dtype="<u4").tobytes()
+        # parts by whether a space goes before them; of each kind the newer ones and the ones before
+        self.known: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+        self.model = self.tokenizer.model
+        alone = lambda text: pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self.stops, self.feed = {c: alone(c) for c in STOPS}, alone("\n")
+
+    def prepare(self, kind: int, parts: set[str]) -> dict[str, bytes]:
+        """A dictionary that has the ids of all ``parts``."""
+        new, old = self.known[kind]
+        if len(new) > CACHE:
+            new, old = {}, new
+            self.known[kind] = new, old
+        fresh, ended = {}, []
+        for p in parts:
+            if p not in new:
+                if p in old:
+                    new[p] = old[p]
+                elif len(p) > 1 and p[-1] in STOPS and p[-2].isalpha():
+                    # a stop after a letter is a piece of its own
+                    ended.append(p)
+                    word = p[:-1]
+                    if word not in new:
+                        if word in old:
+                            new[word] = old[word]
+                        else:
+                            fresh[word] = None
+                else:
+                    fresh[p] = None
+        lead = " " if kind else ""
+        for part in fresh:
+            if part.isalpha():  # one piece: the byte-pair model alone
+                spelled = (lead + part).encode().decode("latin-1").translate(BYTES)
+                new[part] = pack_ids([t.id for t in self.model.tokenize(spelled)])
+        words = [p for p in fresh if p not in new]
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)):
+                new[part] = pack_ids(e.ids)
+        for p in ended:
+            new[p] = new[p[:-1]] + self.stops[p[-1]]
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE or len(self.first) > CACHE:
-            self.known, self.first = {}, {}
-        plain = [self.simple(t) for t in texts]
-        split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain)]
-        heads = {s[0] for s in split if s} - self.first.keys()
+        # a single line feed between other characters is a piece of its own, and no space goes before the next part
+        split = [[x.split(" ") for x in t.split("\n")] if self.simple(t) else None for t in texts]
+        heads: set[str] = set()
         tails: set[str] = set()
-        for s in split:
-            tails.update(s[1:])
-        self.learn(self.first, sorted(heads), "")
-        self.learn(self.known, sorted(tails - self.known.keys()), " ")
-        whole = iter(
-            self.tokenizer.encode_batch([t for t, ok in zip(texts, plain) if not ok], add_special_tokens=False)
-        )
-        out, known = [], self.known
-        for s in split:
-            if s:
-                out.append(self.first[s[0]] + b"".join([known[p] for p in s[1:]]))
+        for lines in split:
+            for s in lines or ():
+                heads.add(s[0])
+                tails.update(s[1:])
+        first, rest = self.prepare(0, heads), self.prepare(1, tails)
+        out = []
+        for lines, t in zip(split, texts):
+            if lines:
+                out.append(self.feed.join([first[s[0]] + b"".join([rest[p] for p in s[1:]]) for s in lines]))
             else:
-                out.append(np.asarray(next(whole).ids, dtype="<u4").tobytes())
+                out.append(pack_ids(self.tokenizer.encode(t, add_special_tokens=False).ids))
         return out
 
     @staticmethod
     def simple(text: str) -> bool:
-        """No run of spaces, and no white space but space and line feed."""
-        return "  " not in text and not UNUSUAL.search(text)
+        """White space is single spaces and line feeds between other characters."""
+        return not UNUSUAL.search(text) and not text.endswith(("\n", " ")) and not text.startswith("\n")
 
 
-#: white space and controls other than space and line feed, by code point
-UNUSUAL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+#: two of space and line feed together; other white space and controls by code point
+UNUSUAL = re.compile(r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
 _encoders: dict[str | None, Encoder] = {}
 
 
