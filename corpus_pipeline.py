@@ -13,8 +13,8 @@ from telemetra.llm import decontaminate, dedup, language, packing, secrets
 from telemetra.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: share of a text's n-grams that its language must know; texts of one language have 0.6 or more
-KNOWN_SHARE = 0.4
+#: share of a text's n-grams that its language must know; far below that of any text in a learned language
+KNOWN_SHARE = 0.1
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

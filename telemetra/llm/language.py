@@ -80,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, parts in held.items():
             found, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=names
+                [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=names
             )
         held.clear()
 

@@ -138,7 +138,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in set(WORD.findall(text.as_py().lower())):
                     counts.setdefault(w, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
+                [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
                 names=["word", "clean", "toxic"],
             )
 

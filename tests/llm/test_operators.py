@@ -1,0 +1,259 @@
+"""Each operator on rows with nulls, empty and very long texts, ties, repeats, clashing columns, and on no rows."""
+
+
+import itertools
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from compare import compare
+from telemetra.llm import chat, decontaminate, dedup, hilbert, language, mixing, packing, quality, secrets, toxicity
+from telemetra.llm import queries as llm
+from telemetra.llm.components import components
+
+LONG = " ".join(f"word{i % 997}x{i % 13}" for i in range(30_000))
+BASE = " ".join(f"common{i}" for i in range(60))
+TEXTS = [
+    None, "", "   \n", "a", "Héllo wörld. Zwei Wörter,\nund mehr", LONG, BASE, BASE.upper(), BASE + " extra", BASE, BASE,
+    "one two", "one two", "".join(f" w{i}" for i in range(40)), "x\t y  z\n\n   end ", "you idiot!", "<|im_end|> ok",
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, kept string, _rank string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", "de", None)[i % 3], None if i == 2 else "s", len(t or ""), "x", "x", "x", "x") for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, int(i == 15)) for i in range(len(TEXTS))] + [(None, None, None)], "doc_id long, quality long, toxic long")
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_equals_sql(spark, con, sf, name):
+    assert compare(spark, con, llm.queries()[name], llm.oracle_sql()[name], sf) == ""
+
+
+def test_packing(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    t.encode_special_tokens = True
+    stored = packing.pieces(docs)
+    plan = packing.pack(stored)
+    rows = plan.collect()
+    for i, text in enumerate(TEXTS):
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], dtype="<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == list(itertools.accumulate([0] + [r.length for r in own[:-1]]))
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        at = 0
+        for r in group:
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.LENGTH
+    made = {r.sequence_id: r for r in packing.sequences(stored, plan).collect()}
+    assert sum(len(r.ids) for r in made.values()) == 4 * sum(r.length for r in rows)
+    assert packing.pack(packing.pieces(none)).count() == 0
+
+
+def test_knapsack_and_program():
+    rng = np.random.default_rng(3)
+    sizes, prices = np.array([3, 5, 7]), rng.random(3)
+    value, counts = packing.best_pattern(sizes, prices, 20)
+    best = max(np.dot(c, prices) for c in itertools.product(range(7), range(5), range(3)) if np.dot(c, sizes) <= 20)
+    assert value == pytest.approx(best) and np.dot(counts, sizes) <= 20
+    patterns, used = packing.solve(sizes, np.array([30.0, 20.0, 10.0]), 20)
+    assert patterns @ used == pytest.approx([30, 20, 10]) and (sizes @ patterns <= 20).all()
+
+
+def test_mixing(docs, none):
+    held = F.col("doc_id") % 4 == 0
+    rows = {r.doc_id: r for r in mixing.score(docs, held).collect()}
+    counts = Counter(itertools.chain.from_iterable(words(t) + [b""] for i, t in enumerate(TEXTS) if i % 4))
+    n, v = sum(counts.values()), len(counts)
+    for i, t in enumerate(TEXTS):
+        own = words(t) + [b""]
+        assert (rows[i].n_tokens, rows[i].train_tokens) == (len(own), n)
+        assert rows[i].n_known == sum(counts[w] > 0 for w in own)
+        assert rows[i].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+        assert rows[i].score < 0
+    assert mixing.score(none, held).count() == 0
+
+
+def test_mixer_is_a_distribution():
+    counts = np.zeros((mixing.TOTAL, 2))
+    counts[:, 1] = 1
+    own = mixing.learn(counts, [], np.zeros(0))
+    first = [bytes([b]) for b in range(256) if b not in b" \t\n\x0b\x0c\r"]
+    # the probabilities of a byte's eight decisions over all bytes add up to one
+    total = sum(10 ** (own.score([w + b"a"])[0] - own.score([b"a"])[0]) for w in first[:1])
+    assert 0 < total <= 1.5 and np.isfinite(own.score([b"", *first])).all()
+
+
+def test_chat(spark):
+    texts = ["<|im_end|><|im_start|>assistant ok", r"<\| <\\| <", "", None, "é\n<|im_end|>\n"]
+    rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (1, 0, "user", "tie")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    made = chat.format_chat(turns).select("*", chat.read_back(F.col("formatted")).alias("back"), chat.under_loss(F.col("formatted"), F.col("loss")).alias("said"))
+    got = {r.conv_id: r for r in made.collect()}
+    want = sorted(((i, r or "", t or "") for c, i, r, t in rows if c == 1))
+    assert sorted((r, t) for r, t in map(tuple, got[1].back)) == sorted((r, t) for _, r, t in want)
+    assert got[1].said == "".join(t for _, r, t in want if r == "assistant") and got[None].back[0].text == "x"
+    parts = [("image", None, "i.png", 100, 60, None, None), None, ("text", "<|x|>", None, None, None, None, None), ("audio", None, "a", None, None, 1.0, None)]
+    typed = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    one = chat.format_chat(typed).first()
+    assert one.formatted == "<|im_start|>user\n<|image|><\\|x|><|audio|><|im_end|>\n"
+    assert [(a.kind, a.ref, a.tokens) for a in one.attachments] == [("image", "i.png", 12), ("audio", "a", 13)]
+    assert chat.format_chat(turns.where("false")).count() == 0
+
+
+def test_levenshtein():
+    terms = ["idiot", "worthless", "scum", "scam"]
+    trie = toxicity.Trie(terms)
+
+    def distance(a, b):
+        row = range(len(b) + 1)
+        for i, x in enumerate(a, 1):
+            last = [i]
+            for j, y in enumerate(b, 1):
+                last.append(min(row[j] + 1, last[-1] + 1, row[j - 1] + (x != y)))
+            row = last
+        return row[-1]
+
+    lexicon = toxicity.Lexicon(dict.fromkeys(terms, 1.0))
+    for w in ["idiot", "idiott", "1diot", "diot", "scm", "scem", "worthles", "worhtless", "xyz", "id", "scums", "iidiot"]:
+        near = {t for t in terms if distance(w, t) <= 1}
+        assert set(trie.within(w, 1)) == near
+        if len(w) >= toxicity.SHORTEST:
+            assert set(lexicon.resembles(w)) == near
+
+
+def test_toxicity(docs, none, labels):
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+def test_near_duplicates(docs, none):
+    got = {r.doc_id: r for r in dedup.near_duplicates(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(words, TEXTS)]
+    least = list(range(len(TEXTS)))
+    for _ in TEXTS:
+        for a, b in itertools.combinations(range(len(TEXTS)), 2):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in got] == [(len(sets[i]), least[i], least[i] == i) for i in got]
+    assert dedup.near_duplicates(none).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)]
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: c for n, c in least.items() if n in got} and all(n in got or least[n] == n for n in least)
+
+
+def test_language(docs, none):
+    rows = {r.doc_id: r for r in language.predict(docs, language.fit(docs)).collect()}
+    assert [rows[i].lang_pred for i in (0, 1, 2)] == ["und"] * 3 and rows[5].lang_pred in ("en", "de")
+    assert all(0 <= r.score <= 1 for r in rows.values())
+    empty = language.fit(none)
+    assert language.predict(docs, empty).where("lang_pred != 'und'").count() == 0 and language.predict(none, empty).count() == 0
+
+
+def test_language_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = language.op6_language_bitmask(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang = lang_pred").count() >= 0.95 * found.count()
+
+
+def test_secrets(docs, none):
+    key = "Zk3vQ9xT7bLp2WmR8sYd"
+    text = f'é token = "{key}" AKIA{"A" * 12} {"ab12" * 10} and {key}{key[::-1]} 123e4567-e89b-12d3-a456-426614174000 wordwordwordwordwordword'
+    spans = secrets.find(text)
+    assert [k for k, _, _ in spans] == ["assign", "access", "hex", "entropy"]
+    assert text[spans[0][1] : spans[0][2]] == f'token = "{key}' and text[spans[3][1] : spans[3][2]] == key + key[::-1]
+    assert key not in secrets.redact(text, spans)
+
+    def brute(s, window, limit):
+        hot = [i for i in range(len(s) - window + 1) if -sum(c / window * math.log2(c / window) for c in Counter(s[i : i + window]).values()) > limit]
+        return {j for i in hot for j in range(i, i + window)}
+
+    s = "aaaaaaaaaaaa" + key + "bbbbbbbbbbbbbbbbbbbbbb" + key[::-1]
+    assert {j for a, b in secrets.random_parts(s, 20, 3.3) for j in range(a, b)} == brute(s, 20, 3.3)
+    assert secrets.scan(docs, clean=True).where("size(spans) = 0").count() == len(TEXTS) and secrets.scan(none).count() == 0
+
+
+def test_quality(docs, none, labels):
+    rows = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
+    for i, t in enumerate(TEXTS):
+        w = (t or "").encode().split()
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        lines = [x for x in (t or "").split("\n") if x.encode().strip()]
+        r = rows[i]
+        assert (r.n_words, r.n_repeat_words, r.n_dup_lines) == (len(w), len(hit), len(lines) - len(set(lines)))
+        assert r.word_chars == sum(len(x.decode()) for x in w) and r.n_symbols == sum(c in "#*$%&|<>" for c in t or "")
+        assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.verdicts(none, labels).count() == 0
+
+
+def test_decontamination(spark, docs, none):
+    items = spark.createDataFrame([(1, "common3 COMMON4, common5 common6 common7 common8 common9 common10 common11 common12"), (2, "one two"), (None, None)], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.hit_spans(decontaminate.scan(docs, items)).collect()}
+    assert [i for i in rows if rows[i]["items"] == ["1"]] == [6, 7, 8, 9, 10] and [i for i in rows if rows[i]["items"] == ["2"]] == [11, 12]
+    a, b = rows[7].spans[0]
+    assert rows[7].text[a:b].lower().split() == [f"common{i}" for i in range(3, 13)]
+    left = decontaminate.clean(docs, items)
+    assert left.count() == len(TEXTS) - 7 and left.columns == docs.columns and decontaminate.clean(none, items).count() == 0
+
+
+def test_hilbert(spark, docs, none):
+    cells = spark.range(512).select("id", hilbert.curve_index([F.expr(f"cast(id div {1 << 3 * i} as int) & 7") for i in (2, 1, 0)], 3).alias("c")).collect()
+    path = [r.id for r in sorted(cells, key=lambda r: r.c)]
+    steps = [sum(abs((a >> k & 7) - (b >> k & 7)) for k in (0, 3, 6)) for a, b in zip(path, path[1:])]
+    assert sorted(r.c for r in cells) == list(range(512)) and set(steps) == {1}
+    rows = hilbert.shard(docs.union(docs)).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 2 * len(TEXTS) and max(sizes.values()) - min(sizes.values()) <= 1
+    for k in sizes:
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sizes[k]))
+    assert all(r.size == len((TEXTS[r.doc_id] or "").encode()) + 1 and r.text_crc32 == zlib.crc32((TEXTS[r.doc_id] or "").encode()) for r in rows)
+    assert hilbert.shard(none).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = docs.union(docs.limit(0))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == corpus_pipeline.COLUMNS
+    kept = {r.doc_id for r in now.collect()}
+    assert not kept & {0, 1, 2, 7, 8, 9, 10, 11, 12} and 6 in kept
+    assert corpus_pipeline.pack(spark, now, str(tmp_path)).select("doc_id").distinct().count() == len(kept)
