@@ -156,7 +156,7 @@ def start_ingest(
             attempt(work)
         except Exception as exc:
             # the batch is set aside whole, as raw messages, and the stream goes on
-            write_batch(deadletters.dlq_processing(batch, str(exc)[:500]), store.at("dlq_processing"), batch_id)
+            write_batch(deadletters.dlq_processing(batch, str(exc)), store.at("dlq_processing"), batch_id)
         finally:
             batch.unpersist()
 
