@@ -46,8 +46,15 @@ def shape(value) -> dict:
 
 
 def _each_distinct(texts: pd.Series, fn) -> pd.Series:
-    """Applies ``fn`` once per distinct text of the batch; nulls stay null."""
-    return texts.map({t: fn(t) for t in texts.dropna().unique()})
+    """Applies ``fn`` once per distinct text of the batch; nulls stay null, and so does a body nested too deeply."""
+
+    def safe(text: str):
+        try:
+            return fn(text)
+        except RecursionError:
+            return None
+
+    return texts.map({t: safe(t) for t in texts.dropna().unique()})
 
 
 @F.pandas_udf(T.StringType())
