@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telemetra.session import remove, scratch_dir
+from telemetra.session import listing, materialize, remove, scratch_dir
 
 RETENTION_DAYS = 90
 JOB_RETENTION_DAYS = 30
@@ -35,35 +36,52 @@ def purge_jobs(jobs: DataFrame, as_of: dt.datetime, days: int = JOB_RETENTION_DA
     return purge(jobs, F.col("status").isin(TERMINAL_STATUS), as_of - dt.timedelta(days=days), time)
 
 
-def _rewrite_dates(spark: SparkSession, path: str, keep: DataFrame, dates: list[dt.date]) -> None:
-    """Replaces the given date partitions by ``keep``, staged in the scratch folder first."""
-    staged = f"{scratch_dir(spark)}/rewrite-{uuid.uuid4().hex}"
-    keep.write.partitionBy("date").parquet(staged)
-    # a date left without rows must be dropped by name, since overwriting writes no such partition
-    kept = spark.read.schema(keep.schema).parquet(staged)
-    present = {r["date"] for r in kept.select("date").distinct().collect()}
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-    _drop_partitions(spark, path, [d for d in dates if d not in present])
-
-
 def _drop_partitions(spark: SparkSession, path: str, dates: list[dt.date]) -> None:
     for date in dates:
         remove(spark, f"{path}/date={date.isoformat()}")
 
 
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """The columns a stored table is partitioned by, outermost first, from its folder names."""
+    names = []
+    while found := next((n for n in listing(spark, path) if "=" in n), None):
+        names.append(found.split("=", 1)[0])
+        path = f"{path}/{found}"
+    return names
+
+
+def _as_written(spark: SparkSession, path: str, layout: list[str]) -> DataFrame:
+    """The table with partition values as they stand in its folder names (hour 07 is not 7)."""
+    fields = [
+        T.StructField(f.name, T.StringType()) if f.name in layout and f.name != "date" else f
+        for f in spark.read.parquet(path).schema
+    ]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def delete_api(spark: SparkSession, path: str, org_id: str, api_id: str) -> int:
-    """Deletes one api's rows from a date-partitioned table and returns how many there were.
+    """Deletes one api's rows from a table partitioned by date, and maybe further columns, and returns their number.
 
-    Counts per date come first; only dates that hold such rows are rewritten.
+    Counts per partition come first; only partitions that hold such rows are rewritten, in the layout they have.
     """
-    df = spark.read.parquet(path)
+    layout = partition_columns(spark, path)
+    df = _as_written(spark, path, layout)
     hit = df.filter((F.col("org_id") == org_id) & (F.col("api_id") == api_id))
-    per_date = hit.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by retained days
-    if not per_date:
+    hits = materialize(hit.groupBy(*layout).agg(F.count(F.lit(1)).alias("n")), "hits")
+    deleted = hits.agg(F.sum("n")).first()[0]
+    if not deleted:
         return 0
-    dates = [r["date"] for r in per_date]
-    _rewrite_dates(spark, path, without_api(df.filter(F.col("date").isin(dates)), org_id, api_id), dates)
-    return sum(r["n"] for r in per_date)
+    dates = [r["date"] for r in hits.select("date").distinct().collect()]  # bounded by retained days
+    rest = without_api(df.filter(F.col("date").isin(dates)), org_id, api_id).join(hits.select(*layout), layout, "left_semi")
+    # staged first, so the overwrite never reads what it replaces
+    staged = f"{scratch_dir(spark)}/rewrite-{uuid.uuid4().hex}"
+    rest.write.partitionBy(*layout).parquet(staged)
+    kept = spark.read.schema(rest.schema).parquet(staged)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*layout).parquet(path)
+    # overwriting writes no partition that is left without rows: those go by name
+    for row in hits.join(kept.select(*layout).distinct(), layout, "left_anti").toLocalIterator():
+        remove(spark, "/".join([path, *[f"{c}={row[c]}" for c in layout]]))
+    return deleted
 
 
 def apply_retention(spark: SparkSession, path: str, as_of: dt.datetime, days: int = RETENTION_DAYS) -> list[dt.date]:

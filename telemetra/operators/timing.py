@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import micros
@@ -14,12 +14,16 @@ LATE_AFTER = dt.timedelta(minutes=30)
 ARRIVAL_BLOCK = 1 << 20
 
 
+def is_late(as_of: Column, threshold: dt.timedelta = LATE_AFTER) -> Column:
+    """Strictly older than the threshold."""
+    return micros(as_of) - micros("time") > int(threshold.total_seconds() * 1_000_000)
+
+
 def drop_late(df: DataFrame, as_of, threshold: dt.timedelta = LATE_AFTER) -> tuple[DataFrame, DataFrame]:
     """(on time, late): late is strictly older than the threshold. ``as_of`` is a datetime or a column."""
     if isinstance(as_of, dt.datetime):
         as_of = F.lit(as_of).cast(df.schema["time"].dataType)
-    age = micros(as_of) - micros("time")
-    late = age > int(threshold.total_seconds() * 1_000_000)
+    late = is_late(as_of, threshold)
     return df.filter(~late), df.filter(late)
 
 

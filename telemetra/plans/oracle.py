@@ -572,8 +572,17 @@ def oracle_sql() -> dict[str, str]:
         SELECT seq, CASE WHEN contract_hash IS NULL THEN 'missing' WHEN contract_hash = observed_hash THEN 'valid' ELSE 'warning' END AS status,
           endpoint_id, path, method, contract_hash, observed_hash FROM v"""
     sql["canonical_hash"] = f"""WITH {TEL} SELECT seq, sha256('{{"k":' || k || '}}') AS hash, sha256('{{"k":' || k || '}}') AS dedup FROM tel"""
-    sql["text_hash"] = """SELECT doc_id, sha256('{"a":' || n_chars || ',"b":' || to_json(source) || '}') AS hash,
-        '{"properties":{"a":{"type":"integer"},"b":{"type":"string"}},"required":["a","b"],"type":"object"}' AS shape FROM documents"""
+    # code points beyond printable ASCII as \\u escapes, those above 65535 as surrogate pairs
+    escaped = r"""array_to_string(list_transform(regexp_extract_all(CAST(to_json(text) AS VARCHAR), '(?s).'), lambda c: CASE
+        WHEN unicode(c) BETWEEN 32 AND 126 THEN c
+        WHEN unicode(c) < 65536 THEN '\u' || printf('%04x', unicode(c))
+        ELSE '\u' || printf('%04x', 55296 + (unicode(c) - 65536) // 1024) || '\u' || printf('%04x', 56320 + (unicode(c) - 65536) % 1024)
+        END), '')"""
+    sql["text_hash"] = f"""SELECT doc_id, sha256(concat('{{', concat_ws(',', '"a":' || n_chars, '"b":' || {escaped}), '}}')) AS hash,
+        '{{"properties":{{' || concat_ws(',', CASE WHEN n_chars IS NOT NULL THEN '"a":{{"type":"integer"}}' END,
+          CASE WHEN text IS NOT NULL THEN '"b":{{"type":"string"}}' END) || '}},"required":[' ||
+          concat_ws(',', CASE WHEN n_chars IS NOT NULL THEN '"a"' END, CASE WHEN text IS NOT NULL THEN '"b"' END)
+          || '],"type":"object"}}' AS shape FROM documents"""
 
     # --- urls
     clean = "regexp_replace(url_decode(replace(p, '+', '%2B')), '/$', '')"

@@ -791,9 +791,9 @@ def canonical_hash(spark, sf):
 
 @query
 def text_hash(spark, sf):
-    """Canonical hash of document texts as JSON strings: non-ASCII text is escaped before hashing."""
+    """Canonical hash of whole document texts as JSON: non-ASCII text is escaped before hashing."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    quoted = F.to_json(F.struct(F.col("source").alias("b"), F.col("n_chars").alias("a")))
+    quoted = F.to_json(F.struct(F.col("text").alias("b"), F.col("n_chars").alias("a")))
     return d.select("doc_id", jsontools.canonical_hash(quoted).alias("hash"), jsontools.shape_json(quoted).alias("shape"))
 
 

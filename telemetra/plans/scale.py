@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 from telemetra.session import materialize
 
 BINS = 65_536
-SMALL_ROWS = 200_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
-    """Joins a large table with a usually small one of narrow rows.
-
-    The small side is counted (no further than the limit). Within the limit it is broadcast and the large
-    side stays where it is; beyond it both are shuffled and adaptive execution splits hot keys.
-    """
-    fits = small.limit(rows + 1).count() <= rows
-    return big.join(F.broadcast(small) if fits else small, list(on), how)
 
 
 def running_totals(

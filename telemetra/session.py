@@ -60,3 +60,23 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder this package wrote, through Hadoop's file system so that any store works."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, without hidden ones; none if the folder is not there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders that fit a pattern, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return sorted(f.getPath().toString() for f in found)
+
+
+def holds_data(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table is there."""
+    return bool(listing(spark, path))

@@ -6,6 +6,7 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,19 @@ def publish_batches(events: DataFrame, seq: str = "seq", batch: int = BATCH_EVEN
     )
 
 
+def _unsnappy(data: bytes) -> bytes:
+    """A raw snappy block. Its length stands in front, seven bits a byte; Arrow's codec wants to be told it."""
+    size = shift = 0
+    for byte in data:
+        size |= (byte & 127) << shift
+        shift += 7
+        if byte < 128:
+            break
+    if size > 64 * len(data):  # beyond what the format can hold, so nothing is allocated for it
+        raise ValueError("snappy length does not fit the data")
+    return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
+
+
 def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         bodies, errors = [], []
@@ -56,9 +70,7 @@ def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif coding == "gzip" or bytes(value[:2]) == b"\x1f\x8b":
                     body = gzip.decompress(bytes(value)).decode("utf-8")
                 elif coding == "snappy":
-                    import snappy
-
-                    body = snappy.decompress(bytes(value)).decode("utf-8")
+                    body = _unsnappy(bytes(value)).decode("utf-8")
                 else:
                     body = bytes(value).decode("utf-8")
             except UnicodeDecodeError as exc:

@@ -7,12 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from telemetra.functions.scalars import clamp
 from telemetra.operators.predictions import merge_predictions
 from telemetra.schemas import MINUTES
-from telemetra.session import scratch_dir
+from telemetra.session import holds_data, scratch_dir
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -65,10 +64,8 @@ def upsert_predictions(df: DataFrame, path: str, seq: str = "seq") -> int:
     dates = [r["date"] for r in new.select("date").distinct().collect()]
     if not dates:
         return 0
-    try:
-        old = spark.read.parquet(path).filter(F.col("date").isin(dates))
-    except AnalysisException:
-        old = None
+    # only a table that is not there counts as empty: a broken one must fail, not be written over
+    old = spark.read.parquet(path).filter(F.col("date").isin(dates)) if holds_data(spark, path) else None
     merged = with_date(merge_predictions(old, new.drop("date"), seq))
     staged = f"{scratch_dir(spark)}/predictions-out-{uuid.uuid4().hex}"
     merged.write.partitionBy("date").parquet(staged)

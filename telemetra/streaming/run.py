@@ -21,9 +21,8 @@ from telemetra.operators import deadletters, timing, validation
 from telemetra.operators.live import DEFAULT_RETENTION
 from telemetra.operators.predictions import alerts, label_risk, prediction_rows, run_metrics
 from telemetra.operators.serving_features import base_features
-from telemetra.plans.scale import join_small
 from telemetra.schemas import ALERT, ENDPOINT_KEY
-from telemetra.session import materialize, remove
+from telemetra.session import matching, materialize, remove
 from telemetra.sources import envelope
 from telemetra.sources.tables import upsert_predictions, with_date
 from telemetra.streaming.state import BASE, TICK_SCHEMA, start_stateful, stream_live, with_stream_history
@@ -66,18 +65,16 @@ def read_folders(spark: SparkSession, root: str, folders: list[str]) -> DataFram
 
 def hours_since(spark: SparkSession, root: str, since: dt.datetime) -> list[str]:
     """Folders of the hours from ``since`` on; there are as many as hours are retained."""
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/date=*/hour=*")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
     first = f"date={since.date().isoformat()}/hour={since.hour:02d}"
-    names = ["/".join(f.getPath().toString().split("/")[-2:]) for f in found]
-    return [f"{root}/{n}" for n in sorted(names) if n >= first]
+    names = ["/".join(p.split("/")[-2:]) for p in matching(spark, f"{root}/date=*/hour=*")]
+    return [f"{root}/{n}" for n in names if n >= first]
 
 
 def touched_ticks(spark: SparkSession, events: DataFrame, store: Store, batch_id: int) -> DataFrame | None:
     """Ticks that a batch of stored events creates or changes, computed by the batch operator.
 
     Reads only the hours of stored events since 16 minutes before the batch's oldest one, of the touched
-    endpoints.
+    endpoints. Events that were late when they arrived stay out, whichever batch brought them.
     """
     touched = events.groupBy(*ENDPOINT_KEY).agg(F.min(minute_index("time")).alias("since"))
     oldest = events.agg(F.min("time").alias("t")).first()["t"]
@@ -86,34 +83,43 @@ def touched_ticks(spark: SparkSession, events: DataFrame, store: Store, batch_id
     from_time = oldest.replace(second=0, microsecond=0) - LOOKBACK
     root = store.at("telemetry")
     recent = read_folders(spark, root, hours_since(spark, root, from_time))
-    recent = recent.filter(F.col("time") >= F.lit(from_time).cast(recent.schema["time"].dataType))
-    recent = join_small(recent, touched.select(*ENDPOINT_KEY), ENDPOINT_KEY, "left_semi")
+    recent = recent.filter(~F.col("is_late") & (F.col("time") >= F.lit(from_time).cast(recent.schema["time"].dataType)))
+    recent = recent.join(touched.select(*ENDPOINT_KEY), list(ENDPOINT_KEY), "left_semi")
     ticks = base_features(recent, cells_path=store.at(f"cells/batch={batch_id}"))
-    changed = join_small(ticks, touched, ENDPOINT_KEY).filter(F.col("minute") >= F.col("since"))
+    changed = ticks.join(touched, list(ENDPOINT_KEY)).filter(F.col("minute") >= F.col("since"))
     return changed.select(*ENDPOINT_KEY, "minute", "now_us", "events", *BASE)
 
 
 def store_events(events: DataFrame, store: Store, batch_id: int, late_after: dt.timedelta | None = timing.LATE_AFTER) -> dict:
-    """Appends telemetry, then writes the ticks of the events that are not late. Returns counters."""
+    """Appends telemetry, then writes the ticks of the events that are not late. Returns counters.
+
+    ``is_late`` is settled on arrival and stored with the row, so a later batch cannot count a late event.
+    """
     spark = events.sparkSession
     seen = Observation(f"stored-{batch_id}")
-    counted = with_date(events.observe(seen, F.count(F.lit(1)).alias("stored")))
+    late = F.lit(False) if late_after is None else timing.is_late(F.current_timestamp(), late_after)
+    judged = events.withColumn("is_late", late)
+    counted = with_date(judged.observe(seen, F.count(F.lit(1)).alias("stored"), F.count_if("is_late").alias("late")))
     hourly = counted.withColumn("hour", F.date_format("time", "HH"))
     write_batch(hourly, store.at("telemetry"), batch_id, "date", "hour")
     counters = dict(seen.get)
     if not counters["stored"]:
         return counters
-    on_time = read_folders(spark, store.at("telemetry"), [store.at(f"telemetry/date=*/hour=*/batch={batch_id}")])
-    if late_after is not None:
-        on_time, late = timing.drop_late(on_time, F.current_timestamp(), late_after)
-        counters["late"] = late.count()
-    ticks = touched_ticks(spark, on_time, store, batch_id)
+    own = read_folders(spark, store.at("telemetry"), [store.at(f"telemetry/date=*/hour=*/batch={batch_id}")])
+    ticks = touched_ticks(spark, own.filter(~F.col("is_late")), store, batch_id)
     if ticks is not None:
         write_batch(ticks, store.at("ticks"), batch_id)
         remove(spark, store.at(f"cells/batch={batch_id}"))
     return counters
 
 
+def forget_batch(spark: SparkSession, store: Store, batch_id: int) -> None:
+    """Removes what a batch that is set aside had already stored, so that its replay does not double it."""
+    for table in ("telemetry/date=*/hour=*", "ticks", "dlq"):
+        for folder in matching(spark, store.at(f"{table}/batch={batch_id}")):
+            remove(spark, folder)
+
+
 def attempt(work: Callable[[], object], attempts: int = ATTEMPTS) -> None:
     """Runs ``work``, again after growing waits when it fails; the last failure is raised."""
     wait = FIRST_WAIT_S
@@ -156,6 +162,7 @@ def start_ingest(
             attempt(work)
         except Exception as exc:
             # the batch is set aside whole, as raw messages, and the stream goes on
+            forget_batch(spark, store, batch_id)
             write_batch(deadletters.dlq_processing(batch, str(exc)), store.at("dlq_processing"), batch_id)
         finally:
             batch.unpersist()

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from telemetra.operators import deadletters
@@ -15,6 +16,10 @@ def body(*events):
     return json.dumps(list(events)).encode()
 
 
+def snappy(data):
+    return pa.compress(data, codec="snappy", asbytes=True)
+
+
 def test_decode_cases(spark):
     good, bad = {**GOOD, "extra": {"a": [1]}}, {**GOOD, "status": 7}
     messages = [
@@ -28,18 +33,20 @@ def test_decode_cases(spark):
         ([("Content-Encoding", b"SNAPPY")], b"x"),
         (None, body(good)),
         ([], body(3)),
+        ([("content-encoding", b"snappy")], snappy(body(*[good] * 40))),
+        ([("content-encoding", b"snappy")], b"\xff\xff\xff\xff\x0f"),  # claims four gigabytes
     ]
     rows = [("telemetry.raw", 0, i, h, v) for i, (h, v) in enumerate(messages)]
     ok, bad_rows = envelope.decode_messages(spark.createDataFrame(rows, ENVELOPE))
     counts = {r["offset"]: r["count"] for r in ok.groupBy("offset").count().collect()}
-    assert counts == {0: 2, 1: 1, 2: 1, 8: 1}
+    assert counts == {0: 2, 1: 1, 2: 1, 8: 1, 10: 40}
     reasons = {(r["offset"], r["pos"]): r["reason"] for r in bad_rows.collect()}
     assert reasons[(2, 1)] == "status must be a valid HTTP status"
     assert reasons[(4, None)].startswith("Decompression failed")
     assert reasons[(5, None)] == "JSON decode failed"
     assert reasons[(6, None)].startswith("Expected JSON array")
     assert reasons[(7, None)].startswith("Decompression failed")
-    assert set(reasons) == {(2, 1), (4, None), (5, None), (6, None), (7, None), (9, 0)}
+    assert set(reasons) == {(2, 1), (4, None), (5, None), (6, None), (7, None), (9, 0), (11, None)}
 
 
 def test_packing_keeps_order_and_size(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from telemetra.operators import predictions, retention
@@ -37,6 +39,14 @@ def test_upsert_keeps_highest_risk_and_last_rest(spark, tmp_path):
     assert stored(spark, path) == want
 
 
+def test_upsert_refuses_a_broken_table(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(AnalysisException):
+        tables.upsert_predictions(prediction(spark, [(1, 0, 5, 0.9, 1)]), path)
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_alert_boundary(spark):
     df = prediction(spark, [(1, 0, 0, 0.7999999, 1), (1, 1, 0, 0.8, 1)])
     rows = predictions.alerts(df).collect()

@@ -1,8 +1,10 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from telemetra.operators import retention
 from telemetra.operators.serving_features import serving_features
 from telemetra.plans.queries import fixture_risk
 from telemetra.schemas import ENDPOINT_KEY, FEATURES
@@ -105,3 +107,47 @@ def test_late_events_are_stored_without_ticks(spark, sf, tmp_path):
     counters = run.store_events(t, store, 0)  # the test data is years old
     assert counters["late"] == counters["stored"] == t.count()
     assert not (tmp_path / "store" / "ticks").exists()
+
+
+def test_late_events_stay_out_of_later_ticks(spark, sf, tmp_path):
+    """A batch after late ones gives the ticks of a store that never saw them."""
+    now = dt.datetime.now(dt.timezone.utc)
+    one = carrier.telemetry(spark, sf).drop("props").orderBy("seq").limit(1)
+
+    def event(minutes, status, seq):
+        row = one.withColumn("time", F.lit(now - dt.timedelta(minutes=minutes)).cast("timestamp"))
+        return row.withColumn("status", F.lit(status).cast("int")).withColumn("seq", F.lit(seq).cast("bigint"))
+
+    both, alone = run.Store(str(tmp_path / "both")), run.Store(str(tmp_path / "alone"))
+    assert run.store_events(event(31, 500, 1).unionByName(event(31, 500, 2)), both, 0)["late"] == 2
+    for store in (both, alone):
+        assert run.store_events(event(29, 200, 3), store, 1)["late"] == 0
+    ticks = [spark.read.parquet(s.at("ticks")).collect() for s in (both, alone)]
+    assert ticks[0] and ticks[0] == ticks[1]
+
+
+def test_stream_goes_on_after_an_api_is_deleted(spark, sf, tmp_path):
+    store = run.Store(str(tmp_path / "store"))
+    t = carrier.telemetry(spark, sf).drop("props").withColumn("time", F.col("time").cast("timestamp"))
+    run.store_events(t, store, 0, late_after=None)
+    root = store.at("telemetry")
+    first = t.select("org_id", "api_id").first()
+    hit = t.filter((F.col("org_id") == first[0]) & (F.col("api_id") == first[1])).count()
+    hours = run.hours_since(spark, root, dt.datetime(2000, 1, 1))
+    assert retention.delete_api(spark, root, *first) == hit
+    assert set(run.hours_since(spark, root, dt.datetime(2000, 1, 1))) <= set(hours)
+    run.store_events(t.filter("seq < 50"), store, 1, late_after=None)
+    left = spark.read.parquet(root)
+    assert left.count() == t.count() - hit + t.filter("seq < 50").count()
+    assert retention.partition_columns(spark, root) == ["date", "hour", "batch"]
+
+
+def test_a_batch_set_aside_leaves_nothing_stored(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(run, "touched_ticks", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("no ticks")))
+    source, store = str(tmp_path / "in"), run.Store(str(tmp_path / "store"))
+    m = messages(spark, sf)
+    m.write.parquet(source)
+    stream = envelope.read_envelopes(spark, source, streaming=True)
+    run.start_ingest(stream, store, store.at("cp"), late_after=None, trigger=ONCE).awaitTermination()
+    assert spark.read.parquet(store.at("dlq_processing")).count() == m.count()
+    assert not list((tmp_path / "store").rglob("telemetry/**/*.parquet")) and not list((tmp_path / "store").rglob("dlq/**/*.parquet"))
