@@ -49,26 +49,32 @@ class Trie:
             node[""] = term
 
     def within(self, word: str, most: int = EDITS) -> list[str]:
-        """All terms at a distance of at most ``most``. A state of the word's automaton is the row of distances
-        between the trie prefix and the word's prefixes, capped at ``most`` + 1; a state without a distance in reach
-        is dead, and its subtrie is not entered."""
-        found, over = [], most + 1
-        todo = [(self.root, tuple(min(i, over) for i in range(len(word) + 1)))]
+        """All terms at a distance of at most ``most``. A state of the word's automaton is a place in the word and the
+        edits used so far; it walks the trie along with a node. A branch without a step to take is dead, so only
+        prefixes that can still be within reach are followed."""
+        found, size = set(), len(word)
+        todo = [(self.root, 0, 0)]
         while todo:
-            node, row = todo.pop()
+            node, i, used = todo.pop()
+            if i == size and "" in node:
+                found.add(node[""])
+            if i < size and word[i] in node:
+                todo.append((node[word[i]], i + 1, used))
+            if used == most:
+                continue
+            if i < size:
+                todo.append((node, i + 1, used + 1))  # a letter too many
+            # with the last edit, the letter after it must fit at once
+            last = used + 1 == most
+            here = word[i] if i < size else ""
+            after = word[i + 1] if i + 1 < size else ""
             for c, child in node.items():
-                if not c:
-                    if row[-1] <= most:
-                        found.append(child)
-                    continue
-                last = min(row[0] + 1, over)
-                state = [last]
-                for i, w in enumerate(word):
-                    last = min(row[i] + (w != c), row[i + 1] + 1, last + 1, over)
-                    state.append(last)
-                if min(state) <= most:
-                    todo.append((child, tuple(state)))
-        return found
+                if c:
+                    if not last or here in child:  # a letter missing
+                        todo.append((child, i, used + 1))
+                    if here and c != here and (not last or after in child):  # another letter
+                        todo.append((child, i + 1, used + 1))
+        return list(found)
 
 
 class Lexicon:
