@@ -179,7 +179,9 @@ def near_duplicates(
     across = materialize(across.join(star, ["u", "v"], "left_anti"), "across")
     more = verify(across, sets, percent)
 
-    edges = links.union(more).union(classes.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    # stars found before, new links between them, and the members of classes: a round or two from the end
+    edges = first.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more)
+    edges = edges.union(classes.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     found = components(edges).withColumnRenamed("node", "doc_id")
     out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
