@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Words, documents, mix
+from telemetra.llm.common import documents, mix
 from telemetra.llm.components import components
 from telemetra.session import materialize
 
@@ -37,21 +37,37 @@ AGREE = 195
 _EMPTY = np.zeros(0, dtype=np.uint64)
 
 
-_words = Words()
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+with np.errstate(over="ignore"):
+    _SPREAD = mix(np.arange(64 << 8, dtype=np.uint64) + np.uint64(SEED))  # hashes of (place, byte); later places: the same rule
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text: the sum over a word's bytes of a hash of byte and place."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    at = np.flatnonzero(~_GAP[data])
+    if not len(at):
+        return _EMPTY
+    begin = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
+    at = (place << 8) + data[at]
+    spread = _SPREAD[at] if at.max() < len(_SPREAD) else mix(at.astype(np.uint64) + np.uint64(SEED))
+    return mix(np.add.reduceat(spread, begin))
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text; a shorter text is one shingle, no word gives none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return _EMPTY
-    h = _words.hashes(words)
-    n = max(1, len(words) - size + 1)
     with np.errstate(over="ignore"):
-        out = np.full(n, np.uint64(min(size, len(words))), dtype=np.uint64)
-        for k in range(min(size, len(words))):
+        h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+        if not len(h):
+            return _EMPTY
+        n = max(1, len(h) - size + 1)
+        out = np.full(n, np.uint64(min(size, len(h))), dtype=np.uint64)
+        for k in range(min(size, len(h))):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 class Circulant:
@@ -83,21 +99,23 @@ def _sketch(bands: int, rows: int):
         with np.errstate(over="ignore"):
             salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
             for batch in batches:
-                ids, sizes, keys, bits, keyed = [], [], [], [], []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, sizes, keys, made_from, least = batch.column(0).to_pylist(), [], [], [], []
+                for i, text in enumerate(batch.column(1)):
                     own = shingles(text.as_py())
-                    ids.append(doc_id)
                     sizes.append(len(own))
-                    if not len(own):
-                        keys.append(None), bits.append(None), keyed.append(None)
-                        continue
-                    signature = made.signature(own)
-                    keys.append(f"{len(own)}:{int(own.sum()):x}:{int(mix(own + np.uint64(SEED)).sum()):x}")
-                    bits.append(np.packbits((mix(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-                    hashed = salt
-                    for column in signature.reshape(bands, rows).T:
-                        hashed = mix(hashed * np.uint64(31) + column)
-                    keyed.append(hashed.view(np.int64))
+                    keys.append(f"{len(own)}:{int(own.sum()):x}:{int(mix(own + np.uint64(SEED)).sum()):x}" if len(own) else None)
+                    if len(own):
+                        made_from.append(i)
+                        least.append(made.signature(own))
+                bits, keyed = [None] * len(ids), [None] * len(ids)
+                if least:
+                    signatures = np.stack(least).astype(np.uint64)
+                    packed = np.packbits((mix(signatures) & np.uint64(1)).astype(np.uint8), axis=1)
+                    hashed = np.broadcast_to(salt, (len(least), bands))
+                    for k in range(rows):
+                        hashed = mix(hashed * np.uint64(31) + signatures[:, k::rows])
+                    for i, own_bits, own_bands in zip(made_from, packed, hashed.view(np.int64)):
+                        bits[i], keyed[i] = np.pad(own_bits, (0, -len(own_bits) % 8)).view(np.int64), own_bands
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip((ids, sizes, keys, bits, keyed), kinds)],
