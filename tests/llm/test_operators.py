@@ -109,6 +109,21 @@ def test_mixer_is_a_distribution():
     assert 0 < total <= 1.5 and np.isfinite(own.score([b"", *first])).all()
 
 
+def test_recent_words():
+    ids = np.random.default_rng(3).integers(0, 40, 900)
+    prob = np.full(len(ids), 1 / 40)
+    share, weight = mixing.recent(ids, prob)
+    for t in range(len(ids)):
+        assert share[t] == (np.count_nonzero(ids[:t] == ids[t]) / t if t else 0)
+    assert weight[0] == 0 and ((weight[1:] > 0) & (weight[1:] < 1)).all()
+    for t in (1, 5, 300, 899):  # the weight of a word does not depend on it, so the probabilities add up to one
+        other = ids.copy()
+        other[t] = 39 - other[t]
+        assert mixing.recent(other, prob)[1][t] == weight[t]
+    same = mixing.recent(np.zeros(600, dtype=np.int64), np.full(600, 1e-6))[1]
+    assert same[-1] > 0.9
+
+
 def test_chat(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", r"<\| <\\| <", "", None, "é\n<|im_end|>\n"]
     rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (1, 0, "user", "tie")]
