@@ -3,8 +3,8 @@
 A candidate is a run of characters that keys and tokens are made of. Its character class (digits, hex, letters,
 letters with digits, base64) sets the entropy that counts as random. A window slides over it; the counts of its
 characters, and with them the entropy, change by one character in and one out. Windows above the threshold are
-joined to a span. Allow-listed candidates (identifiers, addresses, paths, dates, placeholders) are left alone, and
-so is what a fixed pattern has found already.
+joined to a span. Allow-listed candidates (identifiers, addresses, paths, dates, placeholders) are left alone. What a
+fixed pattern has found already is cut out of the spans; every remainder that holds a full window stays.
 """
 
 from __future__ import annotations
@@ -84,6 +84,17 @@ def random_parts(s: str, window: int, threshold: float) -> list[tuple[int, int]]
     return out
 
 
+def remainders(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the ranges ``taken``, in order, leave of a range."""
+    out = []
+    for x, y in taken:
+        if x < b and y > a:
+            if x > a:
+                out.append((a, x))
+            a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 def find(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start and then kind."""
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
@@ -96,9 +107,15 @@ def find(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
         threshold = THRESHOLD[character_class(run)]
         if threshold < math.inf:
             parts = random_parts(run, window, threshold)
-            if parts and not ALLOWED.fullmatch(run) and not BEFORE.search(text[max(0, m.start() - 200) : m.start()]):
-                added += [("entropy", m.start() + a, m.start() + b) for a, b in parts]
-    added = [x for x in added if not any(a < x[2] and x[1] < b for _, a, b in base)] if added else added
+            if parts and not BEFORE.search(text[max(0, m.start() - 200) : m.start()]):
+                at = m.start()
+                taken = sorted((a - at, b - at) for _, a, b in base if a < m.end() and at < b)
+                if not taken:
+                    left = [] if ALLOWED.fullmatch(run) else parts
+                else:  # the rest of the run is judged without what is taken
+                    left = [x for part in parts for x in remainders(*part, taken) if x[1] - x[0] >= window]
+                    left = [(a, b) for a, b in left if random_parts(run[a:b], window, threshold) and not ALLOWED.fullmatch(run[a:b].strip("-=_+/"))]
+                added += [("entropy", at + a, at + b) for a, b in left]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
