@@ -109,6 +109,48 @@ def test_mixer_is_a_distribution():
     assert 0 < total <= 1.5 and np.isfinite(own.score([b"", *first])).all()
 
 
+def test_contexts_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 60)
+    monkeypatch.setattr(mixing, "DRAWN", 12)
+    rng = np.random.default_rng(5)
+    known = {bytes(rng.choice(list(b"ab\x01\xc3"), rng.integers(0, 7)).tolist()): int(rng.integers(0, 4)) for _ in range(700)}
+    known |= {b"x" * 90 + b"y" * k: 2 for k in range(5)} | {b"http://one.site/" + b"%d" % k: 1 for k in range(200)}
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in known.items()], "word binary, c long")
+    contexts = mixing.byte_contexts(counts)
+    first, cuts = mixing.first_order(contexts), mixing.cut_points(counts, len(known))
+    assert len(cuts) > 5 and cuts == sorted(set(cuts))
+    held = spark.sparkContext.broadcast((cuts, set()))
+    parted = counts.mapInArrow(mixing._parted(held), "word binary, c long, part long, chosen boolean")
+    after = mixing.answers(parted, contexts, held).toArrow()
+    part_of = {bytes(r.word): r.part for r in parted.collect()}
+    assert max(Counter(part_of.values()).values()) < 400
+
+    seen = Counter()  # by predictor, context, bits of the byte
+    for w, c in known.items():
+        key = w + b" "
+        for i, byte in enumerate(key):
+            for name in [*((k, (b"    " + key[:i])[-k:]) for k in range(1, 5)), (5, key[:i])]:
+                for k in range(9):
+                    seen[name, k, byte >> (8 - k)] += c
+    checked = 0
+    for part in sorted(set(part_of.values())):
+        own = sorted((w for w in known if part_of[w] == part), key=lambda w: w + b" ")
+        mine = after.filter(np.array(after.column("part").to_pylist()) == part)
+        for _, owner, node, bit, yes, no in mixing.Evidence(first, own, [known[w] for w in own], mine).chunks(4000):
+            at = 0
+            for i in dict.fromkeys(owner.tolist()):
+                key = own[i] + b" "
+                for j, byte in enumerate(key):
+                    for k in range(8):
+                        assert (owner[at], node[at], bit[at]) == (i, 1 << k | byte >> (8 - k), byte >> (7 - k) & 1)
+                        for n, name in enumerate([*((k, (b"    " + key[:j])[-k:]) for k in range(1, 5)), (5, key[:j])]):
+                            ones = seen[name, k + 1, byte >> (7 - k)]
+                            assert (yes[n, at], no[n, at]) == (ones, seen[name, k, byte >> (8 - k)] - ones)
+                        at += 1
+                checked += 1
+    assert checked == len(known)
+
+
 def test_recent_words():
     ids = np.random.default_rng(3).integers(0, 40, 900)
     prob = np.full(len(ids), 1 / 40)
