@@ -109,6 +109,24 @@ def test_mixer_is_a_distribution():
     assert 0 < total <= 1.5 and np.isfinite(own.score([b"", *first])).all()
 
 
+def test_all_byte_values_sum_to_one():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    first = rng.integers(0, 50, (mixing.TOTAL, 2))
+    ctx = [k << 32 | int.from_bytes(b" " * k, "big") for k in mixing.ORDERS]
+    follow = [[{"next": int(b), "n": int(n)} for b, n in zip(rng.permutation(256)[:40], rng.integers(1, 300, 40))] for _ in ctx]
+    after = pa.table({"ctx": pa.array(ctx, pa.int64()), "prefix": pa.array([None] * 3, pa.binary()), "after": pa.array(follow, pa.list_(pa.struct([("next", pa.int16()), ("n", pa.int64())])))})
+    own = [bytes([b]) for b in range(256)]
+    mixer = mixing.learn(first, own, rng.random(256) + 0.1)
+    total = 0.0
+    for _, owner, node, bit, yes, no in mixing.Evidence(first, own, rng.integers(0, 9, 256), after).chunks():
+        z = mixer.refined(mixer.mixed(mixing._stretch(yes, no, bit), mixing._gate(yes[-2:] + no[-2:])), node)
+        cost = np.logaddexp(0, np.where(bit == 1, -z, z)).reshape(-1, 2, 8)  # a byte and the space after it
+        total += np.exp(-cost[:, 0].sum(axis=1)).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
 def test_contexts_are_whole(spark, monkeypatch):
     monkeypatch.setattr(mixing, "PART", 60)
     monkeypatch.setattr(mixing, "DRAWN", 12)
