@@ -52,7 +52,7 @@ def pack_ids(ids: list[int]) -> bytes:
 class Encoder:
     """Ids of whole texts. Byte-level BPE never merges across a space that follows a non-space, so the parts
     between single spaces are encoded apart and remembered. Texts with other white space, where
-    that does not hold, are encoded whole."""
+    that does not hold, and texts that hold one of the tokenizer's added tokens are encoded whole."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
@@ -60,7 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         # parts by whether a space goes before them; of each kind the newer ones and the ones before
         self.known: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
         self.model = self.tokenizer.model
@@ -121,10 +122,9 @@ class Encoder:
                 out.append(pack_ids(self.tokenizer.encode(t, add_special_tokens=False).ids))
         return out
 
-    @staticmethod
-    def simple(text: str) -> bool:
-        """White space is single spaces and line feeds between other characters."""
-        return not UNUSUAL.search(text) and not text.endswith(("\n", " ")) and not text.startswith("\n")
+    def simple(self, text: str) -> bool:
+        """White space is single spaces and line feeds between other characters, and no added token is held."""
+        return not (self.added and self.added.search(text)) and not UNUSUAL.search(text) and not text.endswith(("\n", " ")) and not text.startswith("\n")
 
 
 #: two of space and line feed together; other white space and controls by code point

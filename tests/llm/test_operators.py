@@ -75,6 +75,17 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none)).count() == 0
 
 
+def test_packing_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y\nz <|endoftext", "one two, three", "<|endoftext|>\n\n  a", *map(str, TEXTS)]
+    want = [packing.pack_ids(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert packing.Encoder(path).encode(texts) == want and packing.pack_ids([64, 220, 50256, 275]) == want[0]
+
+
 def test_knapsack_and_program():
     rng = np.random.default_rng(3)
     sizes, prices = np.array([3, 5, 7]), rng.random(3)
