@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve, in DataFrame functions only.
 
-Several metadata dimensions are quantised at their quantiles, so that equal bins hold about equal rows and keep the
+Several metadata dimensions, texts by their whole values, are quantised at their quantiles, so that equal bins hold about equal rows and keep the
 order of the values. The bins are the coordinates of a cell on a Hilbert curve; rows in curve order are cut into runs
 of equal counts. Neighbours on the curve are close in every dimension, so each shard covers narrow ranges of all of
 them and readers can skip files by any.
@@ -16,6 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from telemetra.llm.common import table
 from telemetra.session import materialize
@@ -26,10 +27,31 @@ SHARDS = 16
 ACCURACY = 10_000
 
 
-def text_order(value: Column) -> Column:
-    """The first six bytes as a number that keeps the order of texts; null is lowest."""
-    head = F.rpad(F.hex(F.substring(value.cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def text_cuts(rows: DataFrame, dim: str, bits: int = BITS) -> tuple[int, list[str]]:
+    """The quantile cut points of a text dimension in the order of its whole values, nulls lowest: how many of the
+    2**bits - 1 are null, and the others.
+
+    Distinct values are counted and dealt out in ranges; totals of whole ranges are carried over, the rest is added up
+    inside a range.
+    """
+    counts = rows.groupBy(dim).agg(F.count("*").alias("_n"))
+    ranged = materialize(counts.where(F.col(dim).isNotNull()).repartitionByRange(dim).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect())  # a row a range
+    nulls = rows.where(F.col(dim).isNull()).count()
+    starts, total = [], nulls
+    for part, n in totals:
+        starts.append((part, total))
+        total += n
+    bins = 1 << bits
+    before = rows.sparkSession.createDataFrame(starts, "_range int, _before long")
+    along = Window.partitionBy("_range").orderBy(dim).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(F.broadcast(before), "_range").withColumn("_upto", F.col("_before") + F.sum("_n").over(along))
+    passed = upto.select(
+        dim, F.expr(f"(_upto - _n) * {bins} div {max(total, 1)}L").alias("low"), F.expr(f"_upto * {bins} div {max(total, 1)}L").alias("high")
+    )
+    found = passed.where("high > low").orderBy("low").collect()  # 2**bits at most
+    points = [r[dim] for r in found for k in range(r["low"] + 1, r["high"] + 1) if k < bins]
+    return (min(nulls * bins // total, bins - 1) if total else 0), points
 
 
 def cuts(rows: DataFrame, dims: Sequence[str], bits: int = BITS) -> list[list[int]]:
@@ -39,7 +61,7 @@ def cuts(rows: DataFrame, dims: Sequence[str], bits: int = BITS) -> list[list[in
     return [list(found[d] or []) for d in dims]
 
 
-def bin_of(value: Column, points: Sequence[int]) -> Column:
+def bin_of(value: Column, points: Sequence[int | str]) -> Column:
     """How many cut points are at most the value."""
     if not points:
         return F.lit(0)
@@ -95,12 +117,16 @@ def curve_index(coordinates: Sequence[Column], bits: int) -> Column:
 
 
 def positions(rows: DataFrame, dims: Sequence[str], key: str, bits: int = BITS) -> DataFrame:
-    """Adds ``curve`` and ``position`` (0, 1, 2 ... along the curve) to stored rows with numeric ``dims``. Inside a
-    cell rows follow a hash of ``key``, then ``key``."""
-    points = cuts(rows, dims, bits)
+    """Adds ``curve`` and ``position`` (0, 1, 2 ... along the curve) to stored rows with numeric or text ``dims``. Inside
+    a cell rows follow a hash of ``key``, then ``key``."""
+    texts = [d for d in dims if rows.schema[d].dataType == StringType()]
+    numbers = [d for d in dims if d not in texts]
+    points = {d: (0, p) for d, p in zip(numbers, cuts(rows, numbers, bits))} if numbers else {}
+    points |= {d: text_cuts(rows, d, bits) for d in texts}
     cell = F.lit(0)
-    for d, p in zip(dims, points):
-        cell = cell * (1 << bits) + bin_of(F.col(d), p)
+    for d in dims:
+        lowest, p = points[d]
+        cell = cell * (1 << bits) + lowest + bin_of(F.col(d), p)
     placed = rows.withColumn("_cell", cell).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
     counts = materialize(placed.groupBy("_cell", "_part").agg(F.count("*").alias("_n")), "cells")
     axes = [F.floor(F.col("_cell") / (1 << bits * i)).cast("int").bitwiseAND((1 << bits) - 1) for i in reversed(range(len(dims)))]
@@ -117,15 +143,14 @@ def positions(rows: DataFrame, dims: Sequence[str], key: str, bits: int = BITS)
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, size and crc32 of the text, and the dimensions lang, source and size as numbers, stored: the texts are
-    read once."""
+    """doc_id, size and crc32 of the text, and the dimensions lang and source, stored: the texts are read once."""
     text = F.col("text").cast("binary")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("").cast("binary"))).alias("text_crc32"),
-        text_order(F.col("lang")).alias("_lang"),
-        text_order(F.col("source")).alias("_source"),
+        F.col("lang").cast("string").alias("_lang"),
+        F.col("source").cast("string").alias("_source"),
     )
     return materialize(rows, "described")
 

@@ -348,6 +348,19 @@ def test_hilbert(spark, docs, none):
     assert hilbert.shard(none).count() == 0
 
 
+def test_hilbert_whole_sources(spark):
+    sources = [None] * 150 + [f"https://site.org/{i * i % 97:03d}/é{i % 7}" for i in range(1050)]
+    docs = spark.createDataFrame([(i, "text", "en", s) for i, s in enumerate(sources)], "doc_id long, text string, lang string, source string")
+    nulls, points = hilbert.text_cuts(docs, "source")
+    ordered = sorted(sources, key=lambda s: b"" if s is None else s.encode())
+    want = [ordered[-(-len(ordered) * k // 32) - 1] for k in range(1, 32)]
+    assert [None] * nulls + points == want
+    curve = {}
+    for r in hilbert.shard(docs).select("doc_id", "curve").collect():
+        curve.setdefault(sum(p is None or (sources[r.doc_id] is not None and p <= sources[r.doc_id]) for p in want), set()).add(r.curve)
+    assert len(curve) > 25 and all(len(c) == 1 for c in curve.values()) and len(set.union(*curve.values())) == len(curve)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
