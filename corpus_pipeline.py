@@ -59,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: tokens, learned languages and entropy windows are beyond SQL; the tests hold each stage against brute force
+#: tokens, learned languages and entropy windows are beyond SQL
 ORACLE_SQL = None
 
 
