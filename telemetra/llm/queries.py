@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetra.llm import chat, decontaminate, dedup, hilbert, language, mixing, packing, quality, secrets, toxicity
+from telemetra.llm import chat, decontaminate, dedup, hilbert, language, mixing, packing, quality, secrets, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_isolation_forest": quality.op8_isolation_forest,
         "op9_aho_corasick": decontaminate.op9_aho_corasick,
         "op10_hilbert": hilbert.op10_hilbert,
+        "op11_polarisation": whitening.op11_polarisation,
     }
 
 
