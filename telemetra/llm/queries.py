@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemetra.llm import chat, decontaminate, dedup, hilbert, language, mixing, packing, quality, secrets, toxicity, whitening
+from telemetra.llm import chat, decontaminate, dedup, divergence, hilbert, language, licenses, mixing, packing, quality, secrets, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_aho_corasick": decontaminate.op9_aho_corasick,
         "op10_hilbert": hilbert.op10_hilbert,
         "op11_polarisation": whitening.op11_polarisation,
+        "op12_spimi": divergence.op12_spimi,
+        "op13_template_automata": licenses.op13_template_automata,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_typed_parts": chat.OP3_SQL, "op5_minhash": dedup.OP5_SQL, "op9_aho_corasick": decontaminate.OP9_SQL}
+    return {
+        "op3_typed_parts": chat.OP3_SQL,
+        "op5_minhash": dedup.OP5_SQL,
+        "op9_aho_corasick": decontaminate.OP9_SQL,
+        "op12_spimi": divergence.OP12_SQL,
+    }
