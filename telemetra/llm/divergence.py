@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +30,15 @@ from telemetra.session import materialize
 
 MIN_DOCS = 3
 TOP = 200
-#: postings in memory before a block is spilled: about 160 bytes each
-POSTINGS = 400_000
+#: postings in memory before a block is spilled, up to about 150 bytes each while it is put in order
+POSTINGS = 600_000
 SHARDS = 1024
 #: runs merged at once
 FAN = 256
 CHUNK = 2048
-#: texts are split into words in slices of this many bytes
+#: texts are split into words in slices of about this many bytes
 SLICE = 4_000_000
+ROWS = 512
 SLOTS = 16
 FLUSH = 200_000
 
@@ -45,70 +47,125 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 els
 
 _POSTINGS = "terms array<binary>, docs array<long>, sizes array<int>, sources array<string>, counts array<long>"
 RUN = f"shard int, lang string, run string, first binary, {_POSTINGS}"
+RUN_COLUMNS = ["shard", "lang", "run", "first", "terms", "docs", "sizes", "sources", "counts"]
 FREQUENCY = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
-def terms(text: str) -> Iterator[list[bytes]]:
-    """The terms of a whole text in order, a slice at a time; slices end between terms."""
+def tokens(data: bytes) -> pa.Array:
+    """The words of normalised bytes, as one Arrow array."""
+    inside = np.frombuffer(data, dtype=np.uint8) != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    ends = np.concatenate([[0], np.cumsum(edges[1::2] - edges[::2])])
+    words = data.translate(None, b" ")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(words)])
+
+
+def slices(text: str) -> Iterator[bytes]:
+    """A whole text, normalised, in slices that end between terms."""
     data = text.encode().translate(LETTERS)
     at = 0
     while at < len(data):
         end = len(data) if len(data) - at <= SLICE else data.find(b" ", at + SLICE)
         end = len(data) if end < 0 else end
-        yield data[at:end].split()
+        yield data[at:end]
         at = end
 
 
+def counted(parts: list[bytes], owners: list[int]) -> pa.Table:
+    """Postings (group, term, count, docs) of whole normalised texts, each with the number of its group."""
+    parts = [p + b" " for p in parts]
+    found = tokens(b"".join(parts)).dictionary_encode()
+    terms = max(1, len(found.dictionary))
+    # words a text: beginnings of words in its bytes
+    data = np.frombuffer(b" " + b"".join(parts), dtype=np.uint8) != 32
+    begins = np.concatenate([[0], np.cumsum(data[1:] & ~data[:-1])])
+    words = np.diff(begins[np.concatenate([[0], np.cumsum([len(p) for p in parts])])])
+    texts = np.repeat(np.arange(len(parts), dtype=np.int64), words)
+    key, times = np.unique(texts * terms + found.indices.to_numpy(), return_counts=True)
+    group = np.array(owners, dtype=np.int64)[key // terms]
+    key, at = np.unique(group * terms + key % terms, return_inverse=True)
+    count = np.zeros(len(key), dtype=np.int64)
+    np.add.at(count, at, times)
+    return pa.table({"group": key // terms, "term": found.dictionary.take(pa.array(key % terms)), "count": count, "docs": np.bincount(at, minlength=len(key))})
+
+
+def long_text(text: str, owner: int) -> pa.Table:
+    """Postings of one text that is taken in slices; it is one document."""
+    own = [counted([part], [owner]).select(["term", "count"]) for part in slices(text)]
+    one = pa.concat_tables(own).group_by("term").aggregate([("count", "sum")])
+    return pa.table({"group": np.full(len(one), owner), "term": one["term"], "count": one["count_sum"], "docs": np.ones(len(one), dtype=np.int64)})
+
+
 class Block:
-    """Postings in memory: occurrences by language, source and term, documents by language and term."""
+    """Postings in memory: occurrences and documents by language, source and term."""
 
     def __init__(self):
-        self.counts: dict[tuple[str, str], Counter] = {}
-        self.docs: dict[str, Counter] = {}
-        self.size = 0
+        self.groups: dict[tuple[str, str], int] = {}
+        self.tables: list[pa.Table] = []
+        self.parts: list[bytes] = []
+        self.owners: list[int] = []
+        self.waiting = self.size = 0
 
     def add(self, lang: str, source: str, text: str) -> None:
-        own = self.counts.setdefault((lang, source), Counter())
-        docs = self.docs.setdefault(lang, Counter())
-        before, distinct = len(own) + len(docs), set()
-        for part in terms(text):
-            own.update(part)
-            distinct.update(part)
-        docs.update(distinct)
-        self.size += len(own) + len(docs) - before
-
-    def chunks(self, shards: int) -> Iterator[tuple]:
-        """The block in order of shard, language and term, as rows of ``RUN`` without the run."""
-        for lang, docs in self.docs.items():
-            order = sorted(docs, key=lambda t: (zlib.crc32(t) % shards, t))
-            rank = {t: i for i, t in enumerate(order)}
-            ranks, sources, counts = [], [], []
-            for (other, source), own in self.counts.items():
-                if other == lang:
-                    ranks.append(np.fromiter(map(rank.__getitem__, own), np.int64, len(own)))
-                    counts.append(np.fromiter(own.values(), np.int64, len(own)))
-                    sources += [source] * len(own)
-            if not order:
-                continue
-            of = np.concatenate(ranks)
-            by = np.argsort(of, kind="stable")
-            counts, sizes = np.concatenate(counts)[by].tolist(), np.bincount(of, minlength=len(order))
-            sources = [sources[i] for i in by.tolist()]
-            ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            shard = [zlib.crc32(t) % shards for t in order]
-            cuts = [0, *(i for i in range(1, len(order)) if shard[i] != shard[i - 1]), len(order)]
-            for a, b in zip(cuts, cuts[1:]):
-                yield from _cut(shard[a], lang, order[a:b], [docs[t] for t in order[a:b]], sizes[a:b].tolist(), sources[ends[a] : ends[b]], counts[ends[a] : ends[b]])
-
-
-def _cut(shard: int, lang: str, names: list, docs: list, sizes: list, sources: list, counts: list) -> Iterator[tuple]:
-    """Chunks that end once they have ``CHUNK`` postings."""
-    start, at, begun = 0, 0, 0
-    for i, n in enumerate(sizes):
-        at += n
-        if at - begun >= CHUNK or i == len(sizes) - 1:
-            yield shard, lang, names[start], names[start : i + 1], docs[start : i + 1], sizes[start : i + 1], sources[begun:at], counts[begun:at]
-            start, begun = i + 1, at
+        owner = self.groups.setdefault((lang, source), len(self.groups))
+        if len(text) > SLICE:
+            self._take(long_text(text, owner))
+        else:
+            self.parts.append(text.encode().translate(LETTERS))
+            self.owners.append(owner)
+            self.waiting += len(self.parts[-1])
+            if self.waiting > SLICE:
+                self._count()
+
+    def _take(self, postings: pa.Table) -> None:
+        self.tables.append(postings)
+        self.size += len(postings)
+
+    def _count(self) -> None:
+        if self.parts:
+            self._take(counted(self.parts, self.owners))
+        self.parts, self.owners, self.waiting = [], [], 0
+
+    def run(self, shards: int, name: str) -> Iterator[pa.RecordBatch]:
+        """The block as a run: chunks in order of shard, language and term."""
+        self._count()
+        if not self.size:
+            return
+        whole = pa.concat_tables(self.tables)
+        term = whole["term"].combine_chunks().dictionary_encode()
+        names = term.dictionary
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        shard = np.fromiter((zlib.crc32(t) % shards for t in names.to_pylist()), np.int64, len(names))
+        langs = sorted({lang for lang, _ in self.groups})
+        lang_of = np.array([langs.index(lang) for lang, _ in self.groups])
+        group, code = whole["group"].to_numpy(), term.indices.to_numpy()
+        part = shard[code] * len(langs) + lang_of[group]  # chunks do not cross these
+        entry = part * len(names) + rank[code]
+        order = np.lexsort((group, entry))
+        entry, group, code, part = entry[order], group[order], code[order], part[order]
+        first = np.flatnonzero((np.diff(entry, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+        count, docs = (np.add.reduceat(whole[c].to_numpy()[order], first) for c in ("count", "docs"))
+        entry, group, code, part = entry[first], group[first], code[first], part[first]
+        starts = np.flatnonzero(np.diff(entry, prepend=-1))  # postings at which a term begins
+        part = part[starts]
+        # a chunk ends with its part, or at the first term behind a multiple of CHUNK postings
+        cuts = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(starts // CHUNK, prepend=-1) != 0))
+        sources = pa.array([source for _, source in self.groups], pa.string())
+        lists = lambda at, n, values: pa.ListArray.from_arrays(pa.array(np.append(at, n), pa.int32()), values)
+        entries = lambda values: lists(cuts, len(starts), values)
+        rows = lambda values: lists(starts[cuts], len(entry), values)
+        ordered = names.take(pa.array(code[starts])).cast(pa.binary())
+        whole = pa.RecordBatch.from_arrays(
+            [
+                pa.array(part[cuts] // len(langs), pa.int32()), pa.array([langs[k] for k in part[cuts] % len(langs)], pa.string()),
+                pa.array([name] * len(cuts), pa.string()), ordered.take(pa.array(cuts)), entries(ordered),
+                entries(pa.array(np.add.reduceat(docs, starts), pa.int64())), entries(pa.array(np.diff(np.append(starts, len(entry))), pa.int32())),
+                rows(sources.take(pa.array(group))), rows(pa.array(count, pa.int64())),
+            ],
+            names=RUN_COLUMNS,
+        )
+        yield from (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS))
 
 
 def _batch(chunks: list[tuple], run: str) -> pa.RecordBatch:
@@ -119,7 +176,7 @@ def _batch(chunks: list[tuple], run: str) -> pa.RecordBatch:
             pa.array(names, pa.list_(pa.binary())), pa.array(docs, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())),
             pa.array(sources, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64())),
         ],
-        names=["shard", "lang", "run", "first", "terms", "docs", "sizes", "sources", "counts"],
+        names=RUN_COLUMNS,
     )
 
 
@@ -144,67 +201,76 @@ def _spill(shards: int, postings: int):
             for row in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
                 block.add(*(x.as_py() for x in row))
                 if block.size >= postings:
-                    yield from _batches(block.chunks(shards), f"{task}:{runs}")
+                    yield from block.run(shards, f"{task}:{runs}")
                     block, runs = Block(), runs + 1
-        yield from _batches(block.chunks(shards), f"{task}:{runs}")
+        yield from block.run(shards, f"{task}:{runs}")
 
     return run
 
 
-def merged(chunks: Iterator[tuple]) -> Iterator[tuple]:
-    """Terms of one shard and language, from chunks ordered by their first term: (term, docs, sources, counts).
+def merged(chunks: Iterator[tuple], min_docs: int = 0) -> Iterator[tuple]:
+    """Terms of one shard and language in at least ``min_docs`` documents, from chunks ordered by their first term:
+    (term, docs, sources, counts).
 
     The heap holds the next term of every open chunk. A chunk is opened when its first term is not behind the heap's.
     """
-    heap: list[tuple[bytes, int]] = []
-    opened: dict[int, Iterator[tuple]] = {}
+    heap: list[tuple[bytes, int, int]] = []  # term, chunk, place in it
+    opened: dict[int, tuple] = {}
     waiting, number = next(chunks, None), 0
     while waiting is not None or heap:
         while waiting is not None and (not heap or waiting[0] <= heap[0][0]):
-            entries = _entries(*waiting[1:])
-            opened[number] = entries
-            heapq.heappush(heap, (waiting[0], number))
+            _, names, docs, sizes, sources, counts = waiting
+            opened[number] = names, docs, [0, *accumulate(sizes)], sources, counts
+            heapq.heappush(heap, (waiting[0], number, 0))
             waiting, number = next(chunks, None), number + 1
-        term, docs, found = heap[0][0], 0, Counter()
-        while heap and heap[0][0] == term:
-            own = heap[0][1]
-            n, sources, counts = next(opened[own])
-            docs += n
-            for s, c in zip(sources, counts):
-                found[s] += c
-            following = next(opened[own], None)
-            if following is None:
+        term, own, at = heap[0]
+        total, same = 0, []
+        while True:
+            names = opened[own][0]
+            total += opened[own][1][at]
+            same.append((opened[own], at))
+            if at + 1 < len(names):
+                heapq.heapreplace(heap, (names[at + 1], own, at + 1))
+            else:
                 heapq.heappop(heap)
                 del opened[own]
-            else:
-                heapq.heapreplace(heap, (following, own))
-        yield term, docs, list(found), list(found.values())
-
-
-def _entries(names: list, docs: list, sizes: list, sources: list, counts: list) -> Iterator:
-    """After the first term, in turn: (documents, sources, counts) of a term, and the next term."""
-    at = 0
-    for i, n in enumerate(sizes):
-        if i:
-            yield names[i]
-        yield docs[i], sources[at : at + n], counts[at : at + n]
-        at += n
+            if not heap or heap[0][0] != term:
+                break
+            _, own, at = heap[0]
+        if total >= min_docs:
+            found: dict[str, int] = {}
+            for (_, _, ends, sources, counts), at in same:
+                for k in range(ends[at], ends[at + 1]):
+                    found[sources[k]] = found.get(sources[k], 0) + counts[k]
+            yield term, total, list(found), list(found.values())
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
     """Chunks of ordered rows by (run group, shard, language)."""
-    from itertools import groupby
 
     def rows():
-        columns = ("group", "shard", "lang", "first", "terms", "docs", "sizes", "sources", "counts")
         for batch in batches:
-            for k in range(batch.num_rows):
-                yield tuple(batch.column(c)[k].as_py() for c in columns)
+            plain = [batch.column(c).to_pylist() for c in ("group", "shard", "lang", "first")]
+            yield from zip(*plain, *(_lists(batch.column(c)) for c in ("terms", "docs", "sizes", "sources", "counts")))
 
     for key, own in groupby(rows(), key=lambda r: r[:3]):
         yield key, (r[3:] for r in own)
 
 
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, their values taken out of Arrow at once."""
+    values = column.flatten()
+    if pa.types.is_integer(values.type):
+        values = values.to_numpy(zero_copy_only=False).tolist()
+    elif pa.types.is_string(values.type):  # a source is one object however often it occurs
+        coded = values.dictionary_encode()
+        values = np.array(coded.dictionary.to_pylist(), dtype=object)[coded.indices.to_numpy()].tolist()
+    else:
+        values = values.to_pylist()
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return (values[a:b] for a, b in zip([0, *ends], ends))
+
+
 def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the runs of a group into one run."""
 
@@ -230,13 +296,12 @@ def _frequencies(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
         for (_, _, lang), rows in _by_shard(batches):
-            for term, docs, sources, counts in merged(rows):
-                if docs >= min_docs:
-                    kept.append((lang, term.decode(), docs, sources, counts))
-                    size += len(counts)
-                    if size >= FLUSH:
-                        yield _table(kept)
-                        kept, size = [], 0
+            for term, docs, sources, counts in merged(rows, min_docs):
+                kept.append((lang, term.decode(), docs, sources, counts))
+                size += len(counts)
+                if size >= FLUSH:
+                    yield _table(kept)
+                    kept, size = [], 0
         if kept:
             yield _table(kept)
 

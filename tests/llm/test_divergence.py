@@ -84,10 +84,13 @@ def test_heap_opens_chunks_late():
     assert [t for t, *_ in got] == sorted(seen) and all(sum(c) == seen[t] for t, _, _, c in got)
 
 
-def test_slices_end_between_terms():
+def test_slices_end_between_terms(monkeypatch):
     text = "alpha béta 12 gamma " * 50
-    divergence_terms = [t for part in divergence.terms(text) for t in part]
-    assert [t.decode() for t in divergence_terms] == terms(text)
+    for size in (7, 100, 10_000):
+        monkeypatch.setattr(divergence, "SLICE", size)
+        parts = list(divergence.slices(text))
+        assert [t.decode() for p in parts for t in divergence.tokens(p).to_pylist()] == terms(text) and (len(parts) > 1) == (size < 2000)
+    assert divergence.tokens(b"").to_pylist() == [] and divergence.tokens(b"a").to_pylist() == [b"a"]
 
 
 def test_empty(spark):
