@@ -109,3 +109,93 @@ def test_cross_validation(spark, trained):
     rows = df.withColumn("time", F.timestamp_seconds(F.col("id") * 60 + 1_704_067_200))
     auc = scoring.fold_auc(rows, ["time", "id"], NAMES, folds=2, rounds=2, depth=2, rate=0.3).collect()
     assert [r["fold"] for r in auc] == [1, 2] and all(0.5 < r["auc"] <= 1 for r in auc)
+
+
+def test_walk_down_the_node_table_equals_the_model(spark, trained):
+    from telemetra.functions.trees import margins, model_nodes
+
+    df, model, path = trained
+    want = {r["id"]: r["risk_score"] for r in scoring.with_risk(df, model, NAMES).collect()}
+    got = margins(df, ["id"], model_nodes(spark, f"{path}/trees"), NAMES).collect()
+    assert len(got) == len(want) == 600
+    for r in got:
+        assert 1 / (1 + math.exp(-r["margin"])) == pytest.approx(want[r["id"]], abs=1e-9)
+
+
+def big_model(trees, depth, seed):
+    """Complete random trees as a node table."""
+    import numpy as np
+    import pandas as pd
+
+    rng, rows = np.random.default_rng(seed), []
+    for tree in range(trees):
+        covers = {0: 1000.0}
+        for i in range(2 ** (depth + 1) - 1):
+            inner = i < 2**depth - 1
+            if inner:
+                share = rng.uniform(0.1, 0.9)
+                covers[2 * i + 1], covers[2 * i + 2] = covers[i] * share, covers[i] * (1 - share)
+            rows.append((tree, 0.01, i, 2 * i + 1 if inner else -1, 2 * i + 2 if inner else -1, int(rng.integers(25)) if inner else -1, float(rng.normal()) if inner else 0.0, covers[i], float(rng.normal())))
+    return pd.DataFrame(rows, columns=["tree", "weight", "id", "left", "right", "feature", "threshold", "cover", "prediction"])
+
+
+def test_large_model_in_several_passes(spark, monkeypatch):
+    """700 trees of depth 6: the parts sum to the margin, however the trees are dealt into passes."""
+    import numpy as np
+
+    from telemetra.functions import trees
+
+    nodes = big_model(700, 6, 1)
+    x = np.random.default_rng(0).normal(size=(60, 25))
+    names = [f"f{i}" for i in range(25)]
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *names])
+    table = spark.createDataFrame(nodes)
+    monkeypatch.setattr(trees, "PASS_NODES", 40_000)
+    got = trees.explain_nodes(rows, table, names).orderBy("id").collect()
+    margin = {i: 0.0 for i in range(60)}
+    by_tree = {t: own.set_index("id").to_dict("index") for t, own in nodes.groupby("tree")}
+    for i, row in enumerate(x):
+        for tree in by_tree.values():
+            n = tree[0]
+            while n["left"] >= 0:
+                n = tree[n["left"] if row[n["feature"]] <= n["threshold"] else n["right"]]
+            margin[i] += 2 * n["weight"] * n["prediction"]
+    base, leaves = trees.build_leaves(nodes)
+    whole = trees.contributions(x, leaves)
+    for r in got:
+        assert r["base_score"] == pytest.approx(base) and r["contributions"] == pytest.approx(whole[r["id"]].tolist(), abs=1e-9)
+        assert r["base_score"] + sum(r["contributions"]) == pytest.approx(margin[r["id"]], abs=1e-9)
+    assert trees.explain_nodes(rows, table.limit(0), names).first()["contributions"] == [0.0] * 25
+
+
+def test_polynomial_equals_subsets(spark):
+    """Features met several times on a path, against the definition."""
+    from itertools import combinations
+    from math import factorial
+
+    import numpy as np
+
+    from telemetra.functions import trees
+
+    nodes = big_model(4, 4, 3)
+    nodes["feature"] = nodes["feature"].where(nodes["feature"] < 0, nodes["feature"] % 5)
+    x = np.random.default_rng(5).normal(size=(7, 5))
+    by_tree = [own.set_index("id").to_dict("index") for _, own in nodes.groupby("tree")]
+
+    def value(tree, node, row, known):
+        n = tree[node]
+        if n["left"] < 0:
+            return 2 * n["weight"] * n["prediction"]
+        if n["feature"] in known:
+            return value(tree, n["left"] if row[n["feature"]] <= n["threshold"] else n["right"], row, known)
+        return sum(tree[c]["cover"] / n["cover"] * value(tree, c, row, known) for c in (n["left"], n["right"]))
+
+    got = trees.contributions(x, trees.build_leaves(nodes)[1])
+    for i, row in enumerate(x):
+        for j in range(5):
+            others = [k for k in range(5) if k != j]
+            want = sum(
+                factorial(len(s)) * factorial(4 - len(s)) / factorial(5) * (value(t, 0, row, {*s, j}) - value(t, 0, row, set(s)))
+                for size in range(5) for s in combinations(others, size) for t in by_tree
+            )
+            assert got[i, j] == pytest.approx(want, abs=1e-9)
