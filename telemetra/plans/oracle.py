@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telemetra.sources.carrier import PATHS, SCHEMA_ITEM, SCHEMA_LIST
+from telemetra.sources.carrier import MODEL_FEATURES, MODEL_NODES, PATHS, SCHEMA_ITEM, SCHEMA_LIST
 
 # Digits kept of a double: engines may differ in the last bits. One feature is tiny and keeps more.
 DIGITS = {"*": 6, "traffic_utilization_proxy": 9}
@@ -262,6 +262,39 @@ _URL = """SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1))
     regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages"""
 
 
+NODES = f"""nodes(tree, weight, id, l, r, feature, threshold, cover, prediction) AS (VALUES
+    {", ".join("(" + ", ".join(f"{v}::double" if isinstance(v, float) else str(v) for v in row) + ")" for row in MODEL_NODES)})"""
+# the definition: a leaf's value for every set of known features, weighed over the sets without a feature
+SHAPLEY = f"""long AS (SELECT time, {S}, unnest(range({len(MODEL_FEATURES)})) AS feature, unnest([{", ".join(MODEL_FEATURES)}]) AS x FROM m),
+anc AS (SELECT tree, id AS leaf, id AS node FROM nodes WHERE l < 0
+  UNION ALL SELECT anc.tree, leaf, n.id FROM anc JOIN nodes n ON n.tree = anc.tree AND anc.node IN (n.l, n.r)),
+steps AS (SELECT anc.tree, leaf, p.feature, p.threshold, p.l = c.id AS goes_left, c.cover / p.cover AS share
+  FROM anc JOIN nodes c ON c.tree = anc.tree AND c.id = anc.node JOIN nodes p ON p.tree = anc.tree AND anc.node IN (p.l, p.r)),
+box AS (SELECT *, row_number() OVER (PARTITION BY tree, leaf ORDER BY feature) - 1 AS bit, count(*) OVER (PARTITION BY tree, leaf) AS d
+  FROM (SELECT tree, leaf, feature, max(threshold) FILTER (NOT goes_left) AS low, min(threshold) FILTER (goes_left) AS high,
+    product(share) AS cover FROM steps GROUP BY 1, 2, 3)),
+inside AS (SELECT time, {S}, tree, leaf, feature, bit, d, cover,
+    CASE WHEN (low IS NULL OR x > low) AND (high IS NULL OR x <= high) THEN 1.0::double ELSE 0.0::double END AS hit
+  FROM long JOIN box USING (feature)),
+game AS (SELECT time, {S}, tree, leaf, k, product(CASE WHEN (k >> bit) & 1 = 1 THEN hit ELSE cover END) AS v
+  FROM (SELECT *, unnest(range(1 << d)) AS k FROM inside) GROUP BY ALL),
+parts AS (SELECT i.time, {", ".join("i." + c for c in S.split(", "))}, i.feature, sum(2 * n.weight * n.prediction * (b.v - a.v)
+      * factorial(bit_count(a.k)::int) * factorial((i.d - 1 - bit_count(a.k))::int) / factorial(i.d::int)) AS part
+  FROM inside i JOIN nodes n ON n.tree = i.tree AND n.id = i.leaf
+  JOIN game a ON a.time = i.time AND {" AND ".join(f"a.{c} = i.{c}" for c in S.split(", "))} AND a.tree = i.tree AND a.leaf = i.leaf AND (a.k >> i.bit) & 1 = 0
+  JOIN game b ON b.time = i.time AND {" AND ".join(f"b.{c} = i.{c}" for c in S.split(", "))} AND b.tree = i.tree AND b.leaf = i.leaf AND b.k = a.k + (1 << i.bit)
+  GROUP BY ALL),
+wide AS (SELECT time, {S}, {", ".join(f"sum(part) FILTER (feature = {i}) AS by_{n}" for i, n in enumerate(MODEL_FEATURES))}, sum(part) AS parts,
+    arg_max(feature, abs(part)) AS top FROM parts GROUP BY ALL),
+base AS (SELECT sum(2 * weight * prediction * reach) AS base_score
+  FROM (SELECT tree, leaf, product(share) AS reach FROM steps GROUP BY 1, 2) s JOIN nodes n ON n.tree = s.tree AND n.id = s.leaf)"""
+WALK = f"""walk AS (SELECT time, {S}, [{", ".join(MODEL_FEATURES)}] AS x, tree, 0 AS node FROM m, (SELECT DISTINCT tree FROM nodes)
+  UNION ALL SELECT time, {S}, x, walk.tree, CASE WHEN x[feature + 1] <= threshold THEN l ELSE r END
+    FROM walk JOIN nodes ON nodes.tree = walk.tree AND id = node WHERE l >= 0),
+risk AS (SELECT time, {S}, 1 / (1 + exp(-sum(2 * weight * prediction))) AS risk_score
+  FROM walk JOIN nodes ON nodes.tree = walk.tree AND id = node WHERE l < 0 GROUP BY ALL)"""
+
+
 def _train(*names: str) -> str:
     return f"WITH {TEL}, {MIN}, {TRAIN} SELECT time, {S}, {', '.join(R(n) for n in names)} FROM train"
 
@@ -401,6 +434,13 @@ def oracle_sql() -> dict[str, str]:
             ELSE 86400000.0::double END + 0.5::double) AS BIGINT) AS age_amount,
           CASE WHEN abs(d) < 3600000 THEN 'minute' WHEN abs(d) < 86400000 THEN 'hour' ELSE 'day' END AS age_unit FROM a"""
 
+    # --- a model as a node table
+    sql["node_scores"] = f"""WITH RECURSIVE {TEL}, {MIN}, {NODES}, {WALK} SELECT time, {S}, {R('risk_score')},
+        {_label('risk_score')} AS prediction, {R('greatest(risk_score, 1 - risk_score)', 'confidence')} FROM risk"""
+    sql["node_contributions"] = f"""WITH RECURSIVE {TEL}, {MIN}, {NODES}, {SHAPLEY} SELECT time, {S}, {R('base_score')},
+        {', '.join(R(f'by_{n}') for n in MODEL_FEATURES)}, CASE WHEN 1 / (1 + exp(-base_score - parts)) >= 0.65
+          THEN [{', '.join(f"'{n}'" for n in MODEL_FEATURES)}][top + 1] END AS top_factor FROM wide, base"""
+
     # --- training features and quality
     for name, columns in TRAIN_GROUPS.items():
         sql[name] = _train(*columns)

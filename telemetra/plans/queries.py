@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.functions import jsontools, scalars
+from telemetra.functions import jsontools, scalars, trees
 from telemetra.functions.urls import join_url, normalise_path
 from telemetra.operators import (
     aggregates,
@@ -639,6 +639,37 @@ def tree_contributions(spark, sf):
     )
 
 
+def _node_rows(spark, sf):
+    """A small fixed model as a node table, and the minutes it is applied to."""
+    minutes = training_features.minute_frame(carrier.telemetry(spark, sf), SERIES, 0.25)
+    return minutes.select("time", *SERIES, *carrier.MODEL_FEATURES), carrier.model_nodes(spark)
+
+
+@query
+def node_scores(spark, sf):
+    """Risk, label and confidence from a node table, one join a level."""
+    minutes, nodes = _node_rows(spark, sf)
+    walked = trees.margins(minutes, ["time", *SERIES], nodes, carrier.MODEL_FEATURES)
+    risk = walked.select("time", *SERIES, (1 / (1 + F.exp(-F.col("margin")))).alias("risk_score"))
+    return rounded(predictions.label_risk(risk))
+
+
+@query
+def node_contributions(spark, sf):
+    """Every feature's part in the score, and the strongest factor of rows at or above the gate."""
+    minutes, nodes = _node_rows(spark, sf)
+    order = list(carrier.MODEL_FEATURES)
+    parts = trees.explain_nodes(minutes, nodes, order)
+    risk = 1 / (1 + F.exp(-F.aggregate("contributions", F.col("base_score"), lambda a, c: a + c)))
+    top = scoring.top_features(order, 1)[0]["name"]
+    return rounded(
+        parts.select(
+            "time", *SERIES, "base_score", *[F.col("contributions")[i].alias(f"by_{n}") for i, n in enumerate(order)],
+            F.when(risk >= scoring.EXPLAIN_MIN_RISK, top).alias("top_factor"),
+        )
+    )
+
+
 @query
 def risk_report(spark, sf):
     s = scored_minutes(spark, sf).withColumnRenamed("score", "risk_score")

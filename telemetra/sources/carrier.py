@@ -218,3 +218,21 @@ def observed_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         canonical_hash(text).alias("schema_hash"),
         F.when(F.col("v") == 2, F.lit("2024-02-01")).otherwise("2024-01-01").cast("timestamp_ntz").alias("created_at"),
     )
+
+
+#: a small model over minutes: tree, weight, id, left, right, feature, threshold, cover, prediction
+MODEL_FEATURES = ("p50_latency", "p95_latency", "error_rate", "traffic_rps")
+MODEL_NODES = [
+    (0, 0.8, 0, 1, 4, 1, 120.25, 100.0, 0.0), (0, 0.8, 1, 2, 3, 2, 0.34, 60.0, 0.0), (0, 0.8, 2, -1, -1, -1, 0.0, 45.0, -0.9),
+    (0, 0.8, 3, -1, -1, -1, 0.0, 15.0, 0.3), (0, 0.8, 4, 5, 6, 1, 180.75, 40.0, 0.0), (0, 0.8, 5, -1, -1, -1, 0.0, 30.0, 0.2),
+    (0, 0.8, 6, 7, 8, 3, 0.025, 10.0, 0.0), (0, 0.8, 7, -1, -1, -1, 0.0, 6.0, 0.7), (0, 0.8, 8, -1, -1, -1, 0.0, 4.0, 1.1),
+    (1, 0.5, 0, 1, 2, 2, 0.12, 100.0, 0.0), (1, 0.5, 1, -1, -1, -1, 0.0, 70.0, -0.6), (1, 0.5, 2, 3, 4, 0, 95.5, 30.0, 0.0),
+    (1, 0.5, 3, -1, -1, -1, 0.0, 12.0, 0.4), (1, 0.5, 4, 5, 6, 2, 0.55, 18.0, 0.0), (1, 0.5, 5, -1, -1, -1, 0.0, 11.0, 0.8),
+    (1, 0.5, 6, -1, -1, -1, 0.0, 7.0, 1.3),
+    (2, 0.3, 0, 1, 2, 3, 0.04, 100.0, 0.0), (2, 0.3, 1, -1, -1, -1, 0.0, 55.0, 0.5), (2, 0.3, 2, -1, -1, -1, 0.0, 45.0, -0.2),
+]
+
+
+def model_nodes(spark: SparkSession) -> DataFrame:
+    kinds = "tree int, weight double, id int, left int, right int, feature int, threshold double, cover double, prediction double"
+    return spark.createDataFrame(MODEL_NODES, kinds)
