@@ -6,9 +6,10 @@ A *tick* is one (endpoint key, minute) with events; its "now" is the last event
 Shape of the job: the events are shuffled once, on (key, slot of a minute), so a hot endpoint spreads
 over its slots. There each event learns its successor's schema hash and whether it still falls into the
 partly covered first minute of the 1, 5 and 15 minute windows that end one, five and fifteen minutes
-later. Everything is then counted into cells (key, minute, slot, latency, hash). The cells are written
-once; all features come from them: whole minutes by range frames over minutes, the partly covered one
-from the tail counts. No window ever runs over raw events of a whole key.
+later. On that same partitioning everything is combined into one state a slot: sums, and count maps of
+latencies and hashes. The states are shuffled once more, on the key, and all that follows happens there:
+links between slots, minutes, windows over minutes and history. Nothing is written in between, and no
+window ever runs over raw events of a whole key.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import MINUTE_US, micros
 from telemetra.schemas import ENDPOINT_KEY, FEATURE_ALIASES, FEATURES
-from telemetra.session import materialize
 
 # History length, warm-up count, smoothing factor, capacity behind the utilisation proxy.
 HISTORY = 180
@@ -30,8 +30,19 @@ KEY = ENDPOINT_KEY
 SLOT_SECONDS = 20
 
 
-def _cells(events: DataFrame, slot_seconds: int) -> DataFrame:
-    """Counts per (key, minute, slot, latency, hash) with window-tail and schema-change counts."""
+def _n(flag: Column) -> Column:
+    return F.sum(F.coalesce(flag, F.lit(False)).cast("bigint"))
+
+
+SUMS = ["n", "e", "s", "sxx", "n1", "e1", "s1", "sxx1", "n5", "e5", "s5", "n15", "ch", "br", "ch15", "br15"]
+
+
+def slot_states(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """One row per (key, minute, slot): sums with the tails of windows, count maps and the ends of the slot.
+
+    ``lat`` and ``lat1`` count latencies (of all events, and of the 1 minute window's tail), ``hashes`` and
+    ``hashes15`` schema hashes.
+    """
     us = micros("time")
     seq = F.col("seq") if "seq" in events.columns else F.lit(0)
     e = events.select(
@@ -54,153 +65,112 @@ def _cells(events: DataFrame, slot_seconds: int) -> DataFrame:
     cuts = e.groupBy(*at).agg(F.max("us").alias("last_us")).select(*at, starts(1), starts(5), starts(15))
 
     order = Window.partitionBy(*at).orderBy("us", "seq")
-    linked = e.select(
+    linked = e.join(cuts, at).select(
         "*",
         F.lead("hash").over(order).alias("next_hash"),
         F.lead("err").over(order).alias("next_err"),
         F.row_number().over(order).alias("rn"),
-    ).join(cuts, at)
+    )
     change = F.coalesce(F.col("hash") != F.col("next_hash"), F.lit(False))
     breaks = change & F.col("next_err")
     first, last = F.col("rn") == 1, F.col("next_err").isNull()
 
-    def n(flag: Column) -> Column:
-        return F.sum(F.coalesce(flag, F.lit(False)).cast("bigint"))
-
     def tail(w: int) -> Column:
         return F.coalesce(F.col("us") >= F.col(f"from_{w}"), F.lit(False))
 
-    return linked.groupBy(*at, "latency", "hash").agg(
+    cells = linked.groupBy(*at, "hash", "latency").agg(
         F.count(F.lit(1)).alias("n"),
-        n(F.col("err")).alias("e"),
-        *[n(tail(w)).alias(f"n{w}") for w in (1, 5, 15)],
-        *[n(tail(w) & F.col("err")).alias(f"e{w}") for w in (1, 5)],
-        n(change).alias("ch"),
-        n(breaks).alias("br"),
-        n(change & tail(15)).alias("ch15"),
-        n(breaks & tail(15)).alias("br15"),
-        n(first).alias("has_first"),
-        n(first & F.col("err")).alias("first_err"),
-        n(last).alias("has_last"),
-        n(last & tail(15)).alias("last15"),
+        _n(F.col("err")).alias("e"),
+        *[_n(tail(w)).alias(f"n{w}") for w in (1, 5, 15)],
+        *[_n(tail(w) & F.col("err")).alias(f"e{w}") for w in (1, 5)],
+        _n(change).alias("ch"),
+        _n(breaks).alias("br"),
+        _n(change & tail(15)).alias("ch15"),
+        _n(breaks & tail(15)).alias("br15"),
+        _n(first).alias("has_first"),
+        _n(first & F.col("err")).alias("first_err"),
+        _n(last).alias("has_last"),
+        _n(last & tail(15)).alias("last15"),
         F.max("us").alias("last_us"),
     )
+    lat = F.col("latency").cast("bigint")
+    cells = cells.withColumns({"s": F.col("n") * lat, "sxx": F.col("n") * lat * lat, "s1": F.col("n1") * lat, "sxx1": F.col("n1") * lat * lat, "s5": F.col("n5") * lat})
 
+    def counted(value: str, weight: str) -> Column:
+        return F.collect_list(F.when((F.col(weight) > 0) & F.col(value).isNotNull(), F.struct(F.col(value).alias("x"), F.col(weight).alias("w"))))
 
-def _slot_links(cells: DataFrame) -> DataFrame:
-    """Schema changes between the last event of a slot and the first of the key's next slot, per minute."""
-    at = [*KEY, "minute", "slot"]
-    # max over at most one row each: the cell that holds the slot's first or last event
-    slots = (
-        cells.filter((F.col("has_first") > 0) | (F.col("has_last") > 0))
-        .groupBy(*at)
-        .agg(
-            F.max(F.when(F.col("has_first") > 0, F.col("hash"))).alias("first_hash"),
-            (F.max("first_err") > 0).alias("first_err"),
-            F.max(F.when(F.col("has_last") > 0, F.col("hash"))).alias("last_hash"),
-            (F.max("last15") > 0).alias("last15"),
-        )
+    by_hash = cells.groupBy(*at, "hash").agg(
+        *[F.sum(c).alias(c) for c in [*SUMS, "has_first", "first_err", "has_last", "last15"]],
+        counted("latency", "n").alias("lat"),
+        counted("latency", "n1").alias("lat1"),
+        F.max("last_us").alias("last_us"),
     )
+    return by_hash.groupBy(*at).agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.flatten(F.collect_list("lat")).alias("lat"),
+        F.flatten(F.collect_list("lat1")).alias("lat1"),
+        counted("hash", "n").alias("hashes"),
+        counted("hash", "n15").alias("hashes15"),
+        # max over at most one row each: the one that holds the slot's first or last event
+        F.max(F.when(F.col("has_first") > 0, F.col("hash"))).alias("first_hash"),
+        (F.max("first_err") > 0).alias("first_err"),
+        F.max(F.when(F.col("has_last") > 0, F.col("hash"))).alias("last_hash"),
+        (F.max("last15") > 0).alias("last15"),
+        F.max("last_us").alias("last_us"),
+    )
+
+
+def minute_states(slots: DataFrame) -> DataFrame:
+    """One row per (key, minute): the slots merged, with the schema changes between a slot and the key's next one."""
     order = Window.partitionBy(*KEY).orderBy("minute", "slot")
     step = slots.select(
-        *KEY,
-        "minute",
-        "last15",
-        F.coalesce(F.col("last_hash") != F.lead("first_hash").over(order), F.lit(False)).alias("ch"),
+        "*",
+        F.coalesce(F.col("last_hash") != F.lead("first_hash").over(order), F.lit(False)).alias("link"),
         F.coalesce(F.lead("first_err").over(order), F.lit(False)).alias("hit_err"),
         F.coalesce(F.lead("minute").over(order) == F.col("minute"), F.lit(False)).alias("inside"),
     )
-
-    def n(flag: Column) -> Column:
-        return F.sum(flag.cast("bigint"))
-
-    ch, br = F.col("ch"), F.col("ch") & F.col("hit_err")
+    ch, br = F.col("link"), F.col("link") & F.col("hit_err")
     return step.groupBy(*KEY, "minute").agg(
-        n(ch & F.col("inside")).alias("in_ch"),
-        n(br & F.col("inside")).alias("in_br"),
-        n(ch & ~F.col("inside")).alias("out_ch"),
-        n(br & ~F.col("inside")).alias("out_br"),
-        n(ch & F.col("last15")).alias("tail_ch"),
-        n(br & F.col("last15")).alias("tail_br"),
-    )
-
-
-def _totals(cells: DataFrame) -> DataFrame:
-    """Per (key, minute): whole-minute and tail sums."""
-    lat = F.col("latency").cast("bigint")
-    return cells.groupBy(*KEY, "minute").agg(
         F.max("last_us").alias("now_us"),
-        *[F.sum(c).alias(c) for c in ("n", "e", "n1", "e1", "n5", "e5", "n15", "ch", "br", "ch15", "br15")],
-        F.sum(F.col("n") * lat).alias("s"),
-        F.sum(F.col("n5") * lat).alias("s5"),
+        *[F.sum(c).alias(c) for c in SUMS],
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("lat", "lat1", "hashes", "hashes15")],
+        _n(ch & F.col("inside")).alias("in_ch"),
+        _n(br & F.col("inside")).alias("in_br"),
+        _n(ch & ~F.col("inside")).alias("out_ch"),
+        _n(br & ~F.col("inside")).alias("out_br"),
+        _n(ch & F.col("last15")).alias("tail_ch"),
+        _n(br & F.col("last15")).alias("tail_br"),
     )
 
 
-def _latency(cells: DataFrame) -> DataFrame:
-    """Exact 1-minute percentiles and variance per tick, from latency counts."""
-    now = cells.select(*KEY, "minute", "latency", F.col("n").alias("w"))
-    nxt = cells.filter(F.col("n1") > 0).select(
-        *KEY, (F.col("minute") + 1).alias("minute"), "latency", F.col("n1").alias("w")
+def _percentiles(counts: str, total: str) -> str:
+    """Exact 50th, 90th and 95th percentile of a list of (x, w), between neighbours as usual."""
+    ranks = ", ".join(f"{part}({p}D * ({total} - 1))" for p in (0.5, 0.9, 0.95) for part in ("floor", "ceil"))
+    # walks the sorted values once; each of the six ranks takes the first value that reaches it
+    walk = (
+        f"aggregate(array_sort({counts}), named_struct('c', 0L, 'v', array_repeat(cast(NULL AS double), 6)), "
+        f"(a, x) -> named_struct('c', a.c + x.w, 'v', transform(a.v, (v, i) -> coalesce(v, if(a.c + x.w > array({ranks})[i], double(x.x), NULL)))), "
+        "a -> a.v)"
     )
-    hist = now.unionAll(nxt).groupBy(*KEY, "minute", "latency").agg(F.sum("w").alias("w"))
-    x = F.col("latency").cast("double")
-    moments = hist.groupBy(*KEY, "minute").agg(
-        F.percentile("latency", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)), F.col("w")).alias("p"),
-        F.sum("w").cast("double").alias("w"),
-        F.sum(F.col("w") * x).alias("sx"),
-        F.sum(F.col("w") * x * x).alias("sxx"),
-    )
-    # sums of whole numbers, exact below 2^53; divided once
-    variance = F.greatest(F.lit(0.0), F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx")) / (F.col("w") * F.col("w"))
-    return moments.select(
-        *KEY,
-        "minute",
-        F.col("p")[0].alias("p50_latency"),
-        F.col("p")[1].alias("p90_latency"),
-        F.col("p")[2].alias("p95_latency"),
-        F.when(F.col("w") > 1, variance).otherwise(0.0).alias("latency_variance"),
+    at = [f"{p}D * ({total} - 1)" for p in (0.5, 0.9, 0.95)]
+    between = ", ".join(
+        f"if(ceil({p}) = floor({p}), v[{2 * k}], (ceil({p}) - {p}) * v[{2 * k}] + ({p} - floor({p})) * v[{2 * k + 1}])" for k, p in enumerate(at)
     )
+    return f"transform(array({walk}), v -> array({between}))[0]"
 
 
-def _entropy(cells: DataFrame) -> DataFrame:
-    """Base-2 entropy of the non-empty hashes of the last 15 minutes, for every minute a cell can reach."""
-    per_hash = (
-        cells.filter(F.col("hash").isNotNull())
-        .groupBy(*KEY, "minute", "hash")
-        .agg(F.sum("n").alias("n"), F.sum("n15").alias("n15"))
-    )
-    reach = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("d")
-    counts = (
-        per_hash.select("*", reach)
-        .select(
-            *KEY,
-            (F.col("minute") + F.col("d")).alias("minute"),
-            "hash",
-            F.when(F.col("d") < 15, F.col("n")).otherwise(F.col("n15")).alias("w"),
-        )
-        .filter(F.col("w") > 0)
-        .groupBy(*KEY, "minute", "hash")
-        .agg(F.sum("w").cast("double").alias("w"))
-    )
-    total = F.sum("w")
-    return counts.groupBy(*KEY, "minute").agg(
-        (F.log2(total) - F.sum(F.col("w") * F.log2("w")) / total).alias("schema_entropy")
+def _entropy(counts: str) -> str:
+    """Base-2 entropy of a list of (x, w) in which a value may occur several times; null if it is empty."""
+    return (
+        f"aggregate(array_sort({counts}), named_struct('x', cast(NULL AS string), 'w', 0D, 't', 0D, 's', 0D), "
+        "(a, x) -> named_struct('x', x.x, 'w', if(a.x <=> x.x, a.w, 0D) + x.w, 't', a.t + x.w, 's', a.s + if(a.x <=> x.x OR a.w = 0D, 0D, a.w * log2(a.w))), "
+        "a -> if(a.t > 0D, log2(a.t) - (a.s + a.w * log2(a.w)) / a.t, NULL))"
     )
 
 
-def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS, cells_path: str | None = None) -> DataFrame:
-    """One row per tick with everything that needs no earlier ticks.
-
-    The cells go to ``cells_path``, or to a new place in the scratch folder.
-    """
-    cells = materialize(_cells(events, slot_seconds), "cells", cells_path)
-    at = [*KEY, "minute"]
-    ticks = (
-        _totals(cells)
-        .join(_latency(cells), at)
-        .join(_slot_links(cells), at)
-        .join(_entropy(cells), at, "left")
-    )
+def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """One row per tick with everything that needs no earlier ticks."""
+    ticks = minute_states(slot_states(events, slot_seconds))
     key = ", ".join(KEY)
 
     def over(w: int, whole: str, part: str | None = None, upto: int = 0) -> str:
@@ -214,6 +184,26 @@ def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS, cells_pat
         whole_minutes = total(whole, 1 - w, -upto)
         return whole_minutes + (f" + {total(part, -w, -w)}" if part else "")
 
+    def frame(first: int, last: int) -> str:
+        return f"OVER (PARTITION BY {key} ORDER BY minute RANGE BETWEEN {first} PRECEDING AND {f'{last} PRECEDING' if last else 'CURRENT ROW'})"
+
+    nothing = "cast(array() AS array<struct<x:{},w:bigint>>)"
+    ticks = ticks.selectExpr(
+        "*",
+        f"concat(lat, coalesce(first(lat1) {frame(1, 1)}, {nothing.format('int')})) AS counted",
+        f"concat(flatten(collect_list(hashes) {frame(14, 0)}), coalesce(first(hashes15) {frame(15, 15)}, {nothing.format('string')})) AS hashed",
+        f"{over(1, 'n', 'n1')} AS w",
+        f"double({over(1, 's', 's1')}) AS sx",
+        f"double({over(1, 'sxx', 'sxx1')}) AS sqx",
+    )
+    # sums of whole numbers, exact below 2^53; divided once
+    ticks = ticks.selectExpr(
+        "*",
+        f"{_percentiles('counted', 'w')} AS p",
+        "if(w > 1, greatest(0D, w * sqx - sx * sx) / (double(w) * double(w)), 0D) AS latency_variance",
+        f"{_entropy('hashed')} AS schema_entropy",
+    ).withColumns({"p50_latency": F.col("p")[0], "p90_latency": F.col("p")[1], "p95_latency": F.col("p")[2]})
+
     t = ticks.selectExpr(
         *KEY,
         "minute",

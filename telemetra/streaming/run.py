@@ -85,7 +85,7 @@ def touched_ticks(spark: SparkSession, events: DataFrame, store: Store, batch_id
     recent = read_folders(spark, root, hours_since(spark, root, from_time))
     recent = recent.filter(~F.col("is_late") & (F.col("time") >= F.lit(from_time).cast(recent.schema["time"].dataType)))
     recent = recent.join(touched.select(*ENDPOINT_KEY), list(ENDPOINT_KEY), "left_semi")
-    ticks = base_features(recent, cells_path=store.at(f"cells/batch={batch_id}"))
+    ticks = base_features(recent)
     changed = ticks.join(touched, list(ENDPOINT_KEY)).filter(F.col("minute") >= F.col("since"))
     return changed.select(*ENDPOINT_KEY, "minute", "now_us", "events", *BASE)
 
@@ -109,7 +109,6 @@ def store_events(events: DataFrame, store: Store, batch_id: int, late_after: dt.
     ticks = touched_ticks(spark, own.filter(~F.col("is_late")), store, batch_id)
     if ticks is not None:
         write_batch(ticks, store.at("ticks"), batch_id)
-        remove(spark, store.at(f"cells/batch={batch_id}"))
     return counters
 
 

@@ -113,11 +113,20 @@ def test_training_features_need_a_key(spark):
         training_features(spark.range(1), [])
 
 
-def test_events_are_shuffled_by_slot_not_by_endpoint(spark):
-    from telemetra.operators.serving_features import _cells
-
-    plan = _cells(events_of(spark, {"one": streams()["one"]}), 20)._jdf.queryExecution().executedPlan().toString()
-    full = ", ".join(ENDPOINT_KEY)
-    assert full.split(",")[0] in plan
-    windows = [line for line in plan.splitlines() if "lead(" in line and "Window" in line]
+def test_plan_shuffles_events_once(spark):
+    """Events are dealt by slot, states by key; five exchanges in all, and windows over events see one slot."""
+    from telemetra.operators.serving_features import slot_states
+
+    events = events_of(spark, {"one": streams()["one"]})
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = serving_features(events)._jdf.queryExecution().executedPlan().toString()
+        slots = slot_states(events, 20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) <= 5 and plan.count("Exchange") == len(dealt)
+    assert ", ".join(ENDPOINT_KEY).split(",")[0] in plan
+    windows = [line for line in slots.splitlines() if "lead(" in line and "Window" in line]
     assert windows and all("slot" in line for line in windows)
