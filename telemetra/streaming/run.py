@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from telemetra.functions.scalars import from_micros, minute_index
-from telemetra.operators import deadletters, timing, validation
+from telemetra.operators import deadletters, retention, timing, validation
 from telemetra.operators.live import DEFAULT_RETENTION
 from telemetra.operators.predictions import alerts, label_risk, prediction_rows, run_metrics
 from telemetra.operators.serving_features import base_features
 from telemetra.schemas import ALERT, ENDPOINT_KEY
-from telemetra.session import matching, materialize, remove
+from telemetra.session import holds_data, matching, materialize, remove
 from telemetra.sources import envelope
 from telemetra.sources.tables import upsert_predictions, with_date
 from telemetra.streaming.state import BASE, TICK_SCHEMA, start_stateful, stream_live, with_stream_history
@@ -32,6 +32,9 @@ ATTEMPTS = 3
 FIRST_WAIT_S, MAX_WAIT_S = 0.1, 30.0
 ALERT_TOPIC, ALERT_SCHEMA = "alerts", "alerts.failure-risk.v1"
 LOOKBACK = dt.timedelta(minutes=16)
+# what the carried state spans: the look-back of an event that is just not late
+STATE_SPAN = LOOKBACK + timing.LATE_AFTER
+STATE_COLUMNS = ["time", *ENDPOINT_KEY, "status", "latency_ms", "schema_hash", "seq"]
 
 
 @dataclass(frozen=True)
@@ -70,23 +73,67 @@ def hours_since(spark: SparkSession, root: str, since: dt.datetime) -> list[str]
     return [f"{root}/{n}" for n in names if n >= first]
 
 
-def touched_ticks(spark: SparkSession, events: DataFrame, store: Store, batch_id: int) -> DataFrame | None:
+def whole_minute(t: dt.datetime) -> dt.datetime:
+    return t.replace(second=0, microsecond=0)
+
+
+def state_folders(spark: SparkSession, store: Store) -> dict[int, str]:
+    """The kept states by batch: two or three folders."""
+    return {int(p.rsplit("=", 1)[1]): p for p in matching(spark, store.at("recent/batch=*"))}
+
+
+def recent_events(spark: SparkSession, fresh: DataFrame, store: Store, batch_id: int) -> DataFrame | None:
+    """The events that the ticks of a batch need; None for a batch without events.
+
+    A state of narrow events, the last 46 minutes before the newest one, is carried from batch to batch: batch n reads
+    the state before it and its own rows, and writes its state, so what a batch opens does not grow with the number of
+    batches. Events older than the state reaches (possible without a lateness limit, or when the state is gone) are
+    served from the stored hours. The last two states stay, as the last batch may run again.
+    """
+    seen = fresh.agg(F.min("time").alias("oldest"), F.max("time").alias("newest")).first()
+    if seen["oldest"] is None:
+        return None
+    needed = whole_minute(seen["oldest"]) - LOOKBACK
+    kind = fresh.schema["time"].dataType
+    since = lambda df, t: df.filter(F.col("time") >= F.lit(t).cast(kind))
+    columns = [c for c in STATE_COLUMNS if c in fresh.columns]
+    known = state_folders(spark, store)
+    before = max((b for b in known if b < batch_id), default=None)
+    old, newest = None, seen["newest"]
+    if before is not None:
+        old = spark.read.parquet(known[before])
+        reaches = old.agg(F.max("time").alias("t")).first()["t"]
+        newest = max(newest, reaches)
+        if needed < whole_minute(reaches) - STATE_SPAN:
+            old = None
+    keep_from = whole_minute(newest) - STATE_SPAN
+    if old is not None:
+        events = old.unionByName(fresh.select(*columns))
+    else:
+        root, first = store.at("telemetry"), min(needed, keep_from)
+        events = since(read_folders(spark, root, hours_since(spark, root, first)).filter(~F.col("is_late")), first).select(*columns)
+    kept = store.at(f"recent/batch={batch_id}")
+    state = since(events, keep_from).repartition(*ENDPOINT_KEY, minute_index("time"))
+    state.write.mode("overwrite").parquet(kept)
+    for b in sorted({*known, batch_id})[:-2]:
+        remove(spark, store.at(f"recent/batch={b}"))
+    if needed >= keep_from and batch_id in state_folders(spark, store):  # a batch run again may be older than the kept ones
+        events = spark.read.schema(state.schema).parquet(kept)
+    return since(events, needed)
+
+
+def touched_ticks(spark: SparkSession, fresh: DataFrame, store: Store, batch_id: int) -> DataFrame | None:
     """Ticks that a batch of stored events creates or changes, computed by the batch operator.
 
-    Reads only the hours of stored events since 16 minutes before the batch's oldest one, of the touched
-    endpoints. Events that were late when they arrived stay out, whichever batch brought them.
+    Reads the recent events of the touched endpoints only. Events that were late when they arrived stay out, whichever
+    batch brought them.
     """
-    touched = events.groupBy(*ENDPOINT_KEY).agg(F.min(minute_index("time")).alias("since"))
-    oldest = events.agg(F.min("time").alias("t")).first()["t"]
-    if oldest is None:
+    touched = fresh.groupBy(*ENDPOINT_KEY).agg(F.min(minute_index("time")).alias("since"))
+    recent = recent_events(spark, fresh, store, batch_id)
+    if recent is None:
         return None
-    from_time = oldest.replace(second=0, microsecond=0) - LOOKBACK
-    root = store.at("telemetry")
-    recent = read_folders(spark, root, hours_since(spark, root, from_time))
-    recent = recent.filter(~F.col("is_late") & (F.col("time") >= F.lit(from_time).cast(recent.schema["time"].dataType)))
     recent = recent.join(touched.select(*ENDPOINT_KEY), list(ENDPOINT_KEY), "left_semi")
-    ticks = base_features(recent)
-    changed = ticks.join(touched, list(ENDPOINT_KEY)).filter(F.col("minute") >= F.col("since"))
+    changed = base_features(recent).join(touched, list(ENDPOINT_KEY)).filter(F.col("minute") >= F.col("since"))
     return changed.select(*ENDPOINT_KEY, "minute", "now_us", "events", *BASE)
 
 
@@ -114,11 +161,23 @@ def store_events(events: DataFrame, store: Store, batch_id: int, late_after: dt.
 
 def forget_batch(spark: SparkSession, store: Store, batch_id: int) -> None:
     """Removes what a batch that is set aside had already stored, so that its replay does not double it."""
-    for table in ("telemetry/date=*/hour=*", "ticks", "dlq"):
+    for table in ("telemetry/date=*/hour=*", "ticks", "dlq", "recent"):
         for folder in matching(spark, store.at(f"{table}/batch={batch_id}")):
             remove(spark, folder)
 
 
+def delete_api(spark: SparkSession, store: Store, org_id: str, api_id: str) -> dict[str, int]:
+    """Deletes an api's telemetry and predictions, also from the state that later ticks read. Returns both counts.
+
+    Run it between batches: it rewrites the partitions that hold the api.
+    """
+    for folder in state_folders(spark, store).values():
+        rest = materialize(retention.without_api(spark.read.parquet(folder), org_id, api_id), "state")
+        rest.write.mode("overwrite").parquet(folder)
+    tables = {"telemetry": store.at("telemetry"), "predictions": store.at("predictions")}
+    return {name: retention.delete_api(spark, path, org_id, api_id) if holds_data(spark, path) else 0 for name, path in tables.items()}
+
+
 def attempt(work: Callable[[], object], attempts: int = ATTEMPTS) -> None:
     """Runs ``work``, again after growing waits when it fails; the last failure is raised."""
     wait = FIRST_WAIT_S

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemetra.operators import retention
-from telemetra.operators.serving_features import serving_features
+from telemetra.operators.serving_features import base_features, serving_features
 from telemetra.plans.queries import fixture_risk
 from telemetra.schemas import ENDPOINT_KEY, FEATURES
 from telemetra.sources import carrier, envelope
 from telemetra.streaming import run
+from telemetra.streaming.state import BASE
 
 ONCE = {"availableNow": True}
 
@@ -151,3 +152,49 @@ def test_a_batch_set_aside_leaves_nothing_stored(spark, sf, tmp_path, monkeypatc
     run.start_ingest(stream, store, store.at("cp"), late_after=None, trigger=ONCE).awaitTermination()
     assert spark.read.parquet(store.at("dlq_processing")).count() == m.count()
     assert not list((tmp_path / "store").rglob("telemetry/**/*.parquet")) and not list((tmp_path / "store").rglob("dlq/**/*.parquet"))
+
+
+def test_what_a_batch_opens_does_not_grow(spark, sf, tmp_path):
+    """Ten minutes a batch, one event far behind: ticks equal the batch operator's, states stay two and of one size."""
+    store = run.Store(str(tmp_path / "store"))
+    t = carrier.telemetry(spark, sf).drop("props").withColumn("time", F.col("time").cast("timestamp")).orderBy("seq").limit(400).cache()
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    shift = F.expr("make_dt_interval(0, 0, seq % 10, seq % 60)")
+    files, sent = [], []
+    for batch in range(8):
+        own = t.filter(F.col("seq") % 8 == batch).withColumn("time", (F.lit(start + dt.timedelta(minutes=10 * batch)) + shift).cast("timestamp"))
+        if batch == 6:  # older than the state reaches
+            own = own.withColumn("time", F.when(F.col("seq") < 50, F.lit(start).cast("timestamp")).otherwise(F.col("time")))
+        rows = spark.createDataFrame(own.collect(), own.schema)
+        sent.append(rows)
+        run.store_events(rows, store, batch, late_after=None)
+        states = run.state_folders(spark, store)
+        assert len(states) <= 2 and max(states) == batch
+        files.append(len(spark.read.parquet(states[batch]).inputFiles()))
+        if batch in (5, 7):
+            span = spark.read.parquet(states[batch]).agg(F.min("time"), F.max("time")).first()
+            assert span[1] - span[0] <= run.STATE_SPAN + dt.timedelta(minutes=1)
+    assert max(files[5:]) <= max(files[:6]) + 1
+    whole = sent[0]
+    for rows in sent[1:]:
+        whole = whole.unionByName(rows)
+    want = {(r["endpoint"], r["method"], r["org_id"], r["api_id"], r["minute"]): r for r in base_features(whole).collect()}
+    newest = {}
+    for r in sorted(spark.read.parquet(store.at("ticks")).collect(), key=lambda r: r["batch"]):
+        newest[r["endpoint"], r["method"], r["org_id"], r["api_id"], r["minute"]] = r
+    assert set(newest) == set(want)
+    for k, r in newest.items():
+        assert all(r[c] == pytest.approx(want[k][c], abs=1e-9) for c in ("events", *BASE)), k
+
+
+def test_a_deleted_api_is_in_no_later_tick(spark, sf, tmp_path):
+    store = run.Store(str(tmp_path / "store"))
+    t = carrier.telemetry(spark, sf).drop("props").withColumn("time", F.col("time").cast("timestamp"))
+    run.store_events(t, store, 0, late_after=None)
+    first = t.select("org_id", "api_id").first()
+    hit = t.filter((F.col("org_id") == first[0]) & (F.col("api_id") == first[1])).count()
+    assert run.delete_api(spark, store, *first) == {"telemetry": hit, "predictions": 0}
+    last = t.filter((F.col("org_id") == first[0]) & (F.col("api_id") == first[1])).orderBy(F.desc("time")).limit(1)
+    again = spark.createDataFrame(last.collect(), last.schema)
+    run.store_events(again, store, 1, late_after=None)
+    assert [r["events"] for r in spark.read.parquet(store.at("ticks/batch=1")).collect()] == [1]
