@@ -33,7 +33,7 @@ from telemetra.operators import (
 from telemetra.plans.oracle import DIGITS
 from telemetra.schemas import ENDPOINT_KEY, FEATURES, TOP_FEATURES
 from telemetra.session import materialize, scratch_dir
-from telemetra.sources import carrier, envelope
+from telemetra.sources import carrier, envelope, tables
 from telemetra.streaming import run
 
 AS_OF = carrier.AS_OF
@@ -339,13 +339,15 @@ def minute_predictions(spark, sf):
 
 @query
 def predictions_upsert(spark, sf):
-    stored = predictions.prediction_rows(minute_predictions(spark, sf))
-    first = predictions.merge_predictions(None, stored.withColumn("seq", F.lit(1)))
-    shift = stored.withColumn("risk_score", F.round(1 - F.col("risk_score"), 9)).withColumn("seq", F.lit(7))
-    last = stored.withColumn("risk_score", F.round(F.col("risk_score") * 0.5 + 0.2, 9)).withColumn("seq", F.lit(8))
+    """Two writes of the prediction store, the second with two rows a key, merged when read."""
+    path = f"{scratch_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    scored = materialize(predictions.prediction_rows(minute_predictions(spark, sf)), "scored")
+    tables.upsert_predictions(scored.withColumn("seq", F.lit(1)), path, version=0)
+    shift = scored.withColumn("risk_score", F.round(1 - F.col("risk_score"), 9)).withColumn("seq", F.lit(7))
+    last = scored.withColumn("risk_score", F.round(F.col("risk_score") * 0.5 + 0.2, 9)).withColumn("seq", F.lit(8))
     relabel = predictions.label_risk
-    new = relabel(shift).unionByName(relabel(last)).select(*stored.columns, "seq")
-    merged = predictions.merge_predictions(first, new)
+    tables.upsert_predictions(relabel(shift).unionByName(relabel(last)).select(*scored.columns, "seq"), path, version=1)
+    merged = tables.read_predictions(spark, path)
     return rounded(merged.select("time", *ENDPOINT_KEY, "risk_score", "prediction", "confidence", "is_warmed_up"))
 
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import clamp
 from telemetra.operators.predictions import merge_predictions
+from telemetra.operators.retention import partition_columns
 from telemetra.schemas import MINUTES
-from telemetra.session import holds_data, scratch_dir
+from telemetra.session import holds_data, listing, materialize, remove
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -45,43 +46,91 @@ def read_telemetry(
     return df
 
 
-def read_predictions(spark: SparkSession, path: str, org_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df if org_id is None else df.filter(F.col("org_id") == org_id)
+# Predictions are stored as versioned writes, path/date=/version=, and merged when they are read. A write only adds
+# its own rows. Write n has version 2n; what compaction makes of everything up to n has 2n + 1, so it replaces nothing
+# and stands after all that it holds.
+
+
+def _dates(df: DataFrame, since: dt.date | None, until: dt.date | None) -> DataFrame:
+    df = df if since is None else df.filter(F.col("date") >= F.lit(since))
+    return df if until is None else df.filter(F.col("date") <= F.lit(until))
 
 
-def upsert_predictions(df: DataFrame, path: str, seq: str = "seq") -> int:
-    """Merges a batch into the stored predictions and returns how many date partitions it touched.
+def read_predictions(
+    spark: SparkSession, path: str, org_id: str | None = None, since: dt.date | None = None, until: dt.date | None = None
+) -> DataFrame:
+    """One row per (endpoint key, minute): the highest risk of all writes, everything else from the last one.
 
-    Only touched dates are read and rewritten. The merged rows are staged in the scratch folder first,
-    so the overwrite never reads what it replaces. One writer at a time. A replay changes nothing.
+    Dates and the tenant are filtered before the merge, dates by their folders; without bounds all dates are read.
     """
-    spark = df.sparkSession
-    staged_new = f"{scratch_dir(spark)}/predictions-in-{uuid.uuid4().hex}"
-    with_date(df).write.partitionBy("date").parquet(staged_new)
-    new = spark.read.schema(with_date(df).schema).parquet(staged_new)
-    # dates of one batch: bounded by its time span, not by its rows
-    dates = [r["date"] for r in new.select("date").distinct().collect()]
-    if not dates:
-        return 0
-    # only a table that is not there counts as empty: a broken one must fail, not be written over
-    old = spark.read.parquet(path).filter(F.col("date").isin(dates)) if holds_data(spark, path) else None
-    merged = with_date(merge_predictions(old, new.drop("date"), seq))
-    staged = f"{scratch_dir(spark)}/predictions-out-{uuid.uuid4().hex}"
-    merged.write.partitionBy("date").parquet(staged)
+    df = _dates(spark.read.parquet(path), since, until)
+    df = df if org_id is None else df.filter(F.col("org_id") == org_id)
+    return merge_predictions(None, df.drop("date"), "version")
+
+
+def versions(spark: SparkSession, path: str, date: dt.date) -> list[int]:
+    """The stored versions of a date, in order."""
+    return sorted(int(n.split("=", 1)[1]) for n in listing(spark, f"{path}/date={date.isoformat()}") if n.startswith("version="))
+
+
+def _write_version(rows: DataFrame, path: str, version: int) -> None:
     (
-        spark.read.schema(merged.schema)
-        .parquet(staged)
+        rows.withColumn("version", F.lit(version).cast("bigint"))
         .sortWithinPartitions("date", "org_id", "time")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-        .partitionBy("date")
+        .partitionBy("date", "version")
         .parquet(path)
     )
+
+
+def upsert_predictions(df: DataFrame, path: str, seq: str = "seq", version: int | None = None) -> int:
+    """Adds a batch as one version of the dates it touches, merged within itself, and returns how many dates those are.
+
+    Nothing stored is read or rewritten. ``version`` numbers the batch (a replay under the same number replaces itself);
+    without one it follows the stored ones. A replay changes no answer. A folder that is no such table is refused.
+    """
+    spark = df.sparkSession
+    if holds_data(spark, path) and partition_columns(spark, path) != ["date", "version"]:
+        raise AnalysisException(message=f"{path} is not a prediction table")
+    merged = materialize(with_date(merge_predictions(None, df, seq)), "predictions-in")
+    # dates of one batch: bounded by its time span, not by its rows
+    dates = [r["date"] for r in merged.select("date").distinct().collect()]
+    if dates:
+        if version is None:
+            version = max((v // 2 + 1 for d in dates for v in versions(spark, path, d)), default=0)
+        _write_version(merged, path, 2 * version)
     return len(dates)
 
 
+def compact_predictions(spark: SparkSession, path: str, upto: int | None = None, least: int = 2) -> list[dt.date]:
+    """Merges the versions of each date that has at least ``least`` of them, up to write ``upto``, and returns the dates.
+
+    The merged rows are a version of their own, and only then do the older ones go. Stopped anywhere, every read still
+    gives the same rows, and the next run ends the work. One compaction at a time; newer writes may go on.
+    """
+    done = []
+    for name in listing(spark, path):  # retained days
+        date = dt.date.fromisoformat(name.split("=", 1)[1])
+        old = [v for v in versions(spark, path, date) if upto is None or v <= 2 * upto + 1]
+        if len(old) < least:
+            continue
+        folder = f"{path}/{name}"
+        rows = spark.read.option("basePath", path).parquet(*[f"{folder}/version={v}" for v in old])
+        target = old[-1] | 1
+        if target in old:  # an earlier compaction and older writes that came back: the same rows, staged before they are replaced
+            merged = materialize(with_date(merge_predictions(None, rows.drop("date"), "version")), "compacted")
+        else:
+            merged = with_date(merge_predictions(None, rows.drop("date"), "version"))
+        _write_version(merged, path, target)
+        for v in old:
+            if v != target:
+                remove(spark, f"{folder}/version={v}")
+        done.append(date)
+    return done
+
+
 def read_minutes_csv(spark: SparkSession, path: str) -> DataFrame:
     """Minute frame from CSV with its declared schema. Order is left to the windows that need it."""
     return spark.read.csv(path, header=True, schema=MINUTES)

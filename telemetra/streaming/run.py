@@ -24,7 +24,7 @@ from telemetra.operators.serving_features import base_features
 from telemetra.schemas import ALERT, ENDPOINT_KEY
 from telemetra.session import holds_data, matching, materialize, remove
 from telemetra.sources import envelope
-from telemetra.sources.tables import upsert_predictions, with_date
+from telemetra.sources.tables import read_predictions, upsert_predictions, with_date
 from telemetra.streaming.state import BASE, TICK_SCHEMA, start_stateful, stream_live, with_stream_history
 
 # Attempts and waits of a failing batch, and the alert message header.
@@ -169,13 +169,18 @@ def forget_batch(spark: SparkSession, store: Store, batch_id: int) -> None:
 def delete_api(spark: SparkSession, store: Store, org_id: str, api_id: str) -> dict[str, int]:
     """Deletes an api's telemetry and predictions, also from the state that later ticks read. Returns both counts.
 
-    Run it between batches: it rewrites the partitions that hold the api.
+    Run it between batches: it rewrites the partitions that hold the api. Predictions are counted as read, one a minute.
     """
+    path = store.at("predictions")
+    gone = (F.col("org_id") == org_id) & (F.col("api_id") == api_id)
+    predicted = read_predictions(spark, path, org_id).filter(gone).count() if holds_data(spark, path) else 0
     for folder in state_folders(spark, store).values():
         rest = materialize(retention.without_api(spark.read.parquet(folder), org_id, api_id), "state")
         rest.write.mode("overwrite").parquet(folder)
-    tables = {"telemetry": store.at("telemetry"), "predictions": store.at("predictions")}
-    return {name: retention.delete_api(spark, path, org_id, api_id) if holds_data(spark, path) else 0 for name, path in tables.items()}
+    if predicted:
+        retention.delete_api(spark, path, org_id, api_id)
+    root = store.at("telemetry")
+    return {"telemetry": retention.delete_api(spark, root, org_id, api_id) if holds_data(spark, root) else 0, "predictions": predicted}
 
 
 def attempt(work: Callable[[], object], attempts: int = ATTEMPTS) -> None:
@@ -253,7 +258,7 @@ def start_scoring(
         rows = stored.withColumn("time", from_micros("now_us", time_type)).withColumn("seq", F.col("version"))
         scored = label_risk(scorer(rows))
         new = materialize(prediction_rows(scored, model_hash), "scored", store.at(f"scored/batch={batch_id}"))
-        upsert_predictions(new, store.at("predictions"))
+        upsert_predictions(new, store.at("predictions"), version=batch_id)
         write_batch(alert_messages(alerts(new, threshold)), store.at("alerts"), batch_id)
         write_batch(run_metrics(new, threshold), store.at("metrics/scoring"), batch_id)
         remove(batch.sparkSession, store.at(f"scored/batch={batch_id}"))

@@ -19,7 +19,7 @@ def prediction(spark, rows):
 
 
 def stored(spark, path):
-    rows = spark.read.parquet(path).orderBy("time").collect()
+    rows = tables.read_predictions(spark, path).orderBy("time").collect()
     return [(r["time"].day, r["time"].minute, r["time"].second, r["risk_score"], r["prediction"]) for r in rows]
 
 
@@ -39,6 +39,43 @@ def test_upsert_keeps_highest_risk_and_last_rest(spark, tmp_path):
     assert stored(spark, path) == want
 
 
+def test_writes_add_and_compaction_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "p")
+    batches = [[(1, 0, 5, 0.9, 1), (1, 1, 5, 0.2, 1), (2, 0, 0, 0.5, 1)], [(1, 0, 59, 0.1, 1), (1, 1, 0, 0.6, 1)], [(1, 1, 3, 0.4, 1), (3, 0, 0, 0.7, 1)]]
+    for n, batch in enumerate(batches):
+        tables.upsert_predictions(prediction(spark, batch), path, version=n)
+    day = dt.date(2024, 1, 1)
+    assert tables.versions(spark, path, day) == [0, 2, 4]  # each write left the others alone
+    want = stored(spark, path)
+    assert want == [(1, 0, 0, 0.9, "normal"), (1, 1, 0, 0.6, "degraded"), (2, 0, 0, 0.5, "degraded"), (3, 0, 0, 0.7, "high_failure_risk")]
+    written = {f: f.stat().st_mtime_ns for f in (tmp_path / "p").rglob("version=0/*.parquet")}
+    tables.upsert_predictions(prediction(spark, batches[2]), path, version=2)  # a replay
+    assert stored(spark, path) == want and all(f.stat().st_mtime_ns == t for f, t in written.items())
+    assert tables.compact_predictions(spark, path, upto=1) == [day]
+    assert tables.versions(spark, path, day) == [3, 4] and stored(spark, path) == want
+    tables.upsert_predictions(prediction(spark, batches[0]), path, version=0)  # an old batch runs again after compaction
+    assert stored(spark, path) == want
+    for _ in range(2):
+        tables.compact_predictions(spark, path)
+        assert tables.versions(spark, path, day) == [5] and stored(spark, path) == want
+    assert [r["time"].day for r in tables.read_predictions(spark, path, "o", since=dt.date(2024, 1, 2), until=dt.date(2024, 1, 2)).collect()] == [2]
+    plan = tables.read_predictions(spark, path, "o", since=dt.date(2024, 1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "date#" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(org_id,o)" in plan
+
+
+def test_compaction_stopped_half_way(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    for n, batch in enumerate([[(1, 0, 5, 0.9, 1)], [(1, 0, 6, 0.3, 1), (1, 1, 0, 0.6, 1)]]):
+        tables.upsert_predictions(prediction(spark, batch), path, version=n)
+    want = stored(spark, path)
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(tables, "remove", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        tables.compact_predictions(spark, path)
+    assert stored(spark, path) == want and len(tables.versions(spark, path, dt.date(2024, 1, 1))) == 3
+    tables.compact_predictions(spark, path)
+    assert stored(spark, path) == want and tables.versions(spark, path, dt.date(2024, 1, 1)) == [3]
+
+
 def test_upsert_refuses_a_broken_table(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(3).write.parquet(path)

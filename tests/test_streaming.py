@@ -8,7 +8,7 @@ from telemetra.operators import retention
 from telemetra.operators.serving_features import base_features, serving_features
 from telemetra.plans.queries import fixture_risk
 from telemetra.schemas import ENDPOINT_KEY, FEATURES
-from telemetra.sources import carrier, envelope
+from telemetra.sources import carrier, envelope, tables
 from telemetra.streaming import run
 from telemetra.streaming.state import BASE
 
@@ -64,7 +64,7 @@ def test_stream_equals_batch(spark, sf, streamed):
 
 def test_predictions_are_one_per_minute(spark, streamed):
     _, store = streamed
-    p = spark.read.parquet(store.at("predictions"))
+    p = tables.read_predictions(spark, store.at("predictions"))
     assert p.count() == p.select(*ENDPOINT_KEY, "time").distinct().count() > 0
     assert p.filter("second(time) <> 0").count() == 0
 
