@@ -116,11 +116,15 @@ def confusion(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
     return scored.groupBy("label", predicted.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve; equal scores count half."""
-    t = score_totals(scored, "score", _positives())
+def roc_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the ROC curve; equal scores count half. With ``by`` one row a group, all from one ranking.
+
+    Null for a group with one class only.
+    """
+    t = score_totals(scored, "score", _positives(), by)
     wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2.0))
-    return t.agg((wins / (F.sum("pos").cast("double") * F.sum("neg"))).alias("roc_auc"))
+    pairs = F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))
+    return t.groupBy(*by).agg((wins / pairs).alias("roc_auc"))
 
 
 def _with_counts(scored: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemetra.plans.scale import ranked, with_time_levels
+from telemetra.plans.scale import exact_quantiles, ranked, with_time_levels
 
 # Target band of the positive rate in percent, correlation and gap limits, columns skipped.
 RATE_BAND = (7.0, 12.0)
@@ -33,8 +33,15 @@ def null_counts(df: DataFrame) -> DataFrame:
     return row.unpivot([], df.columns, "column", "nulls")
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, sample deviation, min and max per numeric column, one pass."""
+    """count, mean, sample deviation, min, quartiles and max per numeric column.
+
+    One pass for the moments and one over the counts of (column, value) for all exact quartiles. A column without
+    values has null statistics.
+    """
     names = list(columns or numeric_columns(df))
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     row = df.agg(
@@ -43,7 +50,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             for c in names
         ]
     )
-    return row.unpivot([], names, "column", "s").select("column", "s.*")
+    moments = row.unpivot([], names, "column", "s").select("column", "s.*")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")
+    found = exact_quantiles(df.select(pairs).select("x.*"), "v", list(QUARTILES.values()), ["column"])
+    wide = found.groupBy("column").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for n, p in QUARTILES.items()])
+    return moments.join(wide, "column", "left").select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def label_distribution(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from telemetra.functions.trees import with_contributions
 from telemetra.operators.evaluation import IMPORTANCE_WARNING, cv_folds, roc_auc
 from telemetra.operators.predictions import label_risk
 from telemetra.schemas import FEATURES, LEGACY_FEATURES, TOP_FEATURES
+from telemetra.session import materialize
 
 # Training settings, positive-weight cap, explanation gate, stored factors.
 DEPTH, RATE, ROUNDS, SUBSAMPLE, COLSAMPLE, MIN_LEAF = 6, 0.01, 700, 0.8, "0.8", 5
@@ -157,17 +158,15 @@ def global_importance(explained: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def fold_auc(df: DataFrame, order_by: Sequence[str], features: Sequence[str], folds: int = 5, **settings) -> DataFrame:
-    """(fold, auc) of forward-chaining cross-validation: one training job per fold."""
-    parts = cv_folds(df, order_by, folds)
+    """(fold, auc) of forward-chaining cross-validation: one training job per fold, one ranking for all of them."""
+    parts = materialize(cv_folds(df, order_by, folds), "folds")
     out = None
     for fold in range(1, folds + 1):
         rows = parts.filter(F.col("fold") == fold)
         model = train(rows.filter(F.col("part") == "train"), features, **settings)
-        scored = with_risk(rows.filter(F.col("part") == "test"), model, features)
-        row = roc_auc(scored.select("label", F.col("risk_score").alias("score")))
-        row = row.select(F.lit(fold).alias("fold"), F.col("roc_auc").alias("auc"))
-        out = row if out is None else out.unionAll(row)
-    return out
+        scored = with_risk(rows.filter(F.col("part") == "test"), model, features).select("fold", "label", F.col("risk_score").alias("score"))
+        out = scored if out is None else out.unionAll(scored)
+    return roc_auc(out, ["fold"]).withColumnRenamed("roc_auc", "auc")
 
 
 def risk_report(scored: DataFrame, threshold: float) -> DataFrame:

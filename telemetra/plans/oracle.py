@@ -488,7 +488,8 @@ def oracle_sql() -> dict[str, str]:
           ON COLUMNS(*) INTO NAME "column" VALUE s) SELECT "column" FROM u WHERE s = 0"""
     sql["describe_frame"] = f"WITH {TEL}, {MIN} " + " UNION ALL ".join(
         f"""SELECT '{n}' AS "column", count({n}) AS count, {R(f'avg({n})', 'mean')}, {R(f'stddev_samp({n})', 'std')},
-        {R(f'min({n})', 'min')}, {R(f'max({n})', 'max')} FROM m"""
+        {R(f'min({n})', 'min')}, {R(f'max({n})', 'max')}, {R(f'quantile_cont({n}, 0.25)', 'q25')},
+        {R(f'quantile_cont({n}, 0.5)', 'q50')}, {R(f'quantile_cont({n}, 0.75)', 'q75')} FROM m"""
         for n in ("p50_latency", "error_rate", "traffic_rps")
     )
     columns = "seq time org_id api_id endpoint method status latency_ms request_size response_size schema_hash props".split()
@@ -522,6 +523,14 @@ def oracle_sql() -> dict[str, str]:
           + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS rk FROM scored)
         SELECT round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::double)
           / (count(*) FILTER (label = 1)::double * count(*) FILTER (label = 0)), 6) + 0.0 AS roc_auc FROM r"""
+    by_fold = f"""r AS (SELECT *, row_number() OVER (ORDER BY time, {K}) AS rn, count(*) OVER () AS n FROM scored),
+        f AS (SELECT fold, label, score FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS fold)
+          WHERE rn > n - (6 - fold) * (n // 6) AND rn <= n - (6 - fold) * (n // 6) + n // 6),
+        k AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY score)
+          + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0::double AS rk FROM f)"""
+    sql["auc_by_fold"] = f"""WITH {TEL}, {SCORED}, {by_fold} SELECT fold,
+        round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::double)
+          / nullif(count(*) FILTER (label = 1)::double * count(*) FILTER (label = 0), 0), 6) + 0.0 AS roc_auc FROM k GROUP BY fold"""
     curve = """s AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM scored GROUP BY score),
       cv AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,
         sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM s)"""

@@ -570,6 +570,13 @@ def roc_auc(spark, sf):
     return rounded(evaluation.roc_auc(scored_minutes(spark, sf)))
 
 
+@query
+def auc_by_fold(spark, sf):
+    """The area of each forward-chaining test block, from one ranking."""
+    folds = evaluation.cv_folds(scored_minutes(spark, sf), ORDER).filter("part = 'test'")
+    return rounded(evaluation.roc_auc(folds, ["fold"]))
+
+
 @query
 def avg_precision(spark, sf):
     return rounded(evaluation.average_precision(scored_minutes(spark, sf)))

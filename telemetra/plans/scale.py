@@ -90,35 +90,33 @@ def unit_levels(value: str) -> tuple[Column, Column]:
     return F.floor(v * BINS).cast("bigint"), F.floor(v * float(BINS) * BINS).cast("bigint")
 
 
-def score_totals(df: DataFrame, score: str, sums: dict[str, Column]) -> DataFrame:
-    """One row per distinct score with its sums and, as ``before_*``, those of all lower scores."""
-    dist = df.groupBy(score).agg(*[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
+def score_totals(df: DataFrame, score: str, sums: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """One row per (by, distinct score) with its sums and, as ``before_*``, those of all lower scores of that group."""
+    dist = df.groupBy(*by, score).agg(*[F.sum(c).cast("bigint").alias(k) for k, c in sums.items()])
     b1, b2 = unit_levels(score)
     binned = dist.withColumn("_b1", b1).withColumn("_b2", b2)
-    return running_totals(binned, ["_b1", "_b2", score], list(sums)).drop("_b1", "_b2")
+    return running_totals(binned, ["_b1", "_b2", score], list(sums), by).drop("_b1", "_b2")
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per (by, prob): no value map in any one task."""
+    """Exact linearly interpolated quantiles, one row per (by, prob): no value map in any one task.
+
+    Distinct values are dealt into ranges of about equal numbers of them, so outliers do not crowd the others together.
+    """
     by = list(by)
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    hist = materialize(hist, "hist")
-    span = hist.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("n").alias("_n"))
+    # the numbers of ranges are settled when the values are written
+    hist = materialize(hist.repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()), "hist")
+    span = hist.groupBy(*by).agg(F.sum("n").alias("_n"))
 
     def attach(frame: DataFrame) -> DataFrame:
-        if by:
-            return frame.join(span, by)
-        return frame.withColumn("_s", span.select(F.struct("_lo", "_hi", "_n")).scalar()).select("*", "_s.*").drop("_s")
-
-    pos = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    binned = attach(hist).withColumn("_p", pos)
-    b1, b2 = unit_levels("_p")
-    binned = binned.withColumn("_b1", b1).withColumn("_b2", b2).drop("_lo", "_hi", "_p")
-    ordered = running_totals(binned.drop("_n"), ["_b1", "_b2", "_v"], ["n"], by, stored=True)
+        return frame.join(span, by) if by else frame.withColumn("_n", span.scalar())
+
+    ordered = running_totals(hist, ["_range", "_v"], ["n"], by, stored=True)
     wanted = F.array(
         *[
             F.struct(F.lit(float(p)).alias("prob"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("at"))

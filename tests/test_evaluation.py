@@ -97,3 +97,40 @@ def test_out_of_order_across_blocks(spark):
     df = spark.createDataFrame(rows, "seq bigint, time timestamp, org_id string, api_id string, endpoint string, method string")
     got = [x["out_of_order"] for x in flag_out_of_order(df, block=16).orderBy("seq").collect()]
     assert got == [i > 0 and t < max(times[:i]) for i, t in enumerate(times)]
+
+
+def test_quantiles_behind_an_outlier(spark):
+    """One far value does not put all others into one range."""
+    rows = [(float(i % 977) / 3, "a") for i in range(5000)] + [(1e300, "a"), (-1e300, "a"), (float(2**60), "b"), (1.0, "b"), (1.0 + 2**-52, "b")]
+    df = spark.createDataFrame(rows, "v double, k string").repartition(3)
+    own = sorted(v for v, _ in rows)
+    at = lambda q, x: x[int(q * (len(x) - 1))] + (q * (len(x) - 1) % 1) * (x[min(int(q * (len(x) - 1)) + 1, len(x) - 1)] - x[int(q * (len(x) - 1))])
+    for r in scale.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect():
+        assert r["value"] == pytest.approx(at(r["prob"], own), rel=1e-12)
+    by = {(r["k"], r["prob"]): r["value"] for r in scale.exact_quantiles(df, "v", [0.25, 0.5], ["k"]).collect()}
+    assert by["b", 0.5] == 1.0 + 2**-52 and by["a", 0.25] == pytest.approx(at(0.25, sorted(v for v, k in rows if k == "a")))
+
+
+def test_ranges_hold_few_values_each(spark, monkeypatch):
+    """What is written for the windows: no range has most of the distinct values, outliers or not."""
+    kept = {}
+    store = scale.materialize
+    monkeypatch.setattr(scale, "materialize", lambda df, name, *a: kept.setdefault(name, store(df, name, *a)))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(20_000).select((F.col("id") % 4999).cast("double").alias("v")).unionAll(spark.createDataFrame([(1e300,)], "v double"))
+        scale.exact_quantiles(df, "v", [0.5]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [r["count"] for r in kept["hist"].groupBy("_range").count().collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 2500
+
+
+def test_auc_by_group_is_the_auc_of_each(spark):
+    rows = [(k, (i * 7 + k) % 13 / 13, int((i * 5 + k) % 3 == 0)) for k in range(3) for i in range(60)] + [(9, 0.5, 1)]
+    df = spark.createDataFrame(rows, "fold int, score double, label int")
+    by = {r["fold"]: r["roc_auc"] for r in ev.roc_auc(df, ["fold"]).collect()}
+    assert by.pop(9) is None and len(by) == 3
+    for k, auc in by.items():
+        assert auc == pytest.approx(ev.roc_auc(df.filter(F.col("fold") == k)).first()["roc_auc"])
