@@ -13,7 +13,10 @@ PROCESSING_SUFFIX = ".processing-failure.dlq"
 
 
 def dlq_invalid(bad: DataFrame) -> DataFrame:
-    """One record per invalid payload; ``bad`` has topic, offset, reason and the payload text (or null)."""
+    """One record per invalid payload; ``bad`` has topic, offset, reason and the payload text (or null).
+
+    An ``arrival`` order, if there is one, goes along.
+    """
     return bad.select(
         F.concat("topic", F.lit(INVALID_SUFFIX)).alias("topic"),
         F.lit(INVALID_SCHEMA).alias("schema"),
@@ -21,6 +24,7 @@ def dlq_invalid(bad: DataFrame) -> DataFrame:
         F.col("offset").alias("source_offset"),
         F.col("reason").alias("failure_reason"),
         F.col("payload").alias("original_payload"),
+        *[c for c in ("arrival",) if c in bad.columns],
     )
 
 

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemetra.operators.validation import split_valid, validate_lenient
 from telemetra.schemas import ENVELOPE, LENIENT_EVENT
@@ -21,10 +22,13 @@ BATCH_EVENTS = 500
 EVENT_FIELDS = LENIENT_EVENT.replace(", request_size int, response_size int", "")
 
 
-def publish_batches(events: DataFrame, seq: str = "seq", batch: int = BATCH_EVENTS, topic: str = RAW_TOPIC) -> DataFrame:
+def publish_batches(
+    events: DataFrame, seq: str = "seq", batch: int = BATCH_EVENTS, topic: str = RAW_TOPIC, partitions: int = 1
+) -> DataFrame:
     """Packs events, in arrival order, into one gzip JSON array per ``batch`` arrival numbers.
 
-    A group holds at most ``batch`` rows, whatever the endpoint mix.
+    A group holds at most ``batch`` rows, whatever the endpoint mix. Messages go to ``partitions`` in turn, each with
+    offsets of its own.
     """
     names = [c for c in events.columns if c != seq]
     grouped = events.groupBy(F.floor(F.col(seq) / batch).cast("bigint").alias("offset")).agg(
@@ -42,10 +46,34 @@ def publish_batches(events: DataFrame, seq: str = "seq", batch: int = BATCH_EVEN
 
     packed = plain.mapInPandas(pack, "offset bigint, value binary")
     return packed.select(
-        F.lit(topic).alias("topic"), F.lit(0).alias("partition"), "offset", headers.alias("headers"), "value"
+        F.lit(topic).alias("topic"),
+        (F.col("offset") % partitions).cast("int").alias("partition"),
+        F.floor(F.col("offset") / partitions).cast("bigint").alias("offset"),
+        headers.alias("headers"),
+        "value",
     )
 
 
+ARRIVAL = ["batch", "partition", "offset", "pos"]
+
+
+def arrival(batch: int | Column = 0) -> Column:
+    """The order in which items came: (batch, partition, offset, pos) as one comparable value.
+
+    Items of different partitions have no order of their own; the batch that brought them comes first, then the
+    partition's number, so that no two items are equal. ``pos`` is null for a message that could not be read.
+    """
+    number = batch if isinstance(batch, Column) else F.lit(batch)
+    return F.struct(number.cast("bigint").alias("batch"), *[F.col(c).cast("bigint").alias(c) for c in ARRIVAL[1:]])
+
+
+def arrival_fields(df: DataFrame, seq: str = "seq") -> list[Column]:
+    """The four numbers of an arrival order; a plain number counts as the offset."""
+    if isinstance(df.schema[seq].dataType, T.StructType):
+        return [F.col(f"{seq}.{c}").alias(c) for c in ARRIVAL]
+    return [(F.col(seq).cast("bigint") if c == "offset" else F.lit(0).cast("bigint")).alias(c) for c in ARRIVAL]
+
+
 def _unsnappy(data: bytes) -> bytes:
     """A raw snappy block. Its length stands in front, seven bits a byte; Arrow's codec wants to be told it."""
     size = shift = 0

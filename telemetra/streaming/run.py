@@ -211,7 +211,7 @@ def start_ingest(
 
         def work() -> None:
             ok, bad = envelope.decode_messages(batch)
-            ok = ok.withColumn("seq", F.col("offset") * 1_000_000 + F.col("pos"))
+            ok, bad = ok.withColumn("seq", envelope.arrival(batch_id)), bad.withColumn("arrival", envelope.arrival(batch_id))
             seen = Observation(f"invalid-{batch_id}")
             corrupt = F.count_if(F.col("original_payload").isNull())
             dead = deadletters.dlq_invalid(bad).observe(seen, F.count(F.lit(1)).alias("invalid"), corrupt.alias("corrupt"))

@@ -11,11 +11,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from telemetra.operators.live import DEFAULT_RETENTION, FALLBACK_RETENTION, normalise_keys
 from telemetra.operators.serving_features import CAPACITY_RPS, EWM_ALPHA, HISTORY, WARMUP_EVENTS
 from telemetra.schemas import ENDPOINT_KEY, FEATURE_ALIASES, FEATURES
+from telemetra.sources.envelope import ARRIVAL, arrival_fields
 
 KEY_SCHEMA = ", ".join(f"{k} string" for k in ENDPOINT_KEY)
 # Settings a stateful query takes over when it starts. Without new data there is nothing to report, so no
@@ -137,7 +139,7 @@ def with_stream_history(ticks: DataFrame) -> DataFrame:
 
 
 LIVE_SUMS = ["requests", "successes", "errors", "latency_sum"]
-LIVE_LAST = ["seq", "last_latency", "last_status", "last_seen_us"]
+LIVE_LAST = [*ARRIVAL, "last_latency", "last_status", "last_seen_us"]
 LIVE_SCHEMA = ", ".join(f"{c} bigint" for c in [*LIVE_SUMS, *LIVE_LAST])
 LIVE_OUT = f"{KEY_SCHEMA}, {LIVE_SCHEMA}, error_rate double, avg_latency double"
 
@@ -145,7 +147,7 @@ LIVE_OUT = f"{KEY_SCHEMA}, {LIVE_SCHEMA}, error_rate double, avg_latency double"
 def _partials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums per endpoint within each Arrow batch: what leaves a task is one row per endpoint, not per event."""
     for f in frames:
-        f = f.sort_values("seq")
+        f = f.sort_values(ARRIVAL)
         ok = f["status"].between(200, 499)
         f = f.assign(requests=1, successes=ok.astype("int64"), errors=(~ok).astype("int64"), latency_sum=f["latency"])
         f = f.rename(columns={"latency": "last_latency", "status": "last_status", "us": "last_seen_us"})
@@ -167,7 +169,7 @@ class LiveProcessor(StatefulProcessor):
         if self._state.exists():
             parts = pd.concat([pd.DataFrame([tuple(self._state.get())], columns=names), parts])
         sums = parts[LIVE_SUMS].sum()
-        newest = parts.sort_values("seq").iloc[-1][LIVE_LAST]
+        newest = parts.sort_values(ARRIVAL).iloc[-1][LIVE_LAST]
         values = (*map(int, sums), *map(int, newest))
         self._state.update(values)
         row = dict(zip(ENDPOINT_KEY, key)) | dict(zip(names, values))
@@ -180,13 +182,13 @@ class LiveProcessor(StatefulProcessor):
 
 
 def stream_live(events: DataFrame, retention_minutes: int = DEFAULT_RETENTION) -> DataFrame:
-    """Updated live state of every endpoint a micro-batch touches. Needs ``seq``, the arrival number."""
-    slim = normalise_keys(events).selectExpr(
+    """Updated live state of every endpoint a micro-batch touches. Needs ``seq``, the arrival order or number."""
+    slim = normalise_keys(events).select(
         *ENDPOINT_KEY,
-        "cast(seq as bigint) as seq",
-        "cast(latency_ms as bigint) as latency",
-        "cast(status as bigint) as status",
-        "unix_micros(cast(time as timestamp)) as us",
+        *arrival_fields(events),
+        F.col("latency_ms").cast("bigint").alias("latency"),
+        F.col("status").cast("bigint").alias("status"),
+        F.unix_micros(F.col("time").cast("timestamp")).alias("us"),
     )
     partial = slim.mapInPandas(_partials, f"{KEY_SCHEMA}, {LIVE_SCHEMA}")
     return partial.groupBy(*ENDPOINT_KEY).transformWithStateInPandas(
