@@ -23,6 +23,7 @@ from telemetra.session import materialize
 
 EVIDENCE = 20.0  # log-likelihood ratio that makes a word a term
 TERMS = 4096  # terms of the lexicon, the best first
+ID_BITS = 24  # size of the bitmap of labelled ids: 2 MB
 SAMPLE = 40_000  # labelled rows the logistic model is fitted on, at most
 AROUND = 6  # words on either side that count as context
 SHORTEST = 4  # letters of a word that may be a misspelling
@@ -139,9 +140,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             some = batch.slice(at, 1000)
-            counts: dict[str, list[int]] = {}
-            for text, toxic in zip(some.column("text"), some.column("toxic").to_pylist()):
-                for w in set(WORD.findall(text.as_py().lower())):
+            marks = some.column("toxic").to_pylist()
+            counts: dict[str, list[int]] = {"": [marks.count(0), marks.count(1)]}  # no word is empty: the documents
+            for words, toxic in zip(some.column("words").to_pylist(), marks):
+                for w in words:
                     counts.setdefault(w, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
@@ -149,22 +151,57 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _distinct(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((bits[slot >> 6] >> (slot & 63) & 1).astype(bool)))
+            made = [list(set(WORD.findall(t.as_py().lower()))) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.list_(pa.string()))], names=["doc_id", "words"])
+
+    return run
+
+
+def _slot(doc_id: str = "doc_id"):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << ID_BITS)).cast("long")
+
+
+def id_bits(marks: DataFrame) -> np.ndarray:
+    """A bitmap of 2**ID_BITS hashed ids. It says surely which rows have no label; the join settles the others."""
+    slots = marks.select(_slot().alias("slot"))
+    words = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    out = np.zeros((1 << ID_BITS) // 64, dtype=np.int64)
+    found = words.toArrow()  # 2**ID_BITS / 64 rows at most
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def marked(labels: DataFrame) -> DataFrame:
+    return labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Whole texts with a label. Rows that repeat an id count once a distinct text and label."""
-    marks = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    return documents(docs).join(marks, "doc_id")
+    """``toxic`` and the distinct ``words`` of whole texts with a label. A row that repeats an id counts again, with each
+    of its labels. A bitmap of ids, of fixed size, leaves out most rows without a label; what is then dealt out by id are
+    words, not texts, the same way at every size."""
+    marks = marked(labels)
+    held = docs.sparkSession.sparkContext.broadcast(id_bits(marks))
+    words = documents(docs).withColumn("slot", _slot()).mapInArrow(_distinct(held), "doc_id long, words array<string>")
+    return words.join(marks.hint("merge"), "doc_id").select("words", "toxic")
 
 
 def learn(rows: DataFrame) -> Lexicon:
-    """The lexicon of labelled rows (text, toxic). Document counts of all words combine before the shuffle; the
+    """The lexicon of labelled rows (words, toxic). Document counts of all words combine before the shuffle; the
     driver gets the TERMS best terms and the harmless words that resemble them."""
-    counts = rows.select("text", "toxic").mapInArrow(_counted, "word string, clean long, toxic long")
+    counts = rows.mapInArrow(_counted, "word string, clean long, toxic long")
     counts = counts.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts.where("clean + toxic > 1"), "words")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    size = counts.where("word = ''").first()
+    bad, good = (size["toxic"], size["clean"]) if size else (0, 0)
     if not bad or not good:
         return Lexicon({})
+    counts = counts.where("word <> ''")
     share = bad / (bad + good)
 
     def part(n: str, expected: float):
@@ -226,12 +263,12 @@ def _features(held):
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of labelled documents: the lexicon from all of them, the logistic weights from SAMPLE at most (those
     whose ids hash lowest). Without labels of both kinds every score is the same, below one half."""
-    rows = labelled(docs, labels)
-    lexicon = learn(rows)
-    held = rows.sparkSession.sparkContext.broadcast(lexicon)  # TERMS terms
+    lexicon = learn(labelled(docs, labels))
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # TERMS terms
     order = F.xxhash64("doc_id")
-    chosen = labels.where("toxic in (0, 1)").select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "toxic")
+    marks = marked(labels)
+    chosen = marks.select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE)
+    sample = documents(docs).join(F.broadcast(marks.join(F.broadcast(chosen), "doc_id", "left_semi")), "doc_id").select("text", "toxic")
     made = sample.mapInArrow(_features(held), "toxic int, x array<double>").toPandas()
     marks = made["toxic"].to_numpy(dtype=float)
     if not len(marks) or marks.min() == marks.max():
