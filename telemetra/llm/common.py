@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_emptied: list[Callable[[], None]] = []  # what empties each cache of this worker
+_stage: list[int | None] = [None]
+
+
+def worker_cache(empty: Callable[[], None]) -> None:
+    """Names the function that empties a cache a module keeps between tasks."""
+    _emptied.append(empty)
+
+
+def start_task() -> None:
+    """To be called first by every task with a cache, and by tasks that need memory: a worker that runs another stage
+    than before gives up what the tasks of that stage kept."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _stage[0]:
+        for empty in _emptied:
+            empty()
+        pa.default_memory_pool().release_unused()
+        _stage[0] = stage
+
+
 class Words:
     """64-bit hashes of words, remembered up to a bound."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import documents, table
+from telemetra.llm.common import documents, start_task, table, worker_cache
 from telemetra.session import materialize
 
 WINDOW = 10
@@ -81,10 +81,12 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 
 _built: dict = {}
+worker_cache(_built.clear)
 
 
 def _scan(items, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         own = _built_once(items, window)
         for batch in batches:
             counts, hits, owners = [], [], []
@@ -153,6 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
         held = _held(items, shards, k)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            start_task()
             own = _built_once(held, window)
             for batch in batches:
                 yield batch.filter(pa.array([not own.scan(t.as_py() or "")[1] for t in batch.column("text")], pa.bool_()))

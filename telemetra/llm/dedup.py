@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import documents, mix
+from telemetra.llm.common import documents, mix, start_task
 from telemetra.llm.components import components
 from telemetra.session import materialize
 
@@ -94,6 +94,7 @@ SKETCH = "doc_id long, n_shingles long, set_key string, bits array<long>, bands
 
 def _sketch(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         made = _circulants.setdefault(bands * rows, None) or Circulant(bands * rows)
         _circulants[bands * rows] = made
         with np.errstate(over="ignore"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import documents, fold, table
+from telemetra.llm.common import documents, fold, start_task, table
 from telemetra.session import materialize
 
 SIZES = (3, 4)
@@ -24,6 +24,8 @@ PROBES = 3
 KEEP = 1 << 16  # n-grams a language's slice holds, the most frequent first
 SHARE = 0.25  # of the highest relative frequency that makes an n-gram part of a language
 UNKNOWN = "und"
+HELD = 1_000_000  # n-grams a task collects before it counts them; a longer text is counted on its own
+ROWS = 10_000  # of a batch it yields
 
 _letters: list[np.ndarray] = []
 
@@ -79,18 +81,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         for lang, parts in held.items():
             found, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=names
-            )
+            parts.clear()
+            for at in range(0, len(found), ROWS):
+                own, times = found[at : at + ROWS].view(np.int64), n[at : at + ROWS].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(own), pa.array(times)], names=names)
         held.clear()
 
+    start_task()
     with np.errstate(over="ignore"):
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
                 own = grams(text.as_py())
                 held.setdefault(lang, []).append(own)
                 size += len(own)
-                if size > 8_000_000:
+                if size > HELD:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -161,6 +165,7 @@ _PREDICTED = "doc_id long, lang_pred string, score double"
 
 def _predict(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         own: Filter = held.value
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -186,6 +191,7 @@ def keeping(held, least: float):
     score of ``least`` or more. ``held`` is the broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         own: Filter = held.value
         with np.errstate(over="ignore"):
             for batch in batches:

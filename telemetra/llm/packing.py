@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import documents
+from telemetra.llm.common import documents, start_task, worker_cache
 from telemetra.session import materialize
 
 LENGTH = 2048
@@ -62,12 +62,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        # parts by whether a space goes before them; of each kind the newer ones and the ones before
-        self.known: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+        self.forget()
         self.model = self.tokenizer.model
         alone = lambda text: pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self.stops, self.feed = {c: alone(c) for c in STOPS}, alone("\n")
 
+    def forget(self) -> None:
+        # parts by whether a space goes before them; of each kind the newer ones and the ones before
+        self.known: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+
     def prepare(self, kind: int, parts: set[str]) -> dict[str, bytes]:
         """A dictionary that has the ids of all ``parts``."""
         new, old = self.known[kind]
@@ -132,6 +135,14 @@ UNUSUAL = re.compile(r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200
 _encoders: dict[str | None, Encoder] = {}
 
 
+def _forget() -> None:
+    for encoder in _encoders.values():
+        encoder.forget()
+
+
+worker_cache(_forget)
+
+
 def _batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
     """Slices of a batch of about so many characters; a longer text is a slice of its own."""
     ids, texts, size = [], [], 0
@@ -149,6 +160,7 @@ def _batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[li
 
 def _pieces(path: str | None, length: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder, part = _encoders[path], TaskContext.get().partitionId()

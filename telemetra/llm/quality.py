@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import Words, documents, mix, table
+from telemetra.llm.common import Words, documents, mix, start_task, table, worker_cache
 from telemetra.session import materialize
 
 REPEAT = 8
@@ -30,6 +30,7 @@ FEATURES = ["log_words", "mean_word", "symbols", "dup_lines", "repeats", "distin
 STATS = ", ".join(["doc_id long", *[f"{c} long" for c in COUNTS], "features array<double>"])
 
 _words = Words()
+worker_cache(_words.known.clear)
 _SPACE = b" \t\n\x0b\x0c\r"
 _CAPITALS = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -75,6 +76,7 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start_task()
     for batch in batches:
         made = [statistics(t.as_py()) for t in batch.column("text")]
         columns = [pa.array([m[0][i] for m in made], pa.int64()) for i in range(len(COUNTS))]
