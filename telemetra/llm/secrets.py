@@ -3,8 +3,9 @@
 A candidate is a run of characters that keys and tokens are made of. Its character class (digits, hex, letters,
 letters with digits, base64) sets the entropy that counts as random. A window slides over it; the counts of its
 characters, and with them the entropy, change by one character in and one out. Windows above the threshold are
-joined to a span. Allow-listed candidates (identifiers, addresses, paths, dates, placeholders) are left alone. What a
-fixed pattern has found already is cut out of the spans; every remainder that holds a full window stays.
+joined to a span. Allow-listed candidates (identifiers, addresses before their query, paths, dates) are left alone. What
+a fixed pattern has found already, and fillers (placeholder words, characters in order), are cut out of the spans; every
+remainder that holds a full window stays.
 """
 
 from __future__ import annotations
@@ -40,12 +41,43 @@ ALLOWED = re.compile(
     r"""(?ix)
       [0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}  # universally unique identifiers
     | [0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9-]+Z?)?                   # dates
-    | .*(?:example|placeholder|changeme|your[_-]|xxxx|abcdef|012345|123456).*
     | (?:[a-z]{2,}[0-9]{0,4}[/_=-]+)+[a-z]*[0-9]{0,4}                 # paths and names of several words
     | [-=_+/]+
     """
 )
-BEFORE = re.compile(r"(?:://|www\.|@|#)\S*$")
+#: fixed values: words that stand in for a secret, looked for in lower case
+FILLER = re.compile(r"example|placeholder|changeme|your[_-]|x{4,}")
+ORDERED = 6  # characters, each the next after the one before, that are no secret: abcdef, 012345
+MARKS = re.compile(r"://|www\.|@|#|\?")
+
+
+class Addresses:
+    """Whether a place of a text lies in an address, before its query. Places are asked in order, each the start of a
+    candidate, so a text of any length is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.inside = text, 0, False
+
+    def hold(self, place: int) -> bool:
+        read = self.text[self.at : place + 2]  # a candidate may begin with the slashes of ://
+        run = read.rsplit(None, 1)[-1]
+        self.inside &= len(run) == len(read)
+        for mark in MARKS.finditer(run):
+            self.inside = mark[0] != "?"  # values of a query are where tokens leak
+        self.at = place + 2
+        return self.inside
+
+
+def fillers(run: str) -> list[tuple[int, int]]:
+    """Ranges of placeholder words and of characters in order."""
+    low = run.lower()
+    out, start = [m.span() for m in FILLER.finditer(low)], 0
+    for i in range(1, len(low) + 1):
+        if i == len(low) or ord(low[i]) != ord(low[i - 1]) + 1:
+            if i - start >= ORDERED:
+                out.append((start, i))
+            start = i
+    return out
 
 
 def character_class(s: str) -> str:
@@ -99,7 +131,7 @@ def find(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text in code points, by start and then kind."""
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     base += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    added = []
+    added, addresses = [], Addresses(text)
     for m in CANDIDATE.finditer(text):
         run = m[0]
         # every hex match of 32 or more lies inside a candidate
@@ -107,11 +139,14 @@ def find(text: str, window: int = WINDOW) -> list[tuple[str, int, int]]:
         threshold = THRESHOLD[character_class(run)]
         if threshold < math.inf:
             parts = random_parts(run, window, threshold)
-            if parts and not BEFORE.search(text[max(0, m.start() - 200) : m.start()]):
+            if parts and not addresses.hold(m.start()):
                 at = m.start()
-                taken = sorted((a - at, b - at) for _, a, b in base if a < m.end() and at < b)
+                taken = [(a - at, b - at) for _, a, b in base if a < m.end() and at < b]
+                if not taken and ALLOWED.fullmatch(run):
+                    continue
+                taken = sorted(taken + fillers(run))
                 if not taken:
-                    left = [] if ALLOWED.fullmatch(run) else parts
+                    left = parts
                 else:  # the rest of the run is judged without what is taken
                     left = [x for part in parts for x in remainders(*part, taken) if x[1] - x[0] >= window]
                     left = [(a, b) for a, b in left if random_parts(run[a:b], window, threshold) and not ALLOWED.fullmatch(run[a:b].strip("-=_+/"))]

@@ -1,6 +1,7 @@
 """Each operator on rows with nulls, empty and very long texts, ties, repeats, clashing columns, and on no rows."""
 
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -310,6 +311,97 @@ def test_secrets_beside_fixed_patterns():
         assert token not in secrets.redact(text, spans) and token[::-1] not in secrets.redact(text, spans)
 
 
+def test_secrets_beside_fillers_and_addresses():
+    token = "wJalrXUtnFEMIK7MDENGbPxRfiCYzEXkQpL"
+    spans = lambda text: [text[a:b] for k, a, b in secrets.find(text) if k == "entropy"]
+    assert spans(f"a {token}123456{token[::-1]} b") == [token, token[::-1]]
+    assert spans(f"a {token}xxxxxxx b") == [token] and spans(f"{token[:15]}changeme{token[:15]}") == []
+    assert spans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") == []
+    assert spans("123e4567-e89b-12d3-a456-012345678901") == []
+    for path in ("h/p", "h/" + "p." * 300):  # however long the address is
+        assert spans(f"see https://{path}.{token} b") == []
+        assert spans(f"see https://{path}?k={token} b") == [f"k={token}"]
+        assert spans(f"see https://{path}?u=http://{path}.{token} {token}") == [token]
+    assert spans(f"https://{token}") == [] and spans(f"www.x?a&{token}#{token}") == [token]
+
+
+def test_secret_query_equals_brute_force(spark, tmp_path):
+    """Spans of whole texts found character by character: every window counted anew, every run looked at alone."""
+    rng = np.random.default_rng(11)
+    parts = ["password: ", "API_KEY=\"", "token", " = ", "AKIA", "0Q2W4E6R8T1Y3U5I", "0123456789abcdef" * 2, "wJalrXUtnFEMIK7MDENGbPxRfi", "https://h.x/", "?k=", "&", " ", "\n", "é", "xxxx", "/", "-", "word", "word", "abcdefgh", "#", "kQ93zLp0vTn5"]
+    texts = [None, "", *("".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(800))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def runs(text, inside):
+        for flag, group in itertools.groupby(enumerate(text), key=lambda x: x[1] in inside):
+            if flag:
+                at = [i for i, _ in group]
+                yield at[0], at[-1] + 1
+
+    def brute(text):
+        own = [("hex", a, b) for a, b in runs(text, "0123456789abcdef") if b - a >= 32]
+        capital, chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "+/_.=-abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+        i = 0
+        while (i := text.find("AKIA", i)) >= 0:
+            end = i + 4
+            while end < len(text) and text[end] in capital:
+                end += 1
+            own += [("access", i, end)] if end - i >= 16 else []
+            i = end if end > i + 4 else i + 1
+        i = 0
+        while i < len(text):
+            name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(n)].lower() == n), None)
+            at = i + len(name or "")
+            at += text[at : at + 1] in ('"', "'") and text[at : at + 1] != ""
+            while text[at : at + 1] == " ":
+                at += 1
+            if name and text[at : at + 1] in (":", "=") and at < len(text):
+                at += 1
+                while text[at : at + 1] == " ":
+                    at += 1
+                at += text[at : at + 1] in ('"', "'") and text[at : at + 1] != ""
+                end = at
+                while end < len(text) and text[end] in chars:
+                    end += 1
+                if end > at:
+                    own += [("assign", i, end)] if end - at >= 8 else []
+                    i = end
+                    continue
+            i += 1
+        added = []
+        for a, b in runs(text, chars.replace(".", "")):
+            run = text[a:b]
+            word = max((text.rfind(c, 0, a) for c in " \n"), default=-1) + 1
+            lead = text[word : a + 2]
+            marks = [m for m in (lead.rfind("://"), lead.rfind("www."), lead.rfind("@"), lead.rfind("#")) if m >= 0]
+            if b - a < 20 or (marks and max(marks) > lead.rfind("?")):
+                continue
+            hot = lambda s: {j for i in range(len(s) - 19) if math.log2(20) - sum(c * math.log2(c) for c in Counter(s[i : i + 20]).values()) / 20 > secrets.THRESHOLD[secrets.character_class(run)] for j in range(i, i + 20)}
+            cut = {j - a for _, x, y in own for j in range(x, y)}
+            if not cut and secrets.ALLOWED.fullmatch(run):
+                continue
+            free = {j for x, y in secrets.fillers(run) for j in range(x, y)} | cut
+            places = sorted(hot(run) - free)
+            groups = [[p for _, p in g] for _, g in itertools.groupby(enumerate(places), key=lambda x: x[1] - x[0])]
+            # ranges next to each other are apart in the windows only if a gap lies between
+            for g in groups:
+                if len(g) >= 20 and (not free or (hot(run[g[0] : g[-1] + 1]) and not secrets.ALLOWED.fullmatch(run[g[0] : g[-1] + 1].strip("-=_+/")))):
+                    added.append(("entropy", a + g[0], a + g[-1] + 1))
+        order = lambda x: (x[1], secrets.KINDS.index(x[0]), x[2])
+        return sorted(own, key=order), sorted(own + added, key=order)
+
+    rows = {r.doc_id: r for r in secrets.op7_entropy_windows(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    seen = Counter()
+    for i, t in enumerate(texts):
+        own, every = ([f"{k}:{a}:{b}" for k, a, b in spans] for spans in brute(t or ""))
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(own).encode()).hexdigest(), t
+        assert rows[i].spans == ",".join(every), t
+        seen.update(x.split(":")[0] for x in every)
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(x.startswith(k) for x in own) for k in secrets.KINDS[:3])
+    assert min(seen[k] for k in secrets.KINDS) > 10
+
+
 def test_quality(docs, none, labels):
     rows = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
     for i, t in enumerate(TEXTS):
