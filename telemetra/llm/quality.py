@@ -146,9 +146,18 @@ def expected(n: int) -> float:
 
 def fit(stats: DataFrame, trees: int = TREES, size: int = SUBSAMPLE) -> Forest:
     """A forest over at most ``trees * size`` rows, those whose ids hash lowest: the method fits subsamples, whatever
-    the number of rows."""
-    order = F.xxhash64("doc_id")
-    rows = stats.where("n_words > 0").orderBy(order, "doc_id").limit(trees * size).select("features").collect()
+    the number of rows. The bound of the hash follows from the row count, so that a partition sends its share of
+    the sample to the driver and not a whole one; too low a bound is doubled."""
+    wanted, order = trees * size, F.xxhash64("doc_id")
+    able = stats.where("n_words > 0")
+    total = able.count()
+    share = min(1.0, 1.25 * wanted / max(total, 1))
+    while True:
+        low = able if share >= 1 else able.where(order <= F.lit(int(-(2**63) + share * 2**64)))
+        rows = low.orderBy(order, "doc_id", "features").limit(wanted).select("features").collect()
+        if share >= 1 or len(rows) == wanted:
+            break
+        share = min(1.0, 2 * share)
     return Forest(np.array([r[0] for r in rows], dtype=float).reshape(-1, len(FEATURES)), trees, size)
 
 
@@ -198,7 +207,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     without a quality are not used; an empty table gives no rows.
     """
     stats = materialize(rule_statistics(docs), "statistics")
-    scored = anomalies(stats, fit(stats))
+    scored = materialize(anomalies(stats, fit(stats)), "scored")  # read for the threshold and for the verdicts
     limit = threshold(scored, labels)
     return scored.withColumn("base_failed", base_failed()).withColumn(
         "kept", ~F.col("base_failed") & (F.col("anomaly") < limit)

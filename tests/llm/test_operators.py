@@ -416,6 +416,42 @@ def test_quality(docs, none, labels):
     assert quality.verdicts(none, labels).count() == 0
 
 
+def test_forest_sample_and_path_lengths(spark):
+    """The sample is the rows of the lowest hashes, at any share of the table; scores follow the paths, node by node."""
+    rng = np.random.default_rng(2)
+    features = rng.integers(0, 9, (900, len(quality.FEATURES))).astype(float)
+    stats = spark.createDataFrame([(i % 850, 30, f.tolist()) for i, f in enumerate(features)], "doc_id long, n_words long, features array<double>")
+    hashed = sorted((r.h, r.doc_id, r.features) for r in stats.select(F.xxhash64("doc_id").alias("h"), "doc_id", "features").collect())
+    for trees, size in ((4, 16), (10, 64), (50, 64)):
+        sample = np.array([f for _, _, f in hashed[: trees * size]])
+        own, want = quality.fit(stats, trees, size), quality.Forest(sample, trees, size)
+        assert all(np.array_equal(a, b) for x, y in zip(own.trees, want.trees, strict=True) for a, b in zip(x, y))
+        for row, score in zip(features[:40], own.score(features[:40])):
+            total = 0.0
+            for feature, value, left, path in own.trees:
+                at = 0
+                while feature[at] >= 0:
+                    at = left[at] + int(row[feature[at]] >= value[at])
+                total += path[at]
+            assert score == pytest.approx(2 ** (-total / trees / quality.expected(size)))
+
+
+def test_quality_query_equals_brute_force(docs, labels):
+    """Verdicts from the forest's scores: the threshold of all that keep enough good rows with the most right."""
+    made = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.doc_id is not None}
+    passed = [(made[i].anomaly, marks[i]) for i in made if not made[i].base_failed]
+    best, good = (-1, 1.0), sum(q for _, q in passed)
+    for step in range(1, quality.BINS + 1):
+        kept = [q for a, q in passed if a < step / quality.BINS]
+        right = sum(kept) + sum(1 - q for a, q in passed if a >= step / quality.BINS)
+        if sum(kept) >= quality.GOOD_KEPT * good and right > best[0]:
+            best = (right, step / quality.BINS)
+    limit = best[1] if any(not q for _, q in passed) else 1.0
+    for r in made.values():
+        assert r.kept == (not r.base_failed and r.anomaly < limit)
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "common3 COMMON4, common5 common6 common7 common8 common9 common10 common11 common12"), (2, "one two"), (None, None)], "item_id long, text string")
     rows = {r.doc_id: r for r in decontaminate.hit_spans(decontaminate.scan(docs, items)).collect()}
