@@ -90,6 +90,15 @@ def synced_operations(ops: DataFrame, endpoints: DataFrame) -> DataFrame:
     return best.join(known, at).select("org_id", "endpoint_id", "schema_hash")
 
 
+def synced_counts(ops: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(org, api, synced) for every api with operations: to how many of its endpoints a sync gives a contract."""
+    at = ["org_id", "api_id", "path", "method"]
+    promised = ops.groupBy(*at).agg(F.max("schema_hash").isNotNull().alias("promised"))
+    met = promised.join(endpoints.select(*at, F.col("id").alias("endpoint_id")), at, "left")
+    synced = F.count_if(F.col("promised") & F.col("endpoint_id").isNotNull())
+    return met.groupBy("org_id", "api_id").agg(synced.alias("synced"))
+
+
 def sync_contracts(ops: DataFrame, endpoints: DataFrame, contracts: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Contract table after a sync: the newest contract of each endpoint takes the new hash, missing ones are added."""
     at = ["org_id", "endpoint_id"]

@@ -159,7 +159,7 @@ def _percentiles(counts: str, total: str) -> str:
     return f"transform(array({walk}), v -> array({between}))[0]"
 
 
-def _entropy(counts: str) -> str:
+def entropy_of(counts: str) -> str:
     """Base-2 entropy of a list of (x, w) in which a value may occur several times; null if it is empty."""
     return (
         f"aggregate(array_sort({counts}), named_struct('x', cast(NULL AS string), 'w', 0D, 't', 0D, 's', 0D), "
@@ -201,7 +201,7 @@ def base_features(events: DataFrame, slot_seconds: int = SLOT_SECONDS) -> DataFr
         "*",
         f"{_percentiles('counted', 'w')} AS p",
         "if(w > 1, greatest(0D, w * sqx - sx * sx) / (double(w) * double(w)), 0D) AS latency_variance",
-        f"{_entropy('hashed')} AS schema_entropy",
+        f"{entropy_of('hashed')} AS schema_entropy",
     ).withColumns({"p50_latency": F.col("p")[0], "p90_latency": F.col("p")[1], "p95_latency": F.col("p")[2]})
 
     t = ticks.selectExpr(

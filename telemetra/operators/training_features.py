@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import MINUTE_US, from_micros, is_server_error, micros
+from telemetra.operators.serving_features import SLOT_SECONDS, entropy_of
 from telemetra.plans.scale import exact_quantiles
+from telemetra.session import materialize
 
 CAPACITY_RPS = 2000.0
 EWM_ALPHA = 0.3
@@ -62,6 +64,78 @@ def minute_frame(
     )
 
 
+def schema_minutes(events: DataFrame, key: Sequence[str] = ("org_id", "endpoint"), slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Schema and deploy columns of the minutes of a series, from the hashes of consecutive events.
+
+    A change is an event whose hash differs from that of the event right before it in its series; it belongs to the
+    later event's minute. An event without a hash (null or empty) changes nothing. Fields added are the changes, fields
+    removed one less, breaking is a change that meets a server error, a deploy any change; the entropy is that of the
+    minute's hashes. Ties in time follow ``seq``. A busy minute is dealt over its slots, whose ends are linked afterwards.
+    """
+    key = list(key)
+    at = [*key, "minute", "slot"]
+    us = micros("time")
+    order = Window.partitionBy(*at).orderBy("us", "seq")
+    linked = events.select(
+        *key,
+        us.alias("us"),
+        F.floor(us / MINUTE_US).cast("bigint").alias("minute"),
+        F.floor(us % MINUTE_US / (slot_seconds * 1_000_000)).cast("int").alias("slot"),
+        is_server_error().alias("err"),
+        F.nullif("schema_hash", F.lit("")).alias("hash"),
+        F.col("seq") if "seq" in events.columns else F.lit(0).alias("seq"),
+    ).select(
+        *at,
+        "err",
+        "hash",
+        F.coalesce(F.col("hash") != F.lag("hash").over(order), F.lit(False)).alias("change"),
+        (F.row_number().over(order) == 1).alias("first"),
+        F.lead("err").over(order).isNull().alias("last"),
+    )
+
+    def number(flag: Column) -> Column:
+        return F.sum(F.coalesce(flag, F.lit(False)).cast("bigint"))
+
+    hashes = linked.groupBy(*at, "hash").agg(
+        F.count(F.lit(1)).alias("w"),
+        number(F.col("change")).alias("ch"),
+        number(F.col("change") & F.col("err")).alias("br"),
+        F.bool_or("first").alias("first"),
+        F.bool_or(F.col("first") & F.col("err")).alias("first_err"),
+        F.bool_or("last").alias("last"),
+    )
+    slots = hashes.groupBy(*at).agg(
+        F.sum("ch").alias("ch"),
+        F.sum("br").alias("br"),
+        F.max(F.when(F.col("first"), F.col("hash"))).alias("first_hash"),
+        F.bool_or("first_err").alias("first_err"),
+        F.max(F.when(F.col("last"), F.col("hash"))).alias("last_hash"),
+        F.collect_list(F.when(F.col("hash").isNotNull(), F.struct(F.col("hash").alias("x"), "w"))).alias("hashed"),
+    )
+    before = F.lag("last_hash").over(Window.partitionBy(*key).orderBy("minute", "slot"))
+    link = F.coalesce(F.col("first_hash") != before, F.lit(False))
+    minutes = slots.withColumn("link", link).groupBy(*key, "minute").agg(
+        (F.sum("ch") + number(F.col("link"))).alias("ch"),
+        (F.sum("br") + number(F.col("link") & F.col("first_err"))).alias("br"),
+        F.flatten(F.collect_list("hashed")).alias("hashed"),
+    )
+    return minutes.select(
+        *key,
+        from_micros(F.col("minute") * MINUTE_US, events.schema["time"].dataType).alias("time"),
+        F.col("ch").cast("int").alias("schema_fields_added"),
+        F.greatest(F.col("ch") - 1, F.lit(0)).cast("int").alias("schema_fields_removed"),
+        (F.col("br") > 0).cast("int").alias("schema_breaking_changes"),
+        F.coalesce(F.expr(entropy_of("hashed")), F.lit(0.0)).alias("schema_entropy"),
+        (F.col("ch") > 0).cast("int").alias("recent_deploy"),
+    )
+
+
+def full_minute_frame(events: DataFrame, key: Sequence[str] = ("org_id", "endpoint"), label_above: float = 0.0) -> DataFrame:
+    """The minute frame with schema and deploy columns and all deltas: what a training file holds."""
+    frame = minute_frame(events, key, label_above).join(schema_minutes(events, key), [*key, "time"])
+    return deltas(frame, key).withColumn("window_duration_minutes", F.lit(1))
+
+
 def _series(key: Sequence[str]):
     return Window.partitionBy(*key).orderBy("time")
 
@@ -76,6 +150,7 @@ def training_features(minutes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Adds the ten rolling columns to a minute frame with ``time`` and the key columns."""
     if not key:
         raise ValueError("a series key is required: one global series would be one task")
+    minutes = materialize(minutes, "minutes")  # read for the windows and for the threshold's ranges
     order = _series(key)
 
     def past(n: int):

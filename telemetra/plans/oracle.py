@@ -205,6 +205,14 @@ SCORED = f"""{_minutes(K, 0.25, 'km')}, scored AS (SELECT *,
     round(0.7::double * least(p95_latency / 250.0::double, 1.0::double)
       + 0.3::double * least(error_rate * 1.5::double, 1.0::double), 4) AS score FROM km)"""
 
+SCHEMA_MIN = f"""sp AS (SELECT {S}, date_trunc('minute', time) AS minute, status >= 500 AS err, nullif(schema_hash, '') AS h,
+    lag(nullif(schema_hash, '')) OVER (PARTITION BY {S} ORDER BY time, seq) AS ph FROM tel),
+sm AS (SELECT {S}, minute AS time, (count(*) FILTER (ph <> h))::int AS schema_fields_added,
+    greatest(count(*) FILTER (ph <> h) - 1, 0)::int AS schema_fields_removed,
+    (count(*) FILTER (ph <> h AND err) > 0)::int AS schema_breaking_changes,
+    coalesce(entropy(h) FILTER (h IS NOT NULL), 0) AS schema_entropy, (count(*) FILTER (ph <> h) > 0)::int AS recent_deploy
+  FROM sp GROUP BY {S}, minute)"""
+
 TRAIN = f"""q AS (SELECT quantile_cont(error_rate, 0.8) AS q80 FROM m),
 tr AS (SELECT *, row_number() OVER w AS rn, coalesce(lag(error_rate) OVER w > q80, false)::int AS high,
     CASE WHEN count(*) OVER r15 >= 5 THEN avg(p95_latency) OVER r15 END AS a1,
@@ -450,7 +458,15 @@ def oracle_sql() -> dict[str, str]:
         coalesce(error_rate - lag(error_rate) OVER w, 0) AS error_rate_delta,
         coalesce(traffic_rps - lag(traffic_rps) OVER w, 0) AS traffic_delta
       FROM m WINDOW w AS (PARTITION BY {S} ORDER BY time))"""
-    sql["deltas"] = f"WITH {TEL}, {MIN}, {delta} SELECT time, {S}, {R('latency_delta')}, {R('error_rate_delta')}, {R('traffic_delta')} FROM d"
+    sql["schema_minutes"] = f"""WITH {TEL}, {SCHEMA_MIN} SELECT {S}, time, schema_fields_added, schema_fields_removed,
+        schema_breaking_changes, {R('schema_entropy')}, recent_deploy FROM sm"""
+    wide = f"""{SCHEMA_MIN}, {delta}, f AS (SELECT *, coalesce(schema_entropy - lag(schema_entropy) OVER (PARTITION BY {S} ORDER BY time), 0)
+        AS schema_entropy_delta FROM d JOIN sm USING ({S}, time))"""
+    sql["deltas"] = f"""WITH {TEL}, {MIN}, {wide} SELECT time, {S}, {R('latency_delta')}, {R('error_rate_delta')},
+        {R('traffic_delta')}, {R('schema_entropy_delta')} FROM f"""
+    sql["csv_training"] = f"""WITH {TEL}, {MIN}, {SCHEMA_MIN}, {TRAIN} SELECT time, {S}, {R('schema_entropy')}, recent_deploy,
+        {R('p95_latency_roll_mean_15')}, {R('p95_to_p50_ratio')}, {R('error_rate_ewm')}, {R('error_high_streak')}
+        FROM train JOIN sm USING ({S}, time)"""
     sql["bfill"] = f"""WITH {TEL}, {MIN}, g AS (SELECT *, CASE WHEN label = 1 THEN p95_latency END AS g FROM m)
         SELECT time, {S}, round(first_value(g IGNORE NULLS) OVER (PARTITION BY {S} ORDER BY time
           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS gappy FROM g"""
@@ -469,9 +485,10 @@ def oracle_sql() -> dict[str, str]:
     sql["label_distribution"] = f"""WITH {TEL}, {MIN} SELECT count(*) AS rows, count(*) FILTER (label = 0) AS normal,
         count(*) FILTER (label = 1) AS downtime, {R('avg(label) * 100', 'downtime_pct')},
         avg(label) * 100 BETWEEN 7 AND 12 AS in_band FROM m"""
-    one = "SELECT label, '{0}' AS \"column\", {0} AS v FROM d"
-    names = ["latency_delta", "error_rate_delta", "traffic_delta"]
-    sql["class_stats"] = f"""WITH {TEL}, {MIN}, {delta}, u AS ({' UNION ALL '.join(one.format(n) for n in names)})
+    one = "SELECT label, '{0}' AS \"column\", {0}::double AS v FROM f"
+    names = ["latency_delta", "error_rate_delta", "traffic_delta", "schema_entropy_delta"]
+    names += ["schema_fields_added", "schema_fields_removed", "schema_breaking_changes", "recent_deploy"]
+    sql["class_stats"] = f"""WITH {TEL}, {MIN}, {wide}, u AS ({' UNION ALL '.join(one.format(n) for n in names)})
         SELECT label, "column", {R('avg(v)', 'mean')}, {R('stddev_samp(v)', 'std')}, {R('max(v)', 'max')},
           {R('avg(CASE WHEN v <> 0 THEN 1.0::double ELSE 0.0::double END)', 'nonzero_share')} FROM u GROUP BY ALL"""
     sql["correlations"] = f"""WITH {TEL}, {MIN} """ + " UNION ALL ".join(
@@ -571,6 +588,12 @@ def oracle_sql() -> dict[str, str]:
         CASE WHEN score >= 0.4 THEN 'DOWNTIME' ELSE 'NORMAL' END AS prediction,
         {R('CASE WHEN score >= 0.4 THEN score ELSE 1 - score END', 'confidence', 4)}, label AS true_label FROM scored"""
 
+    sql["risk_report_factors"] = f"""WITH RECURSIVE {TEL}, {MIN}, {NODES}, {SHAPLEY}, r AS (SELECT *, 1 / (1 + exp(-base_score - parts)) AS risk
+          FROM wide JOIN m USING (time, {S}), base)
+        SELECT time, {S}, {R('risk', 'risk_score', 4)}, CASE WHEN risk >= 0.4 THEN 'DOWNTIME' ELSE 'NORMAL' END AS prediction,
+          {R('CASE WHEN risk >= 0.4 THEN risk ELSE 1 - risk END', 'confidence', 4)}, label AS true_label,
+          {', '.join(R(f'by_{n}') for n in MODEL_FEATURES)} FROM r"""
+
     # --- inventory
     listed = "org_id, api_id, base_url, path, method, interval_seconds, timeout_ms, schema_version, max_backoff_seconds"
     sql["poll_targets"] = f"""WITH {APIS}, {EPS}, {TARGETS} SELECT name, endpoint_id, {listed},
@@ -598,6 +621,7 @@ def oracle_sql() -> dict[str, str]:
         FROM apis a LEFT JOIN eps e ON e.api_id = a.id GROUP BY a.id, a.org_id"""
     sql["inventory_search"] = f"""WITH {APIS} SELECT id, name, base_url FROM apis
         WHERE lower(name) LIKE '%api4%' OR lower(base_url) LIKE '%api4%'"""
+    sql["endpoint_search"] = f"WITH {EPS} SELECT id, api_id, path, method FROM eps WHERE lower(path) LIKE '%items%'"
     sql["duplicate_endpoints"] = f"""WITH {EPS} SELECT id, api_id, path, method, definitions FROM (
         SELECT *, count(*) OVER (PARTITION BY api_id, path, method) AS definitions FROM eps) WHERE definitions > 1"""
     sql["org_members"] = """SELECT s_suppkey AS user_id, s_nationkey AS org_id,
@@ -612,6 +636,9 @@ def oracle_sql() -> dict[str, str]:
           FROM eps e LEFT JOIN ops o ON e.org_id = o.org_id AND e.api_id = o.api_id AND e.path = o.path AND e.method = o.method)
         SELECT org_id, endpoint_id, coalesce(schema_hash, 'old') AS schema_hash, created_at FROM s WHERE method <> 'POST'
         UNION ALL SELECT org_id, endpoint_id, schema_hash, TIMESTAMP '2024-01-01' FROM s WHERE method = 'POST' AND schema_hash IS NOT NULL"""
+    sql["contract_sync_count"] = f"""WITH {APIS}, {EPS}, {OPS} SELECT o.org_id, o.api_id,
+        count(e.id) FILTER (o.schema_hash IS NOT NULL) AS synced FROM ops o LEFT JOIN eps e ON e.org_id = o.org_id
+          AND e.api_id = o.api_id AND e.path = o.path AND e.method = o.method GROUP BY ALL"""
     sql["path_match"] = f"WITH {TEL}, {OBS} SELECT seq, path, template, endpoint_id FROM hit WHERE rn = 1"
     sql["contract_verdict"] = f"""WITH {TEL}, {OBS}, v AS (SELECT obs.seq, obs.method, coalesce(template, obs.path) AS path, endpoint_id,
           CASE WHEN n < 5 THEN CASE n % 3 WHEN 0 THEN {_ITEM_HASH} WHEN 1 THEN {_LIST_HASH} ELSE {_STRING_HASH} END END AS contract_hash,
@@ -659,6 +686,11 @@ def oracle_sql() -> dict[str, str]:
     # --- stored tables
     sql["delete_api"] = f"""WITH {TEL} SELECT seq, api_id FROM tel WHERE NOT (org_id = '00000000-0000-4000-8000-000000000001'
         AND api_id = '00000000-0000-4000-9000-000000000004')"""
+    gone = "org_id = '00000000-0000-4000-8000-000000000001' AND api_id = '00000000-0000-4000-9000-000000000004'"
+    sql["delete_api_stored"] = f"""WITH {TEL}, {PRED} SELECT count(*) FILTER ({gone}) AS telemetry,
+        (SELECT count(*) FROM pred WHERE {gone}) AS predictions, count(*) FILTER (NOT ({gone})) AS "left" FROM tel"""
+    sql["retention_stored"] = f"""WITH {TEL}, s AS (SELECT seq, make_timestamp((epoch_us(time) // 1000000 * 600
+          - 599 * 1704067200::bigint) * 1000000)::date AS date FROM tel) SELECT seq, date FROM s WHERE date >= DATE '2024-01-11'"""
     sql["retention_90_days"] = "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01' - INTERVAL 90 DAY"
     sql["purge_jobs"] = """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'failed' ELSE 'queued' END AS status
         FROM orders WHERE o_orderstatus NOT IN ('F', 'P') OR o_orderdate >= TIMESTAMP '2000-06-01' - INTERVAL 30 DAY"""

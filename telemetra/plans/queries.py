@@ -448,10 +448,32 @@ def minute_frame(spark, sf):
     return rounded(_minutes(spark, sf))
 
 
+def _full_minutes(spark, sf):
+    return training_features.full_minute_frame(carrier.telemetry(spark, sf), SERIES, 0.25)
+
+
+@query
+def schema_minutes(spark, sf):
+    return rounded(training_features.schema_minutes(carrier.telemetry(spark, sf), SERIES))
+
+
+DELTAS = ["latency_delta", "error_rate_delta", "traffic_delta", "schema_entropy_delta"]
+
+
 @query
 def deltas(spark, sf):
-    d = training_features.deltas(_minutes(spark, sf), SERIES)
-    return rounded(d.select("time", *SERIES, "latency_delta", "error_rate_delta", "traffic_delta"))
+    return rounded(_full_minutes(spark, sf).select("time", *SERIES, *DELTAS))
+
+
+@query
+def csv_training(spark, sf):
+    """Training features of minutes that went through CSV files, a folder a series."""
+    path = f"{scratch_dir(spark)}/minutes-{uuid.uuid4().hex}"
+    tables.write_training_csv(_full_minutes(spark, sf), path, SERIES)
+    frame, series = tables.read_training_csv(spark, path)
+    made = training_features.training_features(frame, series)
+    names = ["p95_latency_roll_mean_15", "p95_to_p50_ratio", "error_rate_ewm", "error_high_streak"]
+    return rounded(made.select(F.col("time").cast("timestamp_ntz").alias("time"), *SERIES, "schema_entropy", "recent_deploy", *names))
 
 
 @query
@@ -488,8 +510,8 @@ def label_distribution(spark, sf):
 
 @query
 def class_stats(spark, sf):
-    d = training_features.deltas(_minutes(spark, sf), SERIES)
-    return rounded(quality.class_stats(d, ["latency_delta", "error_rate_delta", "traffic_delta"]))
+    schema = ["schema_fields_added", "schema_fields_removed", "schema_breaking_changes", "recent_deploy"]
+    return rounded(quality.class_stats(_full_minutes(spark, sf), [*DELTAS, *schema]))
 
 
 @query
@@ -685,6 +707,21 @@ def risk_report(spark, sf):
     return rounded(scoring.risk_report(s, 0.4))
 
 
+@query
+def risk_report_factors(spark, sf):
+    """Report rows of a node table's scores with the strongest factors and their parts."""
+    minutes = _minutes(spark, sf).select("time", *SERIES, *carrier.MODEL_FEATURES, "label")
+    order = list(carrier.MODEL_FEATURES)
+    parts = trees.explain_nodes(minutes, carrier.model_nodes(spark), order)
+    risk = 1 / (1 + F.exp(-F.aggregate("contributions", F.col("base_score"), lambda a, c: a + c)))
+    report = scoring.risk_report(parts.withColumns({"risk_score": risk, "top_features": scoring.top_features(order, 5)}), 0.4)
+
+    def part(name: str):
+        return F.get(F.filter("top_features", lambda x: x["name"] == name), F.lit(0))["contribution"].alias(f"by_{name}")
+
+    return rounded(report.select("time", *SERIES, "risk_score", "prediction", "confidence", "true_label", *map(part, order)))
+
+
 # --- inventory --------------------------------------------------------------------------------------
 
 
@@ -761,6 +798,11 @@ def inventory_search(spark, sf):
     return inventory.search(carrier.apis(spark, sf), "API4").select("id", "name", "base_url")
 
 
+@query
+def endpoint_search(spark, sf):
+    return inventory.search(carrier.endpoints(spark, sf), "ITEMS", ["path"]).select("id", "api_id", "path", "method")
+
+
 @query
 def duplicate_endpoints(spark, sf):
     return inventory.duplicate_endpoints(carrier.endpoints(spark, sf))
@@ -807,6 +849,11 @@ def contract_sync(spark, sf):
     return contracts.sync_contracts(ops, carrier.endpoints(spark, sf), _stored_contracts(spark, sf), dt.datetime(2024, 1, 1))
 
 
+@query
+def contract_sync_count(spark, sf):
+    return contracts.synced_counts(contracts.spec_operations(carrier.specs(spark, sf)), carrier.endpoints(spark, sf))
+
+
 @query
 def path_match(spark, sf):
     o = carrier.observed(spark, sf)
@@ -888,6 +935,30 @@ def delete_api(spark, sf):
     return retention.without_api(carrier.telemetry(spark, sf), org, api).select("seq", "api_id")
 
 
+@query
+def delete_api_stored(spark, sf):
+    """An api deleted from stored telemetry and predictions: both counts, and what is left of the telemetry."""
+    org, api = "00000000-0000-4000-8000-000000000001", "00000000-0000-4000-9000-000000000004"
+    store = run.Store(f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
+    run.store_events(carrier.telemetry(spark, sf).drop("props"), store, 0, late_after=None)
+    rows = predictions.prediction_rows(minute_predictions(spark, sf)).withColumn("seq", F.lit(0))
+    tables.upsert_predictions(rows, store.at("predictions"), version=0)
+    gone = run.delete_api(spark, store, org, api)
+    left = spark.read.parquet(store.at("telemetry")).agg(F.count(F.lit(1)).alias("left"))
+    return left.select(*[F.lit(gone[c]).cast("bigint").alias(c) for c in ("telemetry", "predictions")], "left")
+
+
+@query
+def retention_stored(spark, sf):
+    """Stored telemetry, a minute of the test data stretched to ten hours, after whole dates have expired."""
+    path = f"{scratch_dir(spark)}/retained-{uuid.uuid4().hex}"
+    t = carrier.telemetry(spark, sf).select("seq", "org_id", "time")
+    stretched = F.timestamp_seconds(F.unix_seconds(F.col("time").cast("timestamp")) * 600 - 599 * 1704067200).cast("timestamp_ntz")
+    tables.append_telemetry(t.withColumn("time", stretched).repartition(F.to_date("time")), path)
+    retention.apply_retention(spark, path, dt.datetime(2024, 4, 10))
+    return tables.read_telemetry(spark, path).select("seq", "date")
+
+
 def _orders_as_jobs(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("queued")

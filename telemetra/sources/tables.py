@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemetra.functions.scalars import clamp
 from telemetra.operators.predictions import merge_predictions
@@ -136,6 +138,27 @@ def read_minutes_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=MINUTES)
 
 
+def read_training_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Minute frame from CSV as ``training_features`` takes it: with ``time``, and the columns of its series.
+
+    Folders named column=value are the series; without any, every file is one, by its name in ``series``.
+    """
+    df = read_minutes_csv(spark, path).withColumnRenamed("timestamp", "time")
+    series = partition_columns(spark, path)
+    if not series:
+        series, df = ["series"], df.withColumn("series", F.col("_metadata.file_name"))
+    return df, series
+
+
+def write_training_csv(minutes: DataFrame, path: str, key: Sequence[str]) -> None:
+    """Writes minute frames as CSV in the declared columns, a folder a series, minutes in order."""
+    fields = T.StructType.fromDDL(MINUTES)
+    named = minutes.withColumnRenamed("time", "timestamp")
+    columns = [(F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    rows = named.select(*columns, *key).repartition(*key).sortWithinPartitions(*key, "timestamp")
+    rows.write.partitionBy(*key).option("header", True).csv(path)
+
+
 def read_catalog(spark: SparkSession, path: str, org_id: str | None = None, newest: str = "created_at") -> DataFrame:
     """A catalog table, optionally of one tenant, newest rows first."""
     df = spark.read.parquet(path)
