@@ -399,6 +399,13 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_features"] = sql["feature_vector"]
     sql["stream_live"] = f"WITH {TEL}, {state.split('HAVING')[0]}) SELECT {shown} FROM state"
 
+    sql["pipeline_counters"] = f"""WITH {TEL}, {RAW}, {LENIENT}, e AS (SELECT reason, seq // 100 AS m, seq // 100 % 10 = 9 AS torn FROM lenient),
+        c AS (SELECT count(*) AS events, count(DISTINCT m) AS messages, count(*) FILTER (NOT torn) AS decoded,
+          count(*) FILTER (NOT torn AND reason IS NULL) AS stored, count(DISTINCT m) FILTER (torn) AS corrupt FROM e)
+        SELECT unnest(['publish', 'publish', 'ingest', 'ingest', 'ingest', 'ingest', 'ingest', 'ingest', 'ingest']) AS job,
+          unnest(['received', 'published', 'received', 'decoded', 'stored', 'late', 'invalid', 'corrupt', 'failed']) AS counter,
+          unnest([events, messages, messages, decoded, stored, 0, decoded - stored + corrupt, corrupt, 0])::bigint AS value FROM c"""
+
     # --- predictions
     b = "round(risk_score * 0.5::double + 0.2::double, 9)"
     sql["predictions_upsert"] = f"""WITH {TEL}, {PRED}, n AS (SELECT *, {b} AS b FROM pred)

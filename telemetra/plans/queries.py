@@ -1028,3 +1028,19 @@ def stream_live(spark, sf):
             F.timestamp_micros("last_seen_us").cast("timestamp_ntz").alias("last_seen"), "error_rate", "avg_latency",
         )
     )
+
+
+@query
+def pipeline_counters(spark, sf):
+    """What publishing and two runs of the ingest job have counted; every tenth message is cut short."""
+    store = run.Store(f"{scratch_dir(spark)}/counted-{uuid.uuid4().hex}")
+    raw = carrier.raw_events(spark, sf).drop("batch_id", "pos")
+    n = F.floor(F.col("seq") / 100)
+    for half in (0, 1):  # the second run starts where the first one stopped
+        run.publish(raw.filter(n % 2 == half), store, store.at("messages"), half, batch=100)
+        sent = spark.read.parquet(store.at(f"messages/batch={half}"))
+        torn = F.when(F.col("offset") % 10 == 9, F.substring("value", 1, 20)).otherwise(F.col("value"))
+        run.write_batch(sent.withColumn("value", torn), store.at("arrived"), half)
+        stream = envelope.read_envelopes(spark, store.at("arrived"), streaming=True)
+        run.start_ingest(stream, store, store.at("checkpoint"), late_after=None, trigger={"availableNow": True}).awaitTermination()
+    return run.read_counters(spark, store)

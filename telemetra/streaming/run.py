@@ -31,6 +31,12 @@ from telemetra.streaming.state import BASE, TICK_SCHEMA, start_stateful, stream_
 ATTEMPTS = 3
 FIRST_WAIT_S, MAX_WAIT_S = 0.1, 30.0
 ALERT_TOPIC, ALERT_SCHEMA = "alerts", "alerts.failure-risk.v1"
+# what each job counts: events, messages and ticks that came, and what became of them
+COUNTERS = {
+    "publish": ["received", "published"],
+    "ingest": ["received", "decoded", "stored", "late", "invalid", "corrupt", "failed"],
+    "alert": ["received", "stored", "published"],
+}
 LOOKBACK = dt.timedelta(minutes=16)
 # what the carried state spans: the look-back of an event that is just not late
 STATE_SPAN = LOOKBACK + timing.LATE_AFTER
@@ -197,6 +203,34 @@ def attempt(work: Callable[[], object], attempts: int = ATTEMPTS) -> None:
             wait = min(wait * 2, MAX_WAIT_S)
 
 
+def publish(events: DataFrame, store: Store, path: str, batch_id: int, **packing) -> dict:
+    """Packs a batch of events into messages, written as files below ``path``, and counts both. A replay replaces itself."""
+    came, went = Observation(f"received-{batch_id}"), Observation(f"published-{batch_id}")
+    counted = events.observe(came, F.count(F.lit(1)).alias("received"))
+    packed = envelope.publish_batches(counted, **packing).observe(went, F.count(F.lit(1)).alias("published"))
+    write_batch(packed, path, batch_id)
+    return write_counters(events.sparkSession, store, "publish", batch_id, came.get | went.get)
+
+
+def write_counters(spark: SparkSession, store: Store, job: str, batch_id: int, counted: dict) -> dict:
+    """One row of counters a batch; those not counted are 0, and a batch that runs again replaces its row."""
+    row = spark.range(1).select(*[F.lit(int(counted.get(c) or 0)).cast("bigint").alias(c) for c in COUNTERS[job]])
+    write_batch(row, store.at(f"metrics/{job}"), batch_id)
+    return counted
+
+
+def read_counters(spark: SparkSession, store: Store) -> DataFrame:
+    """(job, counter, value): totals over all batches of all runs on this store."""
+    out = spark.createDataFrame([], "job string, counter string, value bigint")
+    for job, names in COUNTERS.items():
+        if holds_data(spark, store.at(f"metrics/{job}")):
+            schema = ", ".join(f"{c} bigint" for c in names)
+            rows = spark.read.schema(schema).parquet(store.at(f"metrics/{job}"))
+            sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+            out = out.unionAll(sums.unpivot([], names, "counter", "value").select(F.lit(job), "counter", "value"))
+    return out
+
+
 def start_ingest(
     messages: DataFrame,
     store: Store,
@@ -217,8 +251,8 @@ def start_ingest(
             dead = deadletters.dlq_invalid(bad).observe(seen, F.count(F.lit(1)).alias("invalid"), corrupt.alias("corrupt"))
             write_batch(dead, store.at("dlq"), batch_id)
             counters = store_events(validation.to_telemetry(ok), store, batch_id, late_after) | seen.get
-            row = spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in counters.items()])
-            write_batch(row, store.at("metrics/ingest"), batch_id)
+            counters |= {"received": batch.count(), "decoded": counters["stored"] + counters["invalid"] - counters["corrupt"]}
+            write_counters(spark, store, "ingest", batch_id, counters)
 
         batch.persist()  # read by the valid and the invalid branch
         try:
@@ -227,6 +261,8 @@ def start_ingest(
             # the batch is set aside whole, as raw messages, and the stream goes on
             forget_batch(spark, store, batch_id)
             write_batch(deadletters.dlq_processing(batch, str(exc)), store.at("dlq_processing"), batch_id)
+            came = batch.count()
+            write_counters(batch.sparkSession, store, "ingest", batch_id, {"received": came, "failed": came})
         finally:
             batch.unpersist()
 
@@ -259,8 +295,11 @@ def start_scoring(
         scored = label_risk(scorer(rows))
         new = materialize(prediction_rows(scored, model_hash), "scored", store.at(f"scored/batch={batch_id}"))
         upsert_predictions(new, store.at("predictions"), version=batch_id)
-        write_batch(alert_messages(alerts(new, threshold)), store.at("alerts"), batch_id)
+        seen = Observation(f"alerts-{batch_id}")
+        sent = alert_messages(alerts(new, threshold)).observe(seen, F.count(F.lit(1)).alias("published"))
+        write_batch(sent, store.at("alerts"), batch_id)
         write_batch(run_metrics(new, threshold), store.at("metrics/scoring"), batch_id)
+        write_counters(batch.sparkSession, store, "alert", batch_id, {"received": stored.count(), "stored": new.count()} | seen.get)
         remove(batch.sparkSession, store.at(f"scored/batch={batch_id}"))
 
     features = with_stream_history(ticks)

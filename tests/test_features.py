@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -130,3 +131,48 @@ def test_plan_shuffles_events_once(spark):
     assert ", ".join(ENDPOINT_KEY).split(",")[0] in plan
     windows = [line for line in slots.splitlines() if "lead(" in line and "Window" in line]
     assert windows and all("slot" in line for line in windows)
+
+
+def test_schema_minutes_equal_a_plain_loop(spark):
+    """Ties in time, missing hashes, empty minutes and changes across slots and minutes."""
+    from telemetra.operators.training_features import schema_minutes
+
+    r = random.Random(4)
+    start = dt.datetime(2024, 1, 1, 5)
+    rows = [
+        (k, start + dt.timedelta(seconds=r.choice([r.randrange(0, 400), 60, 119, 120])), r.choice(["a", "b", "b", "", None]), r.choice([200, 500]), n)
+        for k in ("x", "y") for n in range(300)
+    ]
+    df = spark.createDataFrame(rows, "k string, time timestamp_ntz, schema_hash string, status int, seq long")
+    want: dict = {}
+    for key in ("x", "y"):
+        before = None
+        for _, time, own, status, _ in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1], x[4])):
+            own = own or None
+            cell = want.setdefault((key, time.replace(second=0)), {"ch": 0, "br": 0, "seen": []})
+            changed = own is not None and before is not None and own != before
+            cell["ch"] += changed
+            cell["br"] += changed and status >= 500
+            cell["seen"] += [own] if own else []
+            before = own
+    for seconds in (20, 60):
+        got = schema_minutes(df, ["k"], seconds).collect()
+        assert len(got) == len(want)
+        for g in got:
+            w = want[g["k"], g["time"]]
+            shares = [w["seen"].count(x) / len(w["seen"]) for x in set(w["seen"])]
+            assert (g["schema_fields_added"], g["schema_fields_removed"]) == (w["ch"], max(0, w["ch"] - 1))
+            assert (g["schema_breaking_changes"], g["recent_deploy"]) == (int(w["br"] > 0), int(w["ch"] > 0))
+            assert g["schema_entropy"] == pytest.approx(-sum(p * math.log2(p) for p in shares))
+    assert schema_minutes(df.limit(0), ["k"]).count() == 0
+
+
+def test_files_without_folders_are_series(spark, tmp_path):
+    from telemetra.sources.tables import read_training_csv
+
+    for name in ("a", "b"):
+        lines = [f"2024-01-01 00:{m:02d}:00,1,{m}.5,{m}.75,{m + 1}.0,1.0,0,0.1,0,2.5,0,0,0,0,0.0,0,0,0" for m in range(8)]
+        (tmp_path / f"{name}.csv").write_text("header" + "," * 17 + "\n" + "\n".join(lines) + "\n")
+    frame, series = read_training_csv(spark, str(tmp_path))
+    rows = training_features(frame, series).collect()
+    assert series == ["series"] and sorted({r["series"] for r in rows}) == ["a.csv", "b.csv"] and len(rows) == 16

@@ -82,6 +82,22 @@ def test_alerts_round_trip_and_counters(spark, streamed):
     assert counters[1] == spark.read.parquet(store.at("dlq")).count()
 
 
+def test_counters_survive_restarts_and_failures(spark, streamed, tmp_path, monkeypatch):
+    m, store = streamed
+    ok, bad = envelope.decode_messages(m)
+    got = {(r["job"], r["counter"]): r["value"] for r in run.read_counters(spark, store).collect()}
+    assert got["ingest", "received"] == m.count() and got["ingest", "stored"] == ok.count() and got["ingest", "invalid"] == bad.count()
+    assert got["alert", "published"] == spark.read.parquet(store.at("alerts")).count() > 0
+    assert got["alert", "received"] == spark.read.parquet(store.at("features")).count() and got["ingest", "failed"] == 0
+    other = run.Store(str(tmp_path / "other"))
+    monkeypatch.setattr(run, "store_events", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("store is down")))
+    m.write.parquet(str(tmp_path / "in"))
+    run.start_ingest(envelope.read_envelopes(spark, str(tmp_path / "in"), streaming=True), other, other.at("cp"), trigger=ONCE).awaitTermination()
+    lost = {r["counter"]: r["value"] for r in run.read_counters(spark, other).collect()}
+    assert lost["received"] == lost["failed"] == m.count() and lost["stored"] == 0
+    assert run.read_counters(spark, run.Store(str(tmp_path / "none"))).isEmpty()
+
+
 def test_a_repeated_batch_changes_nothing(spark, streamed):
     _, store = streamed
     telemetry = spark.read.parquet(store.at("telemetry"))
