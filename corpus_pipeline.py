@@ -27,12 +27,15 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; further rows of one id go too, rows without an id stay."""
+    """Keeps the document with the smallest id of each group. Of several rows with one id the least (text, source, lang,
+    n_chars) stays, nulls first, however the rows are dealt; rows without an id stay. An empty table gives no rows."""
     rows = docs.select(*COLUMNS)
     found = materialize(dedup.near_duplicates(rows).select("doc_id", "kept"), "kept")
     dropped = found.where(~F.col("kept")).select("doc_id").distinct()
     left = rows.join(dropped, "doc_id", "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    least = F.min(F.struct("text", "source", "lang", "n_chars")).alias("least")
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(least).select("doc_id", "least.*").select(*COLUMNS)
+    return one.unionByName(left.where("doc_id is null").select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
