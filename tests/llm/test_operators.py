@@ -500,3 +500,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     kept = {r.doc_id for r in now.collect()}
     assert not kept & {0, 1, 2, 7, 8, 9, 10, 11, 12} and 6 in kept
     assert corpus_pipeline.pack(spark, now, str(tmp_path)).select("doc_id").distinct().count() == len(kept)
+
+
+def test_pipeline_keeps_one_defined_row_an_id(spark):
+    import corpus_pipeline
+
+    rows = [(1, "b c d", "en", "s", 5), (1, "a b c", None, None, 5), (1, "a b c", "en", None, 5), (2, None, None, None, None), (2, "z", "en", "s", 1), (None, "q", "en", "s", 1), (None, "q", "en", "s", 1)]
+    want = [(None, "q"), (None, "q"), (1, "a b c"), (2, None)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows[::-1] if parts == 1 else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        got = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert got.columns == corpus_pipeline.COLUMNS
+        made = sorted(got.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+        assert [(r.doc_id, r.text) for r in made] == want and made[2].lang is None
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
