@@ -6,18 +6,22 @@ contiguous slice of that permutation to the running minimum.
 
 Equal sets are one class from the start. Representatives that share a band are candidates. First every bucket's
 members meet its smallest member only (a star: rows grow with members, not pairs). What verifies is linked, and
-then only buckets that still hold several components are looked at: members of different components, of similar
-size and with agreeing signature bits, are verified too. Members of one component need no further link. So no
-candidate pair that could join two components is left out, and a group of thousands of copies never becomes its
-square.
+then only buckets that still hold several components are looked at. In rounds, their members meet one member drawn
+by hash, until a round links nothing; links close buckets, so a group held together by chains is not compared whole.
+What is still open is dealt to blocks, and a task compares two blocks: signature bits first, as a matrix, then the
+full sets of those with a likely partner. It returns the links that join its components, not pairs. Members of one
+component need no further link. So no candidate pair that could join two components is left out, and no group, alike
+or just under the limit, becomes a table of its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ SEED = 20_240_601
 #: bits (one a coordinate) that must agree before a pair's sets are compared. At similarity 0.75 a bit agrees with
 #: probability 0.875: of 255 bits 223 +- 5.3, so this is more than five deviations below.
 AGREE = 195
+#: members and shingles of a block, about; a task holds two blocks
+BLOCK, HELD = 1024, 1_000_000
 
 _EMPTY = np.zeros(0, dtype=np.uint64)
 
@@ -137,18 +143,165 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose full sets have a Jaccard similarity of ``percent`` or more, stored. Each pair row
-    carries two sets while it streams through the joins."""
+    """The pairs (u, v, further columns) whose full sets have a Jaccard similarity of ``percent`` or more, stored. Each
+    pair row carries two sets while it streams through the joins."""
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("_a")), "u").join(
         sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("_b")), "v"
     )
     both = both.withColumn("_common", F.size(F.array_intersect("_a", "_b")))
     enough = 100 * F.col("_common") >= percent * (F.size("_a") + F.size("_b") - F.col("_common"))
-    return materialize(both.where(enough).select("u", "v"), "links")
+    return materialize(both.where(enough).select(*pairs.columns), "links")
+
+
+def still_open(inside: DataFrame) -> DataFrame:
+    """The members (band, component, ...) of bands that hold several components."""
+    ends = inside.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
+    return inside.join(ends.where("_a < _b").select("band"), "band", "left_semi")
+
+
+def meet_drawn(inside: DataFrame, sets: DataFrame, salt: int, percent: int, agree: int) -> DataFrame:
+    """Links (u, v, component_u, component_v) between each member of a band and the one that ``salt`` draws there."""
+    drawn = F.min(F.struct(F.xxhash64("doc_id", F.lit(salt)).alias("at"), *FACTS)).alias("drawn")
+    centres = inside.groupBy("band").agg(drawn).select("band", *[F.col(f"drawn.{c}").alias(n + "u") for c, n in NAMED])
+    pairs = inside.select("band", *[F.col(c).alias(n + "v") for c, n in NAMED]).join(centres, "band")
+    pairs = pairs.where(F.expr("component_u != component_v") & _alike(percent, agree))
+    return verify(pairs.select("u", "v", "component_u", "component_v").distinct(), sets, percent)
+
+
+def deal(inside: DataFrame, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """The members of open bands dealt to tiles: ``tile, side`` and their facts.
+
+    A component beyond a block's size has blocks of its own, the others of a band share blocks. A tile is two blocks
+    of a band, or one with itself, that hold more than one component between them; side tells the two apart.
+    """
+    need = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("w") / held))
+    own = inside.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    own = own.withColumn("parts", need)
+    shared = own.where("parts = 1").groupBy("band").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
+    rows = inside.join(own.select("band", "component", "parts"), ["band", "component"])
+    rows = rows.join(shared.select("band", need.alias("shared")), "band", "left")
+    apart = F.concat_ws(":", "component", F.pmod(F.xxhash64("doc_id"), "parts"))
+    mixed = F.concat_ws(":", F.lit("-"), F.pmod(F.xxhash64("component"), "shared"))
+    rows = rows.withColumn("block", F.when(F.col("parts") > 1, apart).otherwise(mixed)).select("band", "block", *FACTS)
+    blocks = rows.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    two = blocks.select("band", *[F.col(c).alias(f"{c}_2") for c in ("block", "lo", "hi")])
+    tiles = blocks.join(two, "band").where("block <= block_2 and least(lo, lo_2) < greatest(hi, hi_2)")
+    name = F.concat_ws("|", "band", "block", "block_2").alias("tile")
+    spots = tiles.select("band", "block", name, F.lit(0).alias("side"))
+    spots = spots.union(tiles.where("block != block_2").select("band", F.col("block_2").alias("block"), name, F.lit(1).alias("side")))
+    return rows.join(spots, ["band", "block"]).select("tile", "side", *FACTS)
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tile").sortWithinPartitions("tile")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Each tile of sorted rows, and the places of its two sides; the same places twice for a block with itself."""
+
+    def sides(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        second = rows["side"].to_numpy() == 1
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
+        return rows, left, right if len(right) else left
+
+    parts: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        tile = batch.column("tile")
+        new = pc.not_equal(tile.slice(1), tile.slice(0, max(0, len(tile) - 1))).to_numpy(zero_copy_only=False)
+        for begin, end in pairwise([0, *(np.flatnonzero(new) + 1), len(tile)]):
+            if begin == end:
+                continue
+            name = tile[begin].as_py()
+            if parts and name != last:
+                yield sides(parts)
+                parts = []
+            last = name
+            parts.append(batch.slice(begin, end - begin))
+    if parts:
+        yield sides(parts)
+
+
+def _likely(percent: int, agree: int):
+    """For ``mapInArrow``: the members of a tile with a partner in another component, by sizes and signature bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
+        for rows, left, right in _tiles(batches):
+            component, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
+            bits = pc.list_flatten(rows["bits"]).to_numpy().view(np.uint64).reshape(len(n), -1)
+            found = np.zeros(len(n), dtype=bool)
+            for at in range(0, len(left), 64):
+                some = left[at : at + 64, None]
+                apart = np.bitwise_count(bits[some] ^ bits[right]).sum(axis=2, dtype=np.int64)
+                fits = 100 * np.minimum(n[some], n[right]) >= percent * np.maximum(n[some], n[right])
+                fits &= (BANDS * ROWS - apart >= agree) & (component[some] != component[right])
+                found[left[at : at + 64]] |= fits.any(axis=1)
+                found[right] |= fits.any(axis=0)
+            if found.any():
+                yield from rows.select(["tile", "side", "doc_id", "component"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return run
+
+
+def _forest(percent: int):
+    """For ``mapInArrow``: of the links between full sets of a tile those that join its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task()
+        for rows, left, right in _tiles(batches):
+            ids, component = rows["doc_id"].to_numpy(), rows["component"].to_numpy()
+            sets = [s.values.to_numpy() for s in rows["shingles"]]
+            sizes = np.array([len(s) for s in sets])
+            # the shingles of the right side in order, with the rows that hold them
+            held = np.concatenate([sets[j] for j in right])
+            row = np.repeat(np.arange(len(right)), sizes[right])
+            order = np.argsort(held, kind="stable")
+            held, row = held[order], row[order]
+            top: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in top:
+                    c = top[c]
+                return c
+
+            links = []
+            for i in left:
+                begin, end = np.searchsorted(held, sets[i], "left"), np.searchsorted(held, sets[i], "right")
+                times = end - begin
+                at = np.arange(times.sum()) + np.repeat(begin - np.r_[0, np.cumsum(times)[:-1]], times)
+                common = np.bincount(row[at], minlength=len(right))
+                enough = 100 * common >= percent * (sizes[i] + sizes[right] - common)
+                for j in right[enough & (component[right] != component[i])]:
+                    a, b = root(int(component[i])), root(int(component[j]))
+                    if a != b:
+                        top[a] = b
+                        links.append((int(ids[i]), int(ids[j])))
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def across(inside: DataFrame, sets: DataFrame, percent: int, agree: int, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """Links (u, v), stored, that join all components of a band with similar enough members, at most one fewer a tile
+    than it has components."""
+    likely = _by_tile(deal(inside, block, held)).mapInArrow(_likely(percent, agree), "tile string, side int, doc_id long, component long")
+    likely = materialize(likely, "likely")
+    links = _by_tile(likely.join(sets, "doc_id")).mapInArrow(_forest(percent), "u long, v long")
+    return materialize(links, "links")
 
 
 def near_duplicates(
-    docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, agree: int = AGREE
+    docs: DataFrame,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    percent: int = PERCENT,
+    agree: int = AGREE,
+    block: int = BLOCK,
+    held: int = HELD,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept.
 
@@ -159,11 +312,16 @@ def near_duplicates(
     docs = documents(docs)
     sketches = materialize(docs.mapInArrow(_sketch(bands, rows), SKETCH), "sketches")
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    # equal sets first: the smallest id of a class stands for it
-    rep = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = known.join(rep, "set_key").select("doc_id", "rep")
-    reps = known.join(rep, ["set_key"]).where("doc_id = rep").select("doc_id", "n_shingles", "bits", "bands")
-    reps = reps.dropDuplicates(["doc_id", "n_shingles", "bits"])
+    # equal sets first: the smallest id of a class stands for it. Only classes of several ids are joined, by slots, so
+    # that a third of all rows in one class is not one task
+    many = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    many = many.select("set_key", "rep", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    classes = known.select("doc_id", "set_key", slot.alias("slot")).join(many, ["set_key", "slot"])
+    classes = materialize(classes.select("doc_id", "set_key", "rep"), "classes")
+    others = classes.where("doc_id != rep").select("doc_id", "set_key")
+    reps = known.join(others, ["doc_id", "set_key"], "left_anti").dropDuplicates(["doc_id", "n_shingles", "bits"])
+    reps = materialize(reps.select("doc_id", "n_shingles", "bits", "bands"), "reps")
     # a bucket of one member is of no use; least and greatest id combine before the shuffle
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last")
@@ -180,26 +338,29 @@ def near_duplicates(
         return pairs
 
     star = members.where("doc_id != head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct()
-    star = materialize(with_facts(star).where(_alike(percent, agree)).select("u", "v"), "star")
-    links = verify(star, sets, percent)
+    links = verify(with_facts(star).where(_alike(percent, agree)).select("u", "v"), sets, percent)
     first = components(links)
-
-    # buckets that still hold several components: pairs across them
-    labelled = members.select("doc_id", "band").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "doc_id"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-    open_bands = open_bands.where("_a < _b").select("band")
-    inside = labelled.join(open_bands, "band", "left_semi").join(facts, "doc_id")
-    inside = materialize(inside, "inside")
-    left = inside.select("band", *[F.col(c).alias(f"{n}u") for c, n in NAMED])
-    right = inside.select("band", *[F.col(c).alias(f"{n}v") for c, n in NAMED])
-    across = left.join(right, "band").where(F.expr("component_u < component_v") & _alike(percent, agree))
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    across = materialize(across.join(star, ["u", "v"], "left_anti"), "across")
-    more = verify(across, sets, percent)
+    edges = first.select(F.col("component").alias("u"), F.col("node").alias("v"))
+
+    # every pair with the head of a bucket is settled: what the others of several components still need
+    inside = members.where("doc_id != head").select("doc_id", "band").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    inside = still_open(inside.withColumn("component", F.coalesce("component", "doc_id")))
+    inside = materialize(inside.join(facts, "doc_id").select("band", *FACTS), "inside")
+    salt = 0
+    while True:
+        drawn = meet_drawn(inside, sets, salt, percent, agree)
+        if drawn.isEmpty():
+            break
+        edges = edges.union(drawn.select("u", "v"))
+        merged = components(drawn.select(F.col("component_u").alias("u"), F.col("component_v").alias("v")))
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
+        inside = inside.join(merged, "component", "left").withColumn("component", F.coalesce("_into", "component"))
+        inside = materialize(still_open(inside).select("band", *FACTS), "inside")
+        salt += 1
+
+    edges = edges.union(across(inside, sets, percent, agree, block, held))
 
     # stars found before, new links between them, and the members of classes: a round or two from the end
-    edges = first.select(F.col("component").alias("u"), F.col("node").alias("v")).union(more)
     edges = edges.union(classes.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     found = components(edges).withColumnRenamed("node", "doc_id")
     out = sketches.select("doc_id", "n_shingles").join(found, "doc_id", "left")
@@ -209,6 +370,8 @@ def near_duplicates(
     )
 
 
+SLOTS = 16  # parts of a class of equal sets
+FACTS = ("doc_id", "component", "n_shingles", "bits")
 NAMED = (("doc_id", ""), ("component", "component_"), ("n_shingles", "n_"), ("bits", "bits_"))
 
 

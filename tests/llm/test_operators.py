@@ -253,6 +253,70 @@ def test_near_duplicates(docs, none):
     assert dedup.near_duplicates(none).count() == 0
 
 
+def near_misses():
+    """Texts that are alike but mostly just under the limit, some linked only through others, and long chains."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(70):
+        own = list(base)
+        for at in rng.choice(400, int(rng.integers(4, 14)), replace=False):
+            own[at] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(own))
+    chain = [f"c{i}" for i in range(400)]
+    return texts + [" ".join(chain[25 * k : 25 * k + 200]) for k in range(9)] + [texts[3], "a b", "a b", None]
+
+
+def least_linked(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(words, texts)]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+@pytest.mark.parametrize("block, held", [(5, 10**6), (1024, 1500), (1024, 10**6)])
+def test_near_misses_in_tiles(spark, block, held):
+    texts = near_misses()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = least_linked(texts)
+    assert 10 < len(set(want)) < 70  # a group that falls into many components
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs, block=block, held=held).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("block, held", [(5, 10**6), (1024, 1500), (1024, 10**6)])
+def test_tiles_alone_find_all_links(spark, block, held):
+    """One bucket holds everything, and nothing was linked before but one component larger than a block."""
+    texts = near_misses()[:-1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = least_linked(texts)
+    known = max(set(want), key=want.count)
+    sketches = docs.mapInArrow(dedup._sketch(dedup.BANDS, dedup.ROWS), dedup.SKETCH)
+    component = F.when(F.col("doc_id").isin([i for i, w in enumerate(want) if w == known]), F.lit(known)).otherwise(F.col("doc_id"))
+    inside = sketches.select(F.lit(7).cast("long").alias("band"), "doc_id", component.alias("component"), "n_shingles", "bits")
+    sets = docs.mapInArrow(dedup._sets, "doc_id long, shingles array<long>")
+    tiles = dedup.deal(inside, block, held)
+    assert (tiles.select("tile").distinct().count() > 3) == ((block, held) != (1024, 10**6))
+    links = [tuple(r) for r in dedup.across(inside, sets, 75, dedup.AGREE, block, held).collect()]
+    assert all(want[u] == want[v] for u, v in links)
+    least = [known if w == known else i for i, w in enumerate(want)]
+    for _ in texts:
+        for u, v in links:
+            a, b = sorted((least[u], least[v]))
+            least = [a if x == b else x for x in least]
+    assert least == want
+    assert dedup.across(inside.limit(0), sets, 75, dedup.AGREE).count() == 0
+
+
+def test_classes_split_by_slots(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50, "one two three").otherwise(F.col("id").cast("string")).alias("text"))
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 50 else i for i in range(60)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [tuple(map(int, e)) for e in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(30)]
