@@ -7,7 +7,7 @@ contiguous slice of that permutation to the running minimum.
 Equal sets are one class from the start. Representatives that share a band are candidates. First every bucket's
 members meet its smallest member only (a star: rows grow with members, not pairs). What verifies is linked, and
 then only buckets that still hold several components are looked at. In rounds, their members meet one member drawn
-by hash, until a round links nothing; links close buckets, so a group held together by chains is not compared whole.
+by hash, as long as that links many; links close buckets, so a group held together by chains is not compared whole.
 What is still open is dealt to blocks, and a task compares two blocks: signature bits first, as a matrix, then the
 full sets of those with a likely partner. It returns the links that join its components, not pairs. Members of one
 component need no further link. So no candidate pair that could join two components is left out, and no group, alike
@@ -349,9 +349,10 @@ def near_duplicates(
     salt = 0
     while True:
         drawn = meet_drawn(inside, sets, salt, percent, agree)
-        if drawn.isEmpty():
-            break
         edges = edges.union(drawn.select("u", "v"))
+        # a round that merges few components would only repeat the comparisons of the tiles, which settle every pair
+        if drawn.count() * WORTH <= inside.select("component").distinct().count():
+            break
         merged = components(drawn.select(F.col("component_u").alias("u"), F.col("component_v").alias("v")))
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("_into"))
         inside = inside.join(merged, "component", "left").withColumn("component", F.coalesce("_into", "component"))
@@ -371,6 +372,7 @@ def near_duplicates(
 
 
 SLOTS = 16  # parts of a class of equal sets
+WORTH = 20  # a round is followed by another if it links more than one in so many open components
 FACTS = ("doc_id", "component", "n_shingles", "bits")
 NAMED = (("doc_id", ""), ("component", "component_"), ("n_shingles", "n_"), ("bits", "bits_"))
 
