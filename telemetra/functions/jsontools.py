@@ -54,7 +54,9 @@ def _each_distinct(texts: pd.Series, fn) -> pd.Series:
         except RecursionError:
             return None
 
-    return texts.map({t: safe(t) for t in texts.dropna().unique()})
+    found = {t: safe(t) for t in texts.dropna().unique()}
+    # as objects: a batch of nulls alone would become numbers, which are no strings to Arrow
+    return pd.Series([found.get(t) for t in texts], index=texts.index, dtype=object)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,7 +1,7 @@
 import hashlib
 import json
 
-from telemetra.functions.jsontools import canonical_hash, shape_json
+from telemetra.functions.jsontools import canonical_hash, shape_hash, shape_json
 from telemetra.operators import contracts, inventory, tenants
 
 SHAPES = {
@@ -34,6 +34,17 @@ def test_shapes_and_hashes(spark):
     assert spark.createDataFrame([(text,)], "t string").select(canonical_hash("t").alias("h")).first()["h"] == want
 
 
+def test_batch_of_nulls_alone(spark):
+    df = spark.range(0, 5, 1, 1).selectExpr("cast(null as string) AS t")
+    assert [r["h"] for r in df.select(shape_hash("t").alias("h")).collect()] == [None] * 5
+    # one batch holds no contract at all: every response is missing, and no body is hashed
+    seen = spark.range(0, 5, 1, 1).selectExpr("id AS seq", "'o' AS org_id", "'get' AS method", "'/a' AS url", "'{}' AS body")
+    ends = spark.createDataFrame([("e", "o", "GET", "/b")], "id string, org_id string, method string, path string")
+    held = spark.createDataFrame([], "org_id string, endpoint_id string, schema_hash string, created_at timestamp_ntz")
+    out = contracts.contract_verdict(seen, ends, held).collect()
+    assert [(r["status"], r["observed_hash"]) for r in out] == [("missing", None)] * 5
+
+
 def spec(spark, doc):
     return spark.createDataFrame([("s", "o", "a", json.dumps(doc))], "id string, org_id string, api_id string, raw_spec string")
 
