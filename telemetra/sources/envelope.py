@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +20,13 @@ BATCH_EVENTS = 500
 EVENT_FIELDS = LENIENT_EVENT.replace(", request_size int, response_size int", "")
 
 
+# A message holds many events, so messages reach Python a hundred at a time (a plain function's batch), not 10,000.
+
+
+def _pack(value):
+    return None if value is None else gzip.compress(bytes(value), mtime=0)
+
+
 def publish_batches(
     events: DataFrame, seq: str = "seq", batch: int = BATCH_EVENTS, topic: str = RAW_TOPIC, partitions: int = 1
 ) -> DataFrame:
@@ -40,11 +45,7 @@ def publish_batches(
         *[F.struct(F.lit(k).alias("key"), F.encode(F.lit(v), "utf-8").alias("value")) for k, v in BATCH_HEADERS.items()]
     )
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(value=[gzip.compress(bytes(v), mtime=0) for v in frame["value"]])
-
-    packed = plain.mapInPandas(pack, "offset bigint, value binary")
+    packed = plain.withColumn("value", F.udf(_pack, "binary", useArrow=False)("value"))
     return packed.select(
         F.lit(topic).alias("topic"),
         (F.col("offset") % partitions).cast("int").alias("partition"),
@@ -87,27 +88,18 @@ def _unsnappy(data: bytes) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="snappy", asbytes=True)
 
 
-def _decompress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        bodies, errors = [], []
-        for value, coding in zip(frame["value"], frame["coding"]):
-            body, error = None, None
-            try:
-                if value is None:
-                    pass
-                elif coding == "gzip" or bytes(value[:2]) == b"\x1f\x8b":
-                    body = gzip.decompress(bytes(value)).decode("utf-8")
-                elif coding == "snappy":
-                    body = _unsnappy(bytes(value)).decode("utf-8")
-                else:
-                    body = bytes(value).decode("utf-8")
-            except UnicodeDecodeError as exc:
-                error = f"JSON decode failed: {exc}"
-            except Exception as exc:  # any codec fault makes this one message corrupt
-                error = f"Decompression failed: {exc}"
-            bodies.append(body)
-            errors.append(error)
-        yield frame.drop(columns=["value", "coding"]).assign(body=bodies, error=errors)
+def _decompress(value, coding):
+    """Text of a message, or what is wrong with it."""
+    try:
+        if coding == "gzip" or bytes(value[:2]) == b"\x1f\x8b":
+            return gzip.decompress(bytes(value)).decode("utf-8"), None
+        if coding == "snappy":
+            return _unsnappy(bytes(value)).decode("utf-8"), None
+        return bytes(value).decode("utf-8"), None
+    except UnicodeDecodeError as exc:
+        return None, f"JSON decode failed: {exc}"
+    except Exception as exc:  # any codec fault makes this one message corrupt
+        return None, f"Decompression failed: {exc}"
 
 
 def decode_items(envelope: DataFrame) -> DataFrame:
@@ -117,8 +109,10 @@ def decode_items(envelope: DataFrame) -> DataFrame:
     present = envelope.filter(F.col("value").isNotNull()).select(
         "topic", "partition", "offset", "value", F.lower(coding).alias("coding")
     )
-    text = present.mapInPandas(
-        _decompress, "topic string, partition int, offset bigint, body string, error string"
+    # once a message: Spark neither repeats nor moves what it takes for not deterministic
+    decompressed = F.udf(_decompress, "body string, error string", useArrow=False).asNondeterministic()
+    text = present.select("topic", "partition", "offset", decompressed("value", "coding").alias("text")).select(
+        "topic", "partition", "offset", "text.*"
     )
     # parsed once as a variant: says whether the text is JSON, and whether it is an array
     v = text.withColumn("v", F.try_parse_json("body"))
@@ -128,32 +122,23 @@ def decode_items(envelope: DataFrame) -> DataFrame:
         .when(F.col("v").isNull(), "JSON decode failed")
         .when(~F.startswith(kind, F.lit("ARRAY")), "Expected JSON array, got single object or other type")
     )
-    v = v.withColumn("fault", fault)
-    bad = v.filter(F.col("fault").isNotNull()).select(
-        "topic",
-        "partition",
-        "offset",
-        F.lit(None).cast("int").alias("pos"),
-        F.when(F.startswith("fault", F.lit("Expected")), F.col("body")).alias("item"),
-        F.col("fault").alias("error"),
-    )
-    items = v.filter(F.col("fault").isNull()).select(
-        "topic", "partition", "offset", F.posexplode(F.from_json("body", "array<string>")).alias("pos", "item")
+    # items of a good message and the one row of a corrupt one come from the same pass
+    wrong = F.array(F.when(F.startswith("fault", F.lit("Expected")), F.col("body")))
+    found = F.when(F.col("fault").isNull(), F.from_json("body", "array<string>")).otherwise(wrong)
+    rows = v.withColumn("fault", fault).select("topic", "partition", "offset", "fault", F.posexplode(found).alias("pos", "item"))
+    return rows.select(
+        "topic", "partition", "offset", F.when(F.col("fault").isNull(), F.col("pos")).alias("pos"), "item", F.col("fault").alias("error")
     )
-    return items.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
 
 
 def decode_messages(envelope: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, invalid payloads with reason). Extra fields are ignored, types must fit."""
     items = decode_items(envelope)
-    parsed = items.filter(F.col("error").isNull()).withColumn("event", F.from_json("item", LENIENT_EVENT))
-    flat = parsed.select("topic", "partition", "offset", "pos", F.col("item").alias("payload"), "event.*")
-    ok, bad = split_valid(validate_lenient(flat))
-    corrupt = items.filter(F.col("error").isNotNull()).select(
-        "topic", "partition", "offset", "pos", F.col("item").alias("payload"), F.col("error").alias("reason")
-    )
-    invalid = bad.select("topic", "partition", "offset", "pos", "payload", "reason").unionByName(corrupt)
-    return ok.drop("payload"), invalid
+    event = F.when(F.col("error").isNull(), F.from_json("item", LENIENT_EVENT))
+    parsed = items.select("topic", "partition", "offset", "pos", F.col("item").alias("payload"), "error", event.alias("event"))
+    checked = validate_lenient(parsed.select(*parsed.columns[:-1], "event.*"))
+    ok, bad = split_valid(checked.withColumn("reason", F.coalesce("error", "reason")))
+    return ok.drop("payload", "error"), bad.select("topic", "partition", "offset", "pos", "payload", "reason")
 
 
 def lag_by_partition(consumed: DataFrame, log_ends: DataFrame) -> DataFrame:

@@ -75,3 +75,13 @@ def test_lag(spark):
     ends = spark.createDataFrame([("t", 0, 12), ("t", 1, 21), ("t", 2, 5)], "topic string, partition int, high bigint")
     got = {r["partition"]: r["lag"] for r in envelope.lag_by_partition(done, ends).collect()}
     assert got == {0: 2, 1: 0, 2: 5}
+
+
+def test_messages_pass_python_once_in_small_batches(spark, capsys):
+    messages = spark.createDataFrame([("t", 0, n, [], body(GOOD, {**GOOD, "status": 7})) for n in range(3)], ENVELOPE)
+    ok, bad = envelope.decode_messages(messages)
+    for df in (ok, bad):
+        df.explain()
+        plan = capsys.readouterr().out
+        # frames of up to 10,000 messages were decompressed at once, and again for each kind of fault
+        assert "MapInPandas" not in plan and plan.count("BatchEvalPython") == 1
