@@ -769,7 +769,7 @@ def fingerprints(spark, sf):
 
 @query
 def targets_reconcile(spark, sf):
-    t = inventory.poll_targets(carrier.endpoints(spark, sf), carrier.apis(spark, sf))
+    t = materialize(inventory.poll_targets(carrier.endpoints(spark, sf), carrier.apis(spark, sf)), "targets")  # both sides read it
     desired = t.filter(F.col("method") != "PUT")
     changed = F.when(F.col("path") == "/users", F.col("timeout_ms") + 1).otherwise(F.col("timeout_ms"))
     active = t.filter(F.col("path") != "/empty").withColumn("timeout_ms", changed)

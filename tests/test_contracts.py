@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from telemetra.functions.jsontools import canonical_hash, shape_hash, shape_json
 from telemetra.operators import contracts, inventory, tenants
 
@@ -102,6 +104,17 @@ def test_reconcile_partitions_the_union(spark):
     assert "|1m30s|5s|" in prints["/c"]
 
 
+def test_reconcile_moves_no_fingerprint_texts(spark, capsys):
+    rows = [{"org_id": "o", "api_id": "a", "base_url": "https://h", "path": p, "headers": {"x": "y" * n}} for p, n in (("/a", 500), ("/b", 9))]
+    desired = inventory.clean_targets(spark.createDataFrame(rows))
+    longer = F.when(F.col("path") == "/a", F.concat("body", F.lit("z"))).otherwise(F.col("body"))
+    out = inventory.reconcile(desired, desired.withColumn("body", longer))
+    assert sorted(r["action"] for r in out.collect()) == ["changed", "unchanged"]
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("sha2(") == 2  # both sides come to the join as marks of 16 bytes
+
+
 def test_static_targets_are_all_or_nothing(spark):
     good = '[{"org_id": "o", "api_id": "a", "base_url": "b", "path": "/p", "headers": {"X": "1"}}]'
     bad = '[{"org_id": "o", "api_id": "a", "base_url": "b", "path": "/p"}, {"org_id": "o"}]'
