@@ -166,7 +166,7 @@ def fold_auc(df: DataFrame, order_by: Sequence[str], features: Sequence[str], fo
         model = train(rows.filter(F.col("part") == "train"), features, **settings)
         scored = with_risk(rows.filter(F.col("part") == "test"), model, features).select("fold", "label", F.col("risk_score").alias("score"))
         out = scored if out is None else out.unionAll(scored)
-    return roc_auc(out, ["fold"]).withColumnRenamed("roc_auc", "auc")
+    return roc_auc(out, ["fold"]).withColumnRenamed("roc_auc", "auc").orderBy("fold")
 
 
 def risk_report(scored: DataFrame, threshold: float) -> DataFrame:
