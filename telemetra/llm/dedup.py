@@ -178,17 +178,19 @@ def deal(inside: DataFrame, block: int = BLOCK, held: int = HELD) -> DataFrame:
     own = inside.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
     own = own.withColumn("parts", need)
     shared = own.where("parts = 1").groupBy("band").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
-    rows = inside.join(own.select("band", "component", "parts"), ["band", "component"])
-    rows = rows.join(shared.select("band", need.alias("shared")), "band", "left")
+    own = own.join(shared.select("band", need.alias("shared")), "band", "left")
+    rows = inside.join(own.select("band", "component", "parts", "shared"), ["band", "component"])
     apart = F.concat_ws(":", "component", F.pmod(F.xxhash64("doc_id"), "parts"))
     mixed = F.concat_ws(":", F.lit("-"), F.pmod(F.xxhash64("component"), "shared"))
     rows = rows.withColumn("block", F.when(F.col("parts") > 1, apart).otherwise(mixed)).select("band", "block", *FACTS)
+    rows = materialize(rows, "dealt")  # read by the blocks, on both sides of a tile, and by the members of tiles
     blocks = rows.groupBy("band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    blocks = materialize(blocks, "blocks")
     two = blocks.select("band", *[F.col(c).alias(f"{c}_2") for c in ("block", "lo", "hi")])
     tiles = blocks.join(two, "band").where("block <= block_2 and least(lo, lo_2) < greatest(hi, hi_2)")
     name = F.concat_ws("|", "band", "block", "block_2").alias("tile")
-    spots = tiles.select("band", "block", name, F.lit(0).alias("side"))
-    spots = spots.union(tiles.where("block != block_2").select("band", F.col("block_2").alias("block"), name, F.lit(1).alias("side")))
+    sides = F.expr("if(block = block_2, array(block), array(block, block_2))")
+    spots = tiles.select("band", name, F.posexplode(sides).alias("side", "block"))
     return rows.join(spots, ["band", "block"]).select("tile", "side", *FACTS)
 
 

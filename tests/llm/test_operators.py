@@ -311,6 +311,16 @@ def test_tiles_alone_find_all_links(spark, block, held):
     assert dedup.across(inside.limit(0), sets, 75, dedup.AGREE).count() == 0
 
 
+def test_members_are_dealt_once(spark):
+    inside = spark.range(40).selectExpr("id % 2 as band", "id as doc_id", "id as component", "10L as n_shingles", "array(id) as bits")
+    tiles = dedup.deal(inside, 5)
+    plan = tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "Aggregate" not in plan  # what is dealt is stored, not dealt again for each reader
+    pairs = {(r.tile, r.doc_id) for r in tiles.collect()}
+    met = {(a, b) for t, a in pairs for u, b in pairs if t == u}
+    assert all((a, b) in met for a in range(40) for b in range(a % 2, 40, 2) if a != b)
+
+
 def test_classes_split_by_slots(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 50, "one two three").otherwise(F.col("id").cast("string")).alias("text"))
     got = {r.doc_id: r.component_id for r in dedup.near_duplicates(docs).collect()}
