@@ -3,9 +3,9 @@
 A text is a sequence of words and one end; a word is coded as its bytes and a closing space, a byte as eight binary
 decisions. Several predictors give the probability of each bit from a context: the last one to four bytes, and the
 whole beginning of the word. Their log odds are mixed with weights that a gate selects by how often the contexts
-were seen; the weights are fitted in passes over a bounded list of words, a few thousand bits at a time, each bit
-before it is counted (an occurrence is taken out of its own counts), and so is a probability map that refines the
-result. Both are fixed when words are scored. The bits of a word add up to its log probability.
+were seen; the weights are fitted on every training word, by Newton steps from slopes and curvatures that the parts of words
+add up, each bit before it is counted (an occurrence is taken out of its own counts). A further reading of every
+training word gives a probability map that refines the result. Both are fixed when words are scored. The bits of a word add up to its log probability.
 
 Counts are kept by whole contexts, never by hashed slots, so they stay apart however many there are. Sorted words are
 cut into parts of about equal size. The words that share a beginning are neighbours, so a part counts its beginnings
@@ -21,13 +21,13 @@ the documents by a broadcast of fixed size, all others by a join.
 from __future__ import annotations
 
 import math
-import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +41,13 @@ TOTAL = 1 << 16  # slots of the contexts of one byte: the byte and the node
 PART = 16_384  # words of a part, about
 DRAWN = 32  # words a part that the cuts are taken from
 HOT = 100_000  # frequent words that are broadcast
-SAMPLE = 50_000  # further words, of those that are not, on which the gated weights are learned
 SIGHTS = (1, 2, 4, 8, 16, 64, 256)  # steps of how often a context was seen
 GATES = (len(SIGHTS) + 1) * 4
 MAP_STEPS = 33
+STEPS = np.linspace(-12, 12, MAP_STEPS)
 PRIOR = 0.4
+PASSES = 3  # Newton steps, each from every training word
+RIDGE = 2.0  # curvature at the start weights
 FLUSH = 250_000
 START_WEIGHT, START_WORDS = 0.1, 20  # weight of a text's own earlier words, and how many words that stands for
 
@@ -200,15 +202,15 @@ def common(a: bytes, b: bytes) -> int:
 
 
 def _parted(held):
-    """Words with their part and whether they are among those the weights are fitted on."""
+    """Words with their part and whether they are among those the weights are fitted on, the training words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, chosen = held.value
+        cuts = held.value[0]
         for batch in batches:
             words = batch.column("word").to_pylist()
             part = pa.array([bisect_right(cuts, w + b" ") for w in words], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("c"), part, pa.array([w in chosen for w in words], pa.bool_())], names=["word", "c", "part", "chosen"]
+                [batch.column("word"), batch.column("c"), part, pc.greater(batch.column("c"), 0)], names=["word", "c", "part", "chosen"]
             )
 
     return run
@@ -415,6 +417,13 @@ class Mixer:
             z += self.weights[gate, k] * x
         return np.clip(z, -12, 12)
 
+    def unseen(self, bit: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, gate and mixed log odds of bits before their own occurrence is counted."""
+        yes = np.maximum(yes - 1, 0)
+        inputs = _stretch(yes, no, bit)
+        gate = _gate(yes[-2:] + no[-2:])
+        return inputs, gate, self.mixed(inputs, gate)
+
     def refined(self, z: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Mean of the mixed log odds and the map's, interpolated between its steps."""
         at = (z + 12) * ((MAP_STEPS - 1) / 24)
@@ -451,38 +460,58 @@ def learn(counts: np.ndarray, words: list[bytes], weight: np.ndarray, passes: in
 
 
 def fit(first: np.ndarray, chunks, passes: int = 2) -> Mixer:
-    """Learns the gated weights and the map, a few thousand bits at a time, from counts without the occurrence that is
-    predicted. Each gate keeps the curvature it has met, which sizes its steps. ``chunks()`` gives, for runs of bits in
-    no order of their words, node, bit, how often the bit and its opposite were seen, and how many occurrences a
-    bit stands for."""
-    start = np.linspace(-12, 12, MAP_STEPS)
-    weights = np.tile(np.array([0.0, 0.1, 0.2, 0.3, 0.4, 0.0], dtype=np.float32), (GATES, 1))
-    own = Mixer(first, weights, np.tile(start, 256).astype(np.float32))
+    """Learns the gated weights and the map from ``chunks()``: for runs of bits, node, bit, how often the bit and its
+    opposite were seen, and how many occurrences a bit stands for."""
+    own = Mixer(first, start_weights(), np.tile(STEPS, 256).astype(np.float32))
+    for _ in range(passes):
+        own.weights = stepped(own.weights, *slopes(own, chunks))
+    own.refine = refinement(*hits_and_tries(own, chunks))
+    return own
+
+
+def start_weights() -> np.ndarray:
+    return np.tile(np.array([0.0, 0.1, 0.2, 0.3, 0.4, 0.0], dtype=np.float32), (GATES, 1))
+
+
+def slopes(own: Mixer, chunks) -> tuple[np.ndarray, np.ndarray]:
+    """Curvature and slope of each gate's weights, from counts without the occurrence that is predicted."""
     size = PREDICTORS + 1
-    curve = np.tile(np.eye(size) * 2.0, (GATES, 1, 1))
+    curve, slope = np.zeros((GATES, size, size)), np.zeros((GATES, size))
+    for _, bit, yes, no, w in chunks():
+        inputs, gate, z = own.unseen(bit, yes, no)
+        p = 1 / (1 + np.exp(-z))
+        x = np.vstack([inputs, np.ones(len(z), dtype=np.float32)])
+        for g in np.unique(gate):
+            at = np.flatnonzero(gate == g)
+            xg, wg, pg = x[:, at], w[at], p[at]
+            curve[g] += (xg * (wg * pg * (1 - pg))) @ xg.T
+            slope[g] += xg @ (wg * (bit[at] - pg))
+    return curve, slope
+
+
+def stepped(weights: np.ndarray, curve: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The weights after a Newton step, held to the start by RIDGE."""
+    pull = slope - RIDGE * (weights - start_weights())
+    step = np.linalg.solve(curve + np.eye(PREDICTORS + 1) * RIDGE, pull[..., None])[..., 0]
+    return weights + np.clip(step, -0.5, 0.5).astype(np.float32)
+
+
+def hits_and_tries(own: Mixer, chunks) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits at each node and step of the mixed log odds were ones, and how many there were."""
     hits, tries = np.zeros(256 * MAP_STEPS), np.zeros(256 * MAP_STEPS)
-    for turn in range(passes):
-        for node, bit, yes, no, w in chunks():
-            yes = np.maximum(yes - 1, 0)
-            inputs = _stretch(yes, no, bit)
-            gate = _gate(yes[-2:] + no[-2:])
-            z = own.mixed(inputs, gate)
-            p = 1 / (1 + np.exp(-z))
-            if turn == passes - 1:
-                near = np.rint((z + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64) + node.astype(np.int64) * MAP_STEPS
-                hits += np.bincount(near, weights=w * bit, minlength=len(hits))
-                tries += np.bincount(near, weights=w, minlength=len(tries))
-            x = np.vstack([inputs, np.ones(len(z), dtype=np.float32)])
-            for g in np.unique(gate):
-                at = np.flatnonzero(gate == g)
-                xg, wg, pg = x[:, at], w[at], p[at]
-                curve[g] += (xg * (wg * pg * (1 - pg))) @ xg.T
-                step = np.linalg.solve(curve[g], xg @ (wg * (bit[at] - pg)))
-                own.weights[g] += np.clip(step, -0.5, 0.5).astype(np.float32)
-    prior = np.tile(1 / (1 + np.exp(-start)), 256)
+    for node, bit, yes, no, w in chunks():
+        z = own.unseen(bit, yes, no)[2]
+        near = np.rint((z + 12) * ((MAP_STEPS - 1) / 24)).astype(np.int64) + node.astype(np.int64) * MAP_STEPS
+        hits += np.bincount(near, weights=w * bit, minlength=len(hits))
+        tries += np.bincount(near, weights=w, minlength=len(tries))
+    return hits, tries
+
+
+def refinement(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
+    """The map: log odds of a one by node and step."""
+    prior = np.tile(1 / (1 + np.exp(-STEPS)), 256)
     p = (hits + 4 * prior) / (tries + 4)
-    own.refine = np.clip(np.log(p / (1 - p)), -14, 14).astype(np.float32)
-    return own
+    return np.clip(np.log(p / (1 - p)), -14, 14).astype(np.float32)
 
 
 def _sorted(words: pa.Table) -> tuple[list[bytes], np.ndarray, list[bool]]:
@@ -491,24 +520,63 @@ def _sorted(words: pa.Table) -> tuple[list[bytes], np.ndarray, list[bool]]:
     return [own[i] for i in order], np.array([c[i] for i in order], dtype=np.int64), [chosen[i] for i in order]
 
 
-def _evidence(held):
-    """For the chosen words of a part how often their bits and the opposite were seen (32-bit floats, compressed)."""
+def _training_chunks(first: np.ndarray, words: pa.Table, after: pa.Table, mean: float):
+    """Chunks for ``slopes`` and ``hits_and_tries``: the training words of a part, weighted by their occurrences."""
+    own, c, chosen = _sorted(words)
+    made = [i for i, x in enumerate(chosen) if x]
+    known = Evidence(first, own, c, after, made) if made else None
+
+    def chunks():
+        for _, owner, node, bit, yes, no in known.chunks(64_000) if known else ():
+            yield node, bit, yes, no, (known.c / mean)[owner]
+
+    return chunks
+
+
+def _learn_part(held):
+    """Curvature and slope that a part's training words give: ``slot, value`` to be summed over parts."""
 
     def run(words: pa.Table, after: pa.Table) -> pa.Table:
-        own, c, chosen = _sorted(words)
-        made = [i for i, x in enumerate(chosen) if x]
-        seen = []
-        for _, owner, _, _, yes, no in Evidence(held.value, own, c, after, made).chunks() if made else ():
-            ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1
-            first = 0
-            for end in ends.tolist():
-                seen.append(zlib.compress(np.stack([yes[:, first:end], no[:, first:end]]).tobytes(), 1))
-                first = end
-        return pa.table({"word": pa.array([own[i] for i in made], pa.binary()), "c": pa.array(c[made]), "seen": pa.array(seen, pa.binary())})
+        own, mean = held.value
+        values = np.concatenate([x.ravel() for x in slopes(own, _training_chunks(own.first, words, after, mean))])
+        return pa.table({"slot": pa.array(np.arange(len(values))), "value": pa.array(values)})
 
     return run
 
 
+def _map_part(held):
+    """The places of the map that a part's training words meet: ``slot, hits, tries`` to be summed over parts."""
+
+    def run(words: pa.Table, after: pa.Table) -> pa.Table:
+        own, mean = held.value
+        hits, tries = hits_and_tries(own, _training_chunks(own.first, words, after, mean))
+        met = np.flatnonzero(tries)
+        return pa.table({"slot": pa.array(met), "hits": pa.array(hits[met]), "tries": pa.array(tries[met])})
+
+    return run
+
+
+def fit_parts(spark: SparkSession, parts, first: np.ndarray, mean: float, passes: int = PASSES) -> Mixer:
+    """Weights and map learned from every training word, part by part. What reaches the driver has a fixed size."""
+    own = Mixer(first, start_weights(), np.tile(STEPS, 256).astype(np.float32))
+    size = PREDICTORS + 1
+    for _ in range(passes):
+        sums = np.zeros(GATES * size * (size + 1))
+        made = parts.applyInArrow(_learn_part(spark.sparkContext.broadcast((own, mean))), "slot long, value double")
+        for r in made.groupBy("slot").agg(F.sum("value").alias("value")).collect():
+            sums[r["slot"]] = r["value"]
+        curve, slope = np.split(sums, [GATES * size * size])
+        weights = stepped(own.weights, curve.reshape(GATES, size, size), slope.reshape(GATES, size))
+        own = Mixer(first, weights, own.refine)
+    hits, tries = np.zeros((2, 256 * MAP_STEPS))
+    held = spark.sparkContext.broadcast((own, mean))
+    met = parts.applyInArrow(_map_part(held), "slot long, hits double, tries double")
+    for r in met.groupBy("slot").agg(F.sum("hits").alias("hits"), F.sum("tries").alias("tries")).collect():
+        hits[r["slot"]], tries[r["slot"]] = r["hits"], r["tries"]
+    own.refine = refinement(hits, tries)
+    return own
+
+
 def _score_part(held):
     def run(words: pa.Table, after: pa.Table) -> pa.Table:
         own, c, _ = _sorted(words)
@@ -518,30 +586,16 @@ def _score_part(held):
     return run
 
 
-def _drawn(samples: DataFrame, hot: set[bytes], missing: float, mean: float):
-    """Chunks for ``fit``, a stored partition at a time on the driver."""
-
-    def joined(rows: list) -> tuple:
-        words = [bytes(r["word"]) for r in rows]
-        laid = Laid(words)
-        node, bit = laid.decisions(slice(None))
-        seen = [np.frombuffer(zlib.decompress(r["seen"]), dtype=np.float32).reshape(2, PREDICTORS, -1) for r in rows]
-        yes, no = np.concatenate(seen, axis=2)
-        w = np.array([r["c"] * (1.0 if word in hot else missing) for r, word in zip(rows, words)]) / mean
-        return node.ravel(), bit.ravel(), yes, no, np.repeat(w[laid.owner], 8)
-
-    def chunks():
-        rows, size = [], 0
-        for row in samples.toLocalIterator():
-            rows.append(row)
-            size += len(row["word"]) + 1
-            if size >= 8_000:
-                yield joined(rows)
-                rows, size = [], 0
-        if rows:
-            yield joined(rows)
-
-    return chunks
+def frequent_words(counts: DataFrame, most: int) -> DataFrame:
+    """``word`` of about the ``most`` most frequent words, of equally frequent ones by hash. Counts of counts reach the
+    driver, not words."""
+    left = most
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        if r["words"] > left:
+            drawn = (F.col("n") == r["n"]) & (F.pmod(F.xxhash64("word", F.lit(3)), F.lit(1 << 20)) < (left << 20) // r["words"])
+            return counts.where((F.col("n") > r["n"]) | drawn).select("word")
+        left -= r["words"]
+    return counts.select("word")
 
 
 def recent(ids: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -629,36 +683,24 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     rows = documents(docs).withColumn("held_out", held_out)
     counts = word_counts(rows)
     n, v, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(HOT).collect()
-    hot = [bytes(r["word"]) for r in top]
-    hot_c = np.array([r["c"] for r in top], dtype=np.float64)
-    del top
-    taken = set(hot)
-    more = counts.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()
-    more = {bytes(r["word"]): r["c"] for r in more if bytes(r["word"]) not in taken}
-    missing = max(n - hot_c.sum(), 0) / max(sum(more.values()), 1)
-    chosen = {w for w, c in zip(hot, hot_c) if c > 0} | set(more)
-    mean = (hot_c.sum() + missing * sum(more.values())) / max(len(chosen), 1)
 
     contexts = byte_contexts(counts)
     first = first_order(contexts)
-    held = spark.sparkContext.broadcast((cut_points(counts, distinct), chosen))  # HOT and SAMPLE words, a cut a part
+    held = spark.sparkContext.broadcast((cut_points(counts, distinct),))  # a cut a part
     parted = materialize(counts.select("word", "c").mapInArrow(_parted(held), "word binary, c long, part long, chosen boolean"), "parted")
     after = answers(parted, contexts, held)
     parts = parted.groupBy("part").cogroup(after.groupBy("part"))
-    samples = parts.applyInArrow(_evidence(spark.sparkContext.broadcast(first)), "word binary, c long, seen binary")
-    order = F.xxhash64("word", F.lit(2))
-    mixer = fit(first, _drawn(materialize(samples.repartition(32, order).sortWithinPartitions(order), "samples"), taken, missing, mean))
+    mixer = fit_parts(spark, parts, first, n / max(v, 1))
     model = spark.sparkContext.broadcast(mixer)  # counts after one byte, weights and map
     scored = materialize(parts.applyInArrow(_score_part(model), "word binary, c long, s double"), "scored")
 
-    place = {w: i for i, w in enumerate(hot)}
+    listed = F.broadcast(frequent_words(counts, HOT))
+    hot = scored.join(listed, "word", "left_semi").toArrow()  # HOT words
+    hot_c = hot.column("c").to_numpy().astype(np.float64)
+    place = {w: i for i, w in enumerate(hot.column("word").to_pylist())}
     base = np.log10((hot_c + 1) / (n + v + 1))
-    listed = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in hot], "word binary"))
-    hot_s = np.zeros(len(hot))
-    for r in scored.join(listed, "word", "left_semi").select("word", "s").collect():  # HOT words
-        hot_s[place[bytes(r["word"])]] = r["s"]
-    frequent = spark.sparkContext.broadcast((place, hot_c > 0, base, hot_s, 1 / (n + v + 1)))  # HOT words
+    frequent = spark.sparkContext.broadcast((place, hot_c > 0, base, hot.column("s").to_numpy(), 1 / (n + v + 1)))
+    del hot, place
     sums = materialize(rows.mapInArrow(_score_docs(frequent), _DOCS), "sums")
     scored = scored.join(listed, "word", "left_anti")
     times = F.col("times")

@@ -181,6 +181,45 @@ def test_contexts_are_whole(spark, monkeypatch):
     assert checked == len(known)
 
 
+def test_every_training_word_is_fitted(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART", 60)
+    monkeypatch.setattr(mixing, "DRAWN", 12)
+    rng = np.random.default_rng(11)
+    known = {bytes(rng.choice(list(b"abcd"), rng.integers(0, 8)).tolist()): int(rng.integers(0, 4)) for _ in range(1200)}
+    counts = spark.createDataFrame([(bytearray(w), c) for w, c in known.items()], "word binary, c long")
+    contexts = mixing.byte_contexts(counts)
+    first, cuts = mixing.first_order(contexts), mixing.cut_points(counts, len(known))
+    held = spark.sparkContext.broadcast((cuts,))
+    parted = counts.mapInArrow(mixing._parted(held), "word binary, c long, part long, chosen boolean").cache()
+    after = mixing.answers(parted, contexts, held)
+    parts = parted.groupBy("part").cogroup(after.groupBy("part"))
+    mixer = mixing.fit_parts(spark, parts, first, 2.0)
+    hits = parts.applyInArrow(mixing._map_part(spark.sparkContext.broadcast((mixer, 2.0))), "slot long, hits double, tries double")
+    assert hits.agg(F.sum("tries")).first()[0] * 2 == sum(8 * c * (len(w) + 1) for w, c in known.items())
+
+    # the weights lose less than the start's
+    tables = {r.part: [] for r in parted.select("part").distinct().collect()}
+    assert len(cuts) > 5 and len(tables) > 5
+    whole, cut = parted.toArrow(), after.toArrow()
+    loss = dict.fromkeys(("start", "fitted"), 0.0)
+    for part in tables:
+        words, mine = (t.filter(np.array(t.column("part").to_pylist()) == part) for t in (whole, cut))
+        chunks = mixing._training_chunks(first, words, mine, 2.0)
+        for name, weights in (("start", mixing.start_weights()), ("fitted", mixer.weights)):
+            for _, bit, yes, no, w in chunks():
+                z = mixing.Mixer(first, weights, mixer.refine).unseen(bit, yes, no)[2]
+                loss[name] += float(w @ np.logaddexp(0, np.where(bit == 1, -z, z)))
+    assert loss["fitted"] < 0.99 * loss["start"]
+    parted.unpersist()
+
+
+def test_frequent_words(spark):
+    counts = spark.range(3000).selectExpr("encode(cast(id as string), 'utf-8') as word", "if(id < 40, 50 + id, if(id < 2500, 3, 1)) as n")
+    got = [int(r.word) for r in mixing.frequent_words(counts, 600).collect()]
+    assert set(range(40)) < set(got) and 450 < len(got) < 750 and max(got) < 2500
+    assert mixing.frequent_words(counts, 3000).count() == 3000 and mixing.frequent_words(counts.limit(0), 5).count() == 0
+
+
 def test_recent_words():
     ids = np.random.default_rng(3).integers(0, 40, 900)
     prob = np.full(len(ids), 1 / 40)
