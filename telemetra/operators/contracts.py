@@ -3,77 +3,76 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.functions.jsontools import canonical_hash, shape_hash
-from telemetra.functions.urls import let, normalise_path
+from telemetra.functions.jsontools import digest, shape_hash
+from telemetra.functions.urls import normalise_path
 
 # Operations of a path, order of preferred response codes, preferred media type.
 METHODS = ["get", "post", "put", "patch", "delete", "head", "options"]
 CODES = ["200", "201", "202", "default"]
 MEDIA = "application/json"
 
-_TEXTS = "map<string,string>"
+_OPERATIONS = "array<struct<path:string,pos:int,method:string,schema:string,schema_hash:string>>"
 
 
-def _is_object(text: Column) -> Column:
-    return F.coalesce(F.startswith(F.ltrim(text), F.lit("{")), F.lit(False))
+def _object(value) -> dict:
+    return value if isinstance(value, dict) else {}
 
 
-def _field(text: Column, name: str) -> Column:
-    """An object field as a map of JSON texts, or null."""
-    inner = F.from_json(text, f"{name} string")[name]
-    return let(inner, lambda t: F.when(_is_object(t), F.from_json(t, _TEXTS)))
+def response_schema(operation: dict) -> dict:
+    """Response schema of an operation: the preferred codes first, then the others as they stand. A response counts by
+    its JSON media, else by its first object media; empty if none promises anything."""
+    responses = _object(operation.get("responses"))
+    for code in [*(c for c in CODES if c in responses), *(c for c in responses if c not in CODES)]:
+        content = _object(_object(responses[code]).get("content"))
+        media = content.get(MEDIA)
+        if not isinstance(media, dict):
+            media = next((m for m in content.values() if isinstance(m, dict)), {})
+        if isinstance(media.get("schema"), dict):
+            return media["schema"]
+    return {}
 
 
-def _schema_of(response: Column) -> Column:
-    """Schema text of one response: its JSON media, else its first object media."""
+_plain = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
-    def of_media(media: Column) -> Column:
-        return let(F.from_json(media, "schema string")["schema"], lambda t: F.when(_is_object(t), t))
 
-    def of_content(content: Column) -> Column:
-        named = F.try_element_at(content, F.lit(MEDIA))
-        first = F.get(F.filter(F.map_values(content), _is_object), F.lit(0))
-        return of_media(F.when(_is_object(named), named).otherwise(first))
+@lru_cache(maxsize=4096)  # texts of schemas; a worker keeps that many
+def _hash(schema: str) -> str:
+    return digest(json.loads(schema))
 
-    return F.when(_is_object(response), let(_field(response, "content"), of_content))
 
-
-def response_schema(operation: Column) -> Column:
-    """JSON text of the response schema: the preferred codes first, then the others as they stand."""
-
-    def first_schema(entries: Column) -> Column:
-        def with_code(code: str) -> Column:
-            return F.filter(entries, lambda e: e["key"] == code)
-
-        ordered = F.concat(*map(with_code, CODES), F.filter(entries, lambda e: ~e["key"].isin(CODES)))
-        found = F.filter(F.transform(ordered, lambda e: _schema_of(e["value"])), lambda s: s.isNotNull())
-        return F.get(found, F.lit(0))
-
-    return let(F.map_entries(_field(operation, "responses")), first_schema)
+def _operations(paths: str | None) -> list[tuple]:
+    """(path, pos, METHOD, schema, schema_hash) of the operations below the paths of one document."""
+    out = []
+    try:
+        for path, item in _object(json.loads(paths or "null")).items():
+            for pos, (verb, operation) in enumerate(_object(item).items()):
+                if verb.lower() in METHODS:
+                    # an empty schema object promises nothing
+                    schema = response_schema(_object(operation))
+                    text = _plain(schema) if schema else None
+                    out.append((path, pos, verb.upper(), text, text and _hash(text)))
+    except (ValueError, RecursionError):
+        return []
+    return out
 
 
 def spec_operations(specs: DataFrame) -> DataFrame:
-    """One row per (spec, path, METHOD) with the response schema text and its hash (null when there is none)."""
-    paths = specs.select(
-        F.col("id").alias("spec_id"),
-        "org_id",
-        "api_id",
-        F.explode(_field(F.col("raw_spec"), "paths")).alias("path", "item"),
-    ).filter(_is_object(F.col("item")))
-    methods = paths.select(
-        "spec_id", "org_id", "api_id", "path", F.posexplode(F.from_json("item", _TEXTS)).alias("pos", "verb", "operation")
-    ).filter(F.lower("verb").isin(METHODS))
-    found = F.when(_is_object(F.col("operation")), response_schema(F.col("operation")))
-    # an empty schema object promises nothing
-    schema = let(found, lambda t: F.when(~t.rlike("^\\s*\\{\\s*\\}\\s*$"), t))
-    ops = methods.select(
-        "spec_id", "org_id", "api_id", "path", "pos", F.upper("verb").alias("method"), schema.alias("schema")
-    )
-    return ops.withColumn("schema_hash", canonical_hash("schema"))
+    """One row per (spec, path, METHOD) with the response schema text and its hash (null when there is none).
+
+    A document is read twice: its paths are cut out, and one pass over them finds all operations.
+    """
+    paths = F.from_json("raw_spec", "paths string")["paths"]
+    # once a document: Spark neither repeats nor moves what it takes for not deterministic. Documents may be large, so
+    # they reach Python a hundred at a time (a plain function's batch)
+    found = F.udf(_operations, _OPERATIONS, useArrow=False).asNondeterministic()
+    rows = specs.select(F.col("id").alias("spec_id"), "org_id", "api_id", found(paths).alias("operations"))
+    return rows.select("spec_id", "org_id", "api_id", F.inline("operations"))
 
 
 def new_endpoints(ops: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -82,6 +82,20 @@ def test_spec_operations(spark):
     assert contracts.spec_operations(spec(spark, {"paths": 3})).count() == 0
 
 
+def test_spec_is_read_once_for_all_operations(spark, capsys):
+    # each level of a document used to be a parse of its own, several for every operation
+    schema = {"type": "array", "items": {"enum": [1, 1.5, "é"]}}
+    media = {"text/plain": 3, "application/xml": {"schema": schema}, "a/b": {"schema": {"type": "null"}}}
+    doc = {"paths": {"/a": {"parameters": [], "Get": {"responses": {"200": "x", "404": {"content": media}}}}, "/b": {"put": {"responses": {"200": {"content": {"x/y": {"schema": {}}}}}}}}}
+    rows = spec(spark, doc).unionByName(spark.createDataFrame([("n", "o", "a", None), ("t", "o", "a", '{"paths": {"/a"')], "id string, org_id string, api_id string, raw_spec string"))
+    ops = contracts.spec_operations(rows)
+    ops.explain()
+    assert capsys.readouterr().out.count("from_json(") == 1
+    want = hashlib.sha256(json.dumps(schema, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    got = [(r["spec_id"], r["path"], r["pos"], r["method"], r["schema_hash"]) for r in ops.collect()]
+    assert sorted(got) == [("s", "/a", 1, "GET", want), ("s", "/b", 0, "PUT", None)]
+
+
 def test_quota(spark):
     orgs = spark.createDataFrame([("1", "free"), ("2", "PRO"), ("3", "business"), ("4", None), ("5", "odd")], "id string, plan string")
     apis = spark.createDataFrame([(f"a{i}", o) for i, o in enumerate("12345")], "id string, org_id string")
