@@ -131,14 +131,26 @@ def decode_items(envelope: DataFrame) -> DataFrame:
     )
 
 
-def decode_messages(envelope: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid events, invalid payloads with reason). Extra fields are ignored, types must fit."""
+def checked_messages(envelope: DataFrame) -> DataFrame:
+    """The items of messages with the first rule each breaks in ``reason``; only bad ones keep their ``payload``.
+    Extra fields are ignored, types must fit."""
     items = decode_items(envelope)
     event = F.when(F.col("error").isNull(), F.from_json("item", LENIENT_EVENT))
     parsed = items.select("topic", "partition", "offset", "pos", F.col("item").alias("payload"), "error", event.alias("event"))
     checked = validate_lenient(parsed.select(*parsed.columns[:-1], "event.*"))
-    ok, bad = split_valid(checked.withColumn("reason", F.coalesce("error", "reason")))
-    return ok.drop("payload", "error"), bad.select("topic", "partition", "offset", "pos", "payload", "reason")
+    checked = checked.withColumn("reason", F.coalesce("error", "reason")).drop("error")
+    return checked.withColumn("payload", F.when(F.col("reason").isNotNull(), F.col("payload")))
+
+
+def split_messages(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid events, invalid payloads with reason)."""
+    ok, bad = split_valid(checked)
+    return ok.drop("payload"), bad.select("topic", "partition", "offset", "pos", "payload", "reason")
+
+
+def decode_messages(envelope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid events, invalid payloads with reason), each from a decoding of its own."""
+    return split_messages(checked_messages(envelope))
 
 
 def lag_by_partition(consumed: DataFrame, log_ends: DataFrame) -> DataFrame:

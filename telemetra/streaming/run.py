@@ -244,17 +244,21 @@ def start_ingest(
         spark = batch.sparkSession
 
         def work() -> None:
-            ok, bad = envelope.decode_messages(batch)
+            came = Observation(f"came-{batch_id}")
+            counted = batch.observe(came, F.count(F.lit(1)).alias("received"))
+            # decoded once, read by the valid and the invalid branch
+            checked = materialize(envelope.checked_messages(counted), "decoded", decoded)
+            ok, bad = envelope.split_messages(checked)
             ok, bad = ok.withColumn("seq", envelope.arrival(batch_id)), bad.withColumn("arrival", envelope.arrival(batch_id))
             seen = Observation(f"invalid-{batch_id}")
             corrupt = F.count_if(F.col("original_payload").isNull())
             dead = deadletters.dlq_invalid(bad).observe(seen, F.count(F.lit(1)).alias("invalid"), corrupt.alias("corrupt"))
             write_batch(dead, store.at("dlq"), batch_id)
-            counters = store_events(validation.to_telemetry(ok), store, batch_id, late_after) | seen.get
-            counters |= {"received": batch.count(), "decoded": counters["stored"] + counters["invalid"] - counters["corrupt"]}
+            counters = store_events(validation.to_telemetry(ok), store, batch_id, late_after) | seen.get | came.get
+            counters |= {"decoded": counters["stored"] + counters["invalid"] - counters["corrupt"]}
             write_counters(spark, store, "ingest", batch_id, counters)
 
-        batch.persist()  # read by the valid and the invalid branch
+        decoded = store.at(f"decoded/batch={batch_id}")
         try:
             attempt(work)
         except Exception as exc:
@@ -264,7 +268,7 @@ def start_ingest(
             came = batch.count()
             write_counters(batch.sparkSession, store, "ingest", batch_id, {"received": came, "failed": came})
         finally:
-            batch.unpersist()
+            remove(spark, decoded)
 
     writer = messages.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "2 seconds"})).start()

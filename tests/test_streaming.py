@@ -252,3 +252,21 @@ def test_two_partitions_have_one_order(spark, sf, tmp_path):
         own = ticks.pop(tuple(r[k] for k in (*ENDPOINT_KEY, "minute")))
         assert all(own[c] == pytest.approx(r[c], abs=1e-9) for c in BASE)
     assert not ticks
+
+
+def test_a_batch_is_decoded_once(spark, sf, tmp_path, monkeypatch):
+    log, whole = str(tmp_path / "log"), envelope._decompress
+
+    def logged(value, coding):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return whole(value, coding)
+
+    monkeypatch.setattr(envelope, "_decompress", logged)
+    source, store = str(tmp_path / "in"), run.Store(str(tmp_path / "store"))
+    m = messages(spark, sf)
+    m.write.parquet(source)
+    ingest(spark, source, store)
+    with open(log) as f:
+        assert len(f.readlines()) == m.count()
+    assert not any((tmp_path / "store" / "decoded").glob("*"))
