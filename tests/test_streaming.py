@@ -270,3 +270,14 @@ def test_a_batch_is_decoded_once(spark, sf, tmp_path, monkeypatch):
     with open(log) as f:
         assert len(f.readlines()) == m.count()
     assert not any((tmp_path / "store" / "decoded").glob("*"))
+
+
+def test_stored_events_are_cut_to_size(spark, sf, tmp_path):
+    """However few tasks bring the events of a batch, more write them (and sort them by folder)."""
+    store, name = run.Store(str(tmp_path / "store")), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        run.store_events(carrier.telemetry(spark, sf).drop("props").coalesce(1), store, 0, late_after=None)
+    finally:
+        spark.conf.set(name, "true")
+    assert len(list((tmp_path / "store" / "telemetry").glob("date=*/hour=00/batch=0/*.parquet"))) > 1
