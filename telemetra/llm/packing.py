@@ -15,13 +15,13 @@ is sorted globally, and the ids themselves are stored once and never shuffled by
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +33,11 @@ LENGTH = 2048
 GRAIN = 8
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 200_000  # text parts whose ids a worker keeps, new ones; as many older ones stay
+CACHE = 400_000  # text parts whose ids a worker keeps, new ones; as many older ones stay
 
 STOPS = ".,;:!?"
-#: byte-level models write a byte that is no printable Latin-1 character as the next free one above 255
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+JOINED = 40  # parts that are encoded as one text
+BEGINS = "\u0120\u010a"  # how byte-level models write a space and a line feed
 
 PIECES = (
     "part int, cls int, local long, doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
@@ -51,7 +50,7 @@ def pack_ids(ids: list[int]) -> bytes:
 
 class Encoder:
     """Ids of whole texts. Byte-level BPE never merges across a space that follows a non-space, so the parts
-    between single spaces are encoded apart and remembered. Texts with other white space, where
+    between single spaces are encoded once, many in one text, and remembered. Texts with other white space, where
     that does not hold, and texts that hold one of the tokenizer's added tokens are encoded whole."""
 
     def __init__(self, path: str | None):
@@ -60,78 +59,83 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.joined = 1 if any(c in token for token in self.added for c in " \n") else JOINED
         self.forget()
-        self.model = self.tokenizer.model
         alone = lambda text: pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         self.stops, self.feed = {c: alone(c) for c in STOPS}, alone("\n")
+        # ids of pieces that begin with a space or a line feed, as the pieces of a part do not but for the first
+        self.begins = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[0] in BEGINS]] = True
 
     def forget(self) -> None:
-        # parts by whether a space goes before them; of each kind the newer ones and the ones before
-        self.known: list[tuple[dict, dict]] = [({}, {}), ({}, {})]
+        self.known: tuple[dict, dict] = ({}, {})  # parts with their ids: the newer ones and the ones before
 
-    def prepare(self, kind: int, parts: set[str]) -> dict[str, bytes]:
-        """A dictionary that has the ids of all ``parts``."""
-        new, old = self.known[kind]
+    def prepare(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts. A space goes before a part, but not after the line feed that it may begin with."""
+        new, old = self.known
         if len(new) > CACHE:
             new, old = {}, new
-            self.known[kind] = new, old
+            self.known = new, old
+        found = list(map(new.get, parts))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         fresh, ended = {}, []
-        for p in parts:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                elif len(p) > 1 and p[-1] in STOPS and p[-2].isalpha():
-                    # a stop after a letter is a piece of its own
-                    ended.append(p)
-                    word = p[:-1]
-                    if word not in new:
-                        if word in old:
-                            new[word] = old[word]
-                        else:
-                            fresh[word] = None
-                else:
-                    fresh[p] = None
-        lead = " " if kind else ""
-        for part in fresh:
-            if part.isalpha():  # one piece: the byte-pair model alone
-                spelled = (lead + part).encode().decode("latin-1").translate(BYTES)
-                new[part] = pack_ids([t.id for t in self.model.tokenize(spelled)])
-        words = [p for p in fresh if p not in new]
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)):
-                new[part] = pack_ids(e.ids)
+        for i in missing:
+            p = parts[i]
+            ids = old.get(p)
+            if ids is None and len(p) > 1 and p[-1] in STOPS and p[-2].isalpha():
+                ended.append(p)  # a stop after a letter is a piece of its own
+                p = p[:-1]
+                ids = new.get(p) or old.get(p)
+            if ids is None:
+                fresh[p] = None
+            else:
+                new[p] = ids
+        if "\n" in fresh:
+            new["\n"] = self.feed
+            del fresh["\n"]
+        words = list(fresh)
+        for at in range(0, len(words), 8000):
+            some = words[at : at + 8000]
+            texts = [f" {' '.join(some[k : k + self.joined])}".replace(" \n", "\n") for k in range(0, len(some), self.joined)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype="<u4")
+            first, data = 4 * np.flatnonzero(self.begins[ids]), ids.tobytes()
+            for p, start, stop in zip(some, first.tolist(), [*first[1:].tolist(), len(data)], strict=True):
+                new[p] = data[start:stop]
         for p in ended:
             new[p] = new[p[:-1]] + self.stops[p[-1]]
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # a single line feed between other characters is a piece of its own, and no space goes before the next part
-        split = [[x.split(" ") for x in t.split("\n")] if self.simple(t) else None for t in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for lines in split:
-            for s in lines or ():
-                heads.add(s[0])
-                tails.update(s[1:])
-        first, rest = self.prepare(0, heads), self.prepare(1, tails)
-        out = []
-        for lines, t in zip(split, texts):
-            if lines:
-                out.append(self.feed.join([first[s[0]] + b"".join([rest[p] for p in s[1:]]) for s in lines]))
-            else:
-                out.append(pack_ids(self.tokenizer.encode(t, add_special_tokens=False).ids))
-        return out
-
-    def simple(self, text: str) -> bool:
-        """White space is single spaces and line feeds between other characters, and no added token is held."""
-        return not (self.added and self.added.search(text)) and not UNUSUAL.search(text) and not text.endswith(("\n", " ")) and not text.startswith("\n")
-
-
-#: two of space and line feed together; other white space and controls by code point
-UNUSUAL = re.compile(r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f\u3000\ufeff]")
+        for i in missing:
+            found[i] = new[parts[i]]
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        simple = self.simple(texts)
+        # a single line feed between other characters is a piece of its own, and no space goes before the next part;
+        # one is put before each text, so that the first part is like others, and its id is taken off
+        lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts.filter(simple), "\n", " \n"), "")
+        split = pc.split_pattern(lines, " ")
+        parts = split.flatten().dictionary_encode()
+        known = np.array(self.prepare(parts.dictionary.to_numpy(zero_copy_only=False).tolist()), dtype=object)
+        ids, ends = known[parts.indices.to_numpy()].tolist(), split.offsets.to_numpy().tolist()
+        made = (b"".join(ids[a:b])[len(self.feed) :] for a, b in zip(ends, ends[1:]))
+        return [
+            next(made) if whole else pack_ids(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+            for i, whole in enumerate(simple.to_pylist())
+        ]
+
+    def simple(self, texts: pa.Array) -> pa.Array:
+        """Where white space is single spaces and line feeds between other characters, and no added token is held."""
+        unusual = pc.match_substring_regex(texts, UNUSUAL)
+        for token in self.added:
+            unusual = pc.or_(unusual, pc.match_substring(texts, token))
+        return pc.invert(unusual)
+
+
+#: two of space and line feed together, or one where a text may not begin or end; other white space and controls by code point
+UNUSUAL = (
+    r"[ \n][ \n]|\A\n|[ \n]\z|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]"
+)
 _encoders: dict[str | None, Encoder] = {}
 
 
@@ -143,19 +147,15 @@ def _forget() -> None:
 worker_cache(_forget)
 
 
-def _batches(batch: pa.RecordBatch, chars: int = 2_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Slices of a batch of about so many characters; a longer text is a slice of its own."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-        text = text.as_py()
-        if ids and size + len(text) > chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(doc_id)
-        texts.append(text)
-        size += len(text)
-    if ids:
-        yield ids, texts
+def _batches(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[list, pa.Array]]:
+    """Slices of a batch of about so many bytes of text; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right"))
+        stop = max(stop, start + 1)
+        yield batch.column(0).slice(start, stop - start).to_pylist(), batch.column(1).slice(start, stop - start)
+        start = stop
 
 
 def _pieces(path: str | None, length: int, grain: int):

@@ -87,6 +87,38 @@ def test_packing_added_tokens():
     assert packing.Encoder(path).encode(texts) == want and packing.pack_ids([64, 220, 50256, 275]) == want[0]
 
 
+def test_packing_encodes_new_parts_together(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 300)
+    rng = np.random.default_rng(8)
+    some = [*"a.,!\n\n    \u00e9\u6f22_9\t\u200b'", "The", "one", "it's", "\u00c9t\u00e9,", "x1", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choice(some, rng.integers(0, 14))) for _ in range(3000)]
+    texts += [" ".join(f"{c}{n}{'.,'[n % 2] * (n % 3)}{c}" for n in range(9) for c in "bcdefgh").replace("b c", f"b\n{k}c") for k in range(20)]
+
+    class Seen:
+        def __init__(self, own):
+            self.own, self.sent = own, []
+
+        def encode(self, text, **how):
+            self.sent.append(text)
+            return self.own.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.sent += texts
+            return self.own.encode_batch_fast(texts, **how)
+
+    e = packing.Encoder(None)
+    want = [packing.pack_ids(x.ids) for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids for at in range(0, len(texts), 500) for ids in e.encode(texts[at : at + 500])] == want
+
+    e = packing.Encoder(None)
+    e.tokenizer = Seen(e.tokenizer)
+    words = [f"w{'abcdefghij'[i // 100]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i % 10]}" for i in range(1000)]
+    for _ in range(3):
+        e.encode([" ".join(words[at : at + 100]) for at in range(0, 1000, 100)])
+    assert sum(len(x.split()) for x in e.tokenizer.sent) == 1000  # each once
+    assert len(e.tokenizer.sent) == 1000 // packing.JOINED  # and no word on its own
+
+
 def test_knapsack_and_program():
     rng = np.random.default_rng(3)
     sizes, prices = np.array([3, 5, 7]), rng.random(3)
