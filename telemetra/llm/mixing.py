@@ -12,7 +12,8 @@ cut into parts of about equal size. The words that share a beginning are neighbo
 itself, but for those that reach over a cut; these, and the contexts of the last two to four bytes, are a table that
 each part is joined to. Only the contexts of one byte, 65,536 slots, are broadcast.
 
-The bits' contexts do not reach across words, so every distinct word is scored once, whatever the size of the corpus.
+The bits' contexts do not reach across words, so every distinct word is scored once, whatever the size of the corpus,
+and a beginning that neighbours share once for all of them, with the occurrences of them all.
 A last predictor is the text itself: the share a word has among the words before it joins the model's probability
 with a weight that adapts as the text goes on. The counts behind all this come from every training document. Frequent words go to
 the documents by a broadcast of fixed size, all others by a join.
@@ -49,6 +50,7 @@ PRIOR = 0.4
 PASSES = 3  # Newton steps, each from every training word
 RIDGE = 2.0  # curvature at the start weights
 FLUSH = 250_000
+SLICE = 2_000_000  # bytes of text whose words are laid out at once
 START_WEIGHT, START_WORDS = 0.1, 20  # weight of a text's own earlier words, and how many words that stands for
 
 _BITS = np.arange(8, dtype=np.uint8)
@@ -75,7 +77,7 @@ class Laid:
         """The number of the context of so many bytes, and the byte that follows: order, context and byte."""
         return order << 40 | (self.before & ((1 << 8 * order) - 1)) << 8 | self.data
 
-    def decisions(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For some bytes the nodes (the byte's bits so far) and bits, eight a byte."""
         data = self.data[at]
         bit = (data[:, None] >> (7 - _BITS)) & 1
@@ -93,26 +95,46 @@ def word_slices(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts and an end, the empty word, after each: for every word the number of its text and its code, and
+    the distinct words (bytes) by code, the end last."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = split.flatten(), np.diff(split.offsets.to_numpy())
+    some = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty ones
+    text = np.repeat(np.arange(len(texts)), sizes)[some.to_numpy(zero_copy_only=False)]
+    coded = words.filter(some).dictionary_encode()
+    distinct = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([b""], pa.binary())])
+    ends = np.cumsum(np.bincount(text, minlength=len(texts)))
+    code = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(distinct) - 1)
+    return np.insert(text, ends, np.arange(len(texts))), code, distinct
+
+
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about SLICE bytes of text; a longer text is a slice of its own."""
+    lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, stop in word_slices(lengths, SLICE):
+        yield batch.slice(start, stop - start)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task's documents, of all and of the training ones; the end is the empty word."""
-    learned, other = Counter(), Counter()
+    made: list[pa.Table] = []
 
     def flush():
-        for counts, used in ((learned, True), (other, False)):
-            n = pa.array(list(counts.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), n if used else pa.array([0] * len(counts), pa.int64()), n], names=["word", "c", "n"]
-            )
-            counts.clear()
+        table = pa.concat_tables(made).group_by("word", use_threads=False).aggregate([("c", "sum"), ("n", "sum")])
+        made.clear()
+        yield from table.select(["word", "c_sum", "n_sum"]).rename_columns(["word", "c", "n"]).to_batches(max_chunksize=FLUSH)
 
     for batch in batches:
-        for text, held in zip(batch.column("text"), batch.column("held_out").to_pylist()):
-            counts = other if held else learned
-            counts.update(text.as_py().encode().lower().split())
-            counts[b""] += 1
-            if len(learned) + len(other) > FLUSH:
+        for some in text_slices(batch):
+            text, code, distinct = split_texts(some.column("text"))
+            learned = ~some.column("held_out").fill_null(False).to_numpy(zero_copy_only=False)[text]
+            c, n = (np.bincount(x, minlength=len(distinct)) for x in (code[learned], code))
+            made.append(pa.table({"word": distinct, "c": pa.array(c, pa.int64()), "n": pa.array(n, pa.int64())}))
+            if sum(t.num_rows for t in made) > 4 * FLUSH:
                 yield from flush()
-    yield from flush()
+    if made:
+        yield from flush()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -320,6 +342,7 @@ class Evidence:
         if only is not None:
             self.laid = Laid([words[i] for i in only])
             self.c, self.depth, self.offset = self.c[only], self.depth[only], self.offset[only]
+        self._share()
         self._follow()
 
     def _begin(self, over: dict[bytes, np.ndarray]) -> None:
@@ -356,11 +379,27 @@ class Evidence:
                 low = byte >> (8 - k) << (8 - k)
                 self.sums[self.offset[at] + 8 * len(prefix) + k] = (sums[low + (1 << (8 - k))] - sums[low]).astype(np.int64)
 
+    def _share(self) -> None:
+        """Words that share a beginning have the same evidence there: ``shared`` are the bytes that end the distinct
+        beginnings, each in the first word that has it, and ``edge`` has for each byte of all words the number of its own."""
+        laid = self.laid
+        alike = shared_bits(laid)[:-1] // 8 if len(laid.lengths) else np.zeros(0, dtype=np.int64)
+        again = laid.place < alike[laid.owner]
+        source = np.arange(len(laid.data))
+        source[again] -= laid.lengths[laid.owner[again] - 1]  # the same place of the word before
+        while True:
+            further = source[source]
+            if np.array_equal(further, source):
+                break
+            source = further
+        self.shared = np.flatnonzero(~again)
+        self.edge = (np.cumsum(~again) - 1)[source]
+
     def _follow(self) -> None:
         """For each order the distinct contexts with their byte, and how often its first 0, 1 ... 8 bits followed."""
         self.follow = []
         for order in ORDERS:
-            keys, place = np.unique(self.laid.bytes_after(order), return_inverse=True)
+            keys, place = np.unique(self.laid.bytes_after(order)[self.shared], return_inverse=True)
             sums = np.empty((len(keys), 9), dtype=np.int64)
             for k in range(9):
                 low = keys >> (8 - k) << (8 - k)
@@ -372,21 +411,31 @@ class Evidence:
         predictor how often the bit and its opposite were seen."""
         laid = self.laid
         for start, stop in word_slices(laid.lengths, chunk // 8):
-            at = slice(laid.starts[start], laid.starts[stop - 1] + laid.lengths[stop - 1])
-            node, bit = laid.decisions(at)
-            n = len(node)
-            yes, no = np.empty((2, PREDICTORS, n, 8), dtype=np.float32)
-            slot = (laid.before[at] & 255)[:, None] << 8 | node
-            yes[0], no[0] = self.first[slot, bit], self.first[slot, 1 - bit]
-            for k, (sums, place) in enumerate(self.follow, 1):
-                found = sums[place[at]]
-                yes[k], no[k] = found[:, 1:], found[:, :-1] - found[:, 1:]
-            owner = laid.owner[at]
-            bits = 8 * laid.place[at][:, None] + np.arange(9)
-            depth = self.depth[owner][:, None]
-            found = np.where(bits <= depth, self.sums[self.offset[owner][:, None] + np.minimum(bits, depth)], self.c[owner][:, None])
-            yes[-1], no[-1] = found[:, 1:], found[:, :-1] - found[:, 1:]
-            yield start, np.repeat(owner, 8), node.ravel(), bit.ravel(), yes.reshape(PREDICTORS, -1), no.reshape(PREDICTORS, -1)
+            at = np.arange(laid.starts[start], laid.starts[stop - 1] + laid.lengths[stop - 1])
+            yield start, np.repeat(laid.owner[at], 8), *self._bits(at)
+
+    def edges(self, chunk: int = 150_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """As ``chunks``, but each byte of a beginning that words share comes once: for runs of ``shared`` their numbers, then
+        for every bit node, bit and how often the bit and its opposite were seen."""
+        for start in range(0, len(self.shared), chunk // 8):
+            run = slice(start, min(start + chunk // 8, len(self.shared)))
+            yield run, *self._bits(self.shared[run])
+
+    def _bits(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        laid = self.laid
+        node, bit = laid.decisions(at)
+        yes, no = np.empty((2, PREDICTORS, len(node), 8), dtype=np.float32)
+        slot = (laid.before[at] & 255)[:, None] << 8 | node
+        yes[0], no[0] = self.first[slot, bit], self.first[slot, 1 - bit]
+        for k, (sums, place) in enumerate(self.follow, 1):
+            found = sums[place[self.edge[at]]]
+            yes[k], no[k] = found[:, 1:], found[:, :-1] - found[:, 1:]
+        owner = laid.owner[at]
+        bits = 8 * laid.place[at][:, None] + np.arange(9)
+        depth = self.depth[owner][:, None]
+        found = np.where(bits <= depth, self.sums[self.offset[owner][:, None] + np.minimum(bits, depth)], self.c[owner][:, None])
+        yes[-1], no[-1] = found[:, 1:], found[:, :-1] - found[:, 1:]
+        return node.ravel(), bit.ravel(), yes.reshape(PREDICTORS, -1), no.reshape(PREDICTORS, -1)
 
 
 def _stretch(yes: np.ndarray, no: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -439,12 +488,12 @@ class Mixer:
             place = {w: i for i, w in enumerate(distinct)}
             made = self.score([w[:-1] for w in distinct], np.zeros(len(distinct)))
             return np.array([made[place[w + b" "]] for w in words])
-        out = np.zeros(len(words))
-        for _, owner, node, bit, yes, no in Evidence(self.first, words, c, after).chunks():
+        known = Evidence(self.first, words, c, after)
+        cost = np.zeros(len(known.shared))  # of each byte
+        for run, node, bit, yes, no in known.edges():
             z = self.refined(self.mixed(_stretch(yes, no, bit), _gate(yes[-2:] + no[-2:])), node)
-            cost = np.logaddexp(0, np.where(bit == 1, -z, z))
-            out -= np.bincount(owner, weights=cost, minlength=len(words))
-        return out / math.log(10)
+            cost[run] = np.logaddexp(0, np.where(bit == 1, -z, z)).reshape(-1, 8).sum(axis=1, dtype=np.float64)
+        return np.bincount(known.laid.owner, weights=cost[known.edge], minlength=len(words)) / -math.log(10)
 
 
 def learn(counts: np.ndarray, words: list[bytes], weight: np.ndarray, passes: int = 2) -> Mixer:
@@ -480,12 +529,15 @@ def slopes(own: Mixer, chunks) -> tuple[np.ndarray, np.ndarray]:
     for _, bit, yes, no, w in chunks():
         inputs, gate, z = own.unseen(bit, yes, no)
         p = 1 / (1 + np.exp(-z))
-        x = np.vstack([inputs, np.ones(len(z), dtype=np.float32)])
-        for g in np.unique(gate):
-            at = np.flatnonzero(gate == g)
-            xg, wg, pg = x[:, at], w[at], p[at]
-            curve[g] += (xg * (wg * pg * (1 - pg))) @ xg.T
-            slope[g] += xg @ (wg * (bit[at] - pg))
+        order = np.argsort(gate.astype(np.uint8), kind="stable")  # bits of a gate together
+        x = np.vstack([inputs, np.ones(len(z), dtype=np.float32)])[:, order].astype(np.float64)
+        p, w, bit = p[order], w[order], bit[order]
+        bent, off = x * (w * p * (1 - p)), w * (bit - p)
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        for g in np.flatnonzero(np.diff(ends, prepend=0)):
+            at = slice(ends[g - 1] if g else 0, ends[g])
+            curve[g] += bent[:, at] @ x[:, at].T
+            slope[g] += x[:, at] @ off[at]
     return curve, slope
 
 
@@ -514,21 +566,23 @@ def refinement(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
     return np.clip(np.log(p / (1 - p)), -14, 14).astype(np.float32)
 
 
-def _sorted(words: pa.Table) -> tuple[list[bytes], np.ndarray, list[bool]]:
-    own, c, chosen = (words.column(k).to_pylist() for k in ("word", "c", "chosen"))
-    order = sorted(range(len(own)), key=lambda i: own[i] + b" ")
-    return [own[i] for i in order], np.array([c[i] for i in order], dtype=np.int64), [chosen[i] for i in order]
+def _sorted(words: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    words = words.combine_chunks()
+    order = pc.sort_indices(pc.binary_join_element_wise(words.column("word"), pa.scalar(b" "), pa.scalar(b"")))
+    own, c, chosen = (words.column(k).take(order).to_numpy() for k in ("word", "c", "chosen"))
+    return own.tolist(), c.astype(np.int64), chosen.astype(bool)
 
 
 def _training_chunks(first: np.ndarray, words: pa.Table, after: pa.Table, mean: float):
-    """Chunks for ``slopes`` and ``hits_and_tries``: the training words of a part, weighted by their occurrences."""
+    """Chunks for ``slopes`` and ``hits_and_tries``: the beginnings of a part's training words, weighted by how often they occur."""
     own, c, chosen = _sorted(words)
-    made = [i for i, x in enumerate(chosen) if x]
+    made = np.flatnonzero(chosen).tolist()
     known = Evidence(first, own, c, after, made) if made else None
+    times = np.bincount(known.edge, weights=known.c[known.laid.owner]) / mean if known else None
 
     def chunks():
-        for _, owner, node, bit, yes, no in known.chunks(64_000) if known else ():
-            yield node, bit, yes, no, (known.c / mean)[owner]
+        for run, node, bit, yes, no in known.edges(64_000) if known else ():
+            yield node, bit, yes, no, np.repeat(times[run], 8)
 
     return chunks
 
@@ -598,27 +652,42 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
     return counts.select("word")
 
 
-def recent(ids: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def recent(ids: np.ndarray, prob: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each word of a text the share it has among the words before it, and the weight of that share against the
     model's probability ``prob``. The weight adapts online: it is the mean responsibility of the shares so far, renewed
-    at places 1, 2, 4 ... 256 and every 256 further, so it depends on earlier words only."""
-    order = np.argsort(ids, kind="stable")
-    ordered = ids[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    at places 1, 2, 4 ... 256 and every 256 further, so it depends on earlier words only. Several texts may be laid one
+    after another, ``starts`` are their first words."""
+    starts = np.zeros(1, dtype=np.int64) if starts is None else starts
+    sizes = np.diff(np.r_[starts, len(ids)])
+    text = np.repeat(np.arange(len(starts)), sizes)
+    spot = np.arange(len(ids)) - starts[text]
+    order, first = grouped(text, ids)
     before = np.empty(len(ids))
-    before[order] = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
-    share = before / np.maximum(np.arange(len(ids)), 1)
-    weight, held, at = np.zeros(len(ids)), 0.0, 1
-    while at < len(ids):
-        stop = min(2 * at if at < 256 else at + 256, len(ids))
-        now = (START_WEIGHT * START_WORDS + held) / (START_WORDS + at)
-        weight[at:stop] = now
-        own = now * share[at:stop]
-        held += float((own / (own + (1 - now) * prob[at:stop])).sum())
+    before[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
+    share = before / np.maximum(spot, 1)
+    weight, held, at, longest = np.zeros(len(ids)), np.zeros(len(starts)), 1, sizes.max(initial=0)
+    along = np.argsort(spot, kind="stable")
+    until = np.cumsum(np.bincount(spot))  # words at a place or before it
+    while at < longest:
+        stop = min(2 * at if at < 256 else at + 256, longest)
+        some = along[until[at - 1] : until[stop - 1]]
+        whose = text[some]
+        now = ((START_WEIGHT * START_WORDS + held) / (START_WORDS + at))[whose]
+        weight[some] = now
+        own = now * share[some]
+        held += np.bincount(whose, weights=own / (own + (1 - now) * prob[some]), minlength=len(starts))
         at = stop
     return share, weight
 
 
+def grouped(text: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts equal words of a text together, and where each of them starts in it."""
+    key = text * (ids.max(initial=0) + 1) + ids
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    return order, np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+
+
 _DOCS = "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base_score double, score double, n_bytes long, again array<double>"
 
 
@@ -626,48 +695,48 @@ def _score_docs(held):
     """For each document a row with the sums over its frequent words, and a row for every other distinct word;
     ``again`` has the odds (log10) of its share against the weight left to the model, for each later occurrence."""
 
+    kinds = dict(zip([x.split()[0] for x in _DOCS.split(", ")], [
+        pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64()),
+    ]))
+
+    def rows(**columns) -> pa.RecordBatch:
+        """The columns, and nulls in all others."""
+        n = len(columns["row"])
+        made = [pa.nulls(n, kind) if (c := columns.get(k)) is None else c if isinstance(c, pa.Array) else pa.array(c, kind) for k, kind in kinds.items()]
+        return pa.RecordBatch.from_arrays(made, names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, known, base, score, unknown = held.value
         prob = np.append(10.0**score, unknown)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                out: list[list] = [[] for _ in range(11)]
-                for doc_id, text, is_held in zip(some.column("doc_id").to_pylist(), some.column("text"), some.column("held_out").to_pylist()):
-                    data = text.as_py().encode()
-                    words = data.lower().split()
-                    words.append(b"")
-                    found = np.array([place.get(w, -1) for w in words])
-                    rare = np.flatnonzero(found < 0)
-                    rest: dict[bytes, list[int]] = {}
-                    for i in rare.tolist():
-                        rest.setdefault(words[i], []).append(i)
-                    ids = found.copy()
-                    for k, places in enumerate(rest.values()):
-                        ids[places] = -2 - k
-                    share, weight = recent(ids, prob[found])
-                    left = np.log10(1 - weight)
-                    with np.errstate(divide="ignore"):
-                        odds = np.log10(weight * share) - left
-                    frequent = found >= 0
-                    found = found[frequent]
-                    gained = left.sum() + np.logaddexp(0, (odds[frequent] - score[found]) * math.log(10)).sum() / math.log(10)
-                    line = (
-                        row, doc_id, is_held, None, None, len(words), int(known[found].sum()), float(base[found].sum()),
-                        float(score[found].sum() + gained), len(data), None,
-                    )
-                    for column, x in zip(out, line):
-                        column.append(x)
-                    n = len(rest)
-                    for column, x in zip(out, (row, *[None] * 10)):
-                        column.extend([x] * n)
-                    if n:
-                        out[3][-n:], out[4][-n:] = list(rest), [len(places) for places in rest.values()]
-                        out[10][-n:] = [odds[places[1:]].tolist() for places in rest.values()]
-                    row += 1
-                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in _DOCS.split(", ")])
+            for some in text_slices(batch):
+                text, code, distinct = split_texts(some.column("text"))
+                n = some.num_rows
+                hot = np.array([place.get(w, -1) for w in distinct.to_numpy(zero_copy_only=False).tolist()])
+                found, sizes = hot[code], np.bincount(text, minlength=n)
+                share, weight = recent(code, prob[found], np.cumsum(sizes) - sizes)
+                left = np.log10(1 - weight)
+                with np.errstate(divide="ignore"):
+                    odds = np.log10(weight * share) - left
+                frequent = found >= 0
+                whose, found = text[frequent], found[frequent]
+                gained = np.logaddexp(0, (odds[frequent] - score[found]) * math.log(10)) / math.log(10)
+                total = lambda whose, values: np.bincount(whose, weights=values, minlength=n)
+                yield rows(
+                    row=row + np.arange(n), doc_id=some.column("doc_id"), held_out=some.column("held_out"), n_tokens=sizes,
+                    n_known=total(whose, known[found]).astype(np.int64), base_score=total(whose, base[found]),
+                    score=total(whose, score[found] + gained) + total(text, left), n_bytes=pc.binary_length(some.column("text")).cast(pa.int64()),
+                )
+                rare = np.flatnonzero(~frequent)
+                order, first = grouped(text[rare], code[rare])
+                order = rare[order]
+                times = np.diff(np.r_[first, len(order)])
+                later = np.ones(len(order), dtype=bool)
+                later[first] = False
+                again = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(times - 1)], pa.int32()), pa.array(odds[order[later]]))
+                yield rows(row=row + text[order[first]], word=distinct.take(pa.array(code[order[first]])), times=times, again=again)
+                row += n
 
     return run
 
