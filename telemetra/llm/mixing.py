@@ -365,9 +365,9 @@ class Evidence:
             self.depth[at] = np.maximum(self.depth[at], 8 * len(prefix) + 8)
         self.offset = np.cumsum(self.depth + 1) - self.depth - 1
         self.sums = np.repeat(c, self.depth + 1)
-        low = 0
+        low, at = 0, np.arange(self.size)
         for bits in np.unique(alike[1:-1]).tolist():  # from low to this many bits the same words belong together
-            at = np.flatnonzero(own >= bits)
+            at = at[own[at] >= bits]
             start = alike[at] < bits
             total = np.add.reduceat(c[at], np.flatnonzero(start))[np.cumsum(start) - 1]
             for k in range(low, bits + 1):
@@ -402,8 +402,11 @@ class Evidence:
             keys, place = np.unique(self.laid.bytes_after(order)[self.shared], return_inverse=True)
             sums = np.empty((len(keys), 9), dtype=np.int64)
             for k in range(9):
-                low = keys >> (8 - k) << (8 - k)
-                sums[:, k] = self.upto[np.searchsorted(self.keys, low + (1 << (8 - k)))] - self.upto[np.searchsorted(self.keys, low)]
+                low = keys >> (8 - k)
+                new = np.r_[True, low[1:] != low[:-1]][: len(low)]
+                low = low[new] << (8 - k)
+                found = self.upto[np.searchsorted(self.keys, low + (1 << (8 - k)))] - self.upto[np.searchsorted(self.keys, low)]
+                sums[:, k] = found[np.cumsum(new) - 1]
             self.follow.append((sums, place.astype(np.int32)))
 
     def chunks(self, chunk: int = 150_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -773,7 +776,7 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     sums = materialize(rows.mapInArrow(_score_docs(frequent), _DOCS), "sums")
     scored = scored.join(listed, "word", "left_anti")
     times = F.col("times")
-    repeats = F.expr("aggregate(again, 0D, (a, r) -> a + if(r - s > 15, r - s, log10(1 + pow(10D, r - s))))")
+    repeats = F.expr("if(size(again) = 0, 0D, aggregate(again, 0D, (a, r) -> a + if(r - s > 15, r - s, log10(1 + pow(10D, r - s)))))")
     tail = sums.where("word is not null").select("row", "word", "times", "again").join(scored, "word").select(
         "row", F.when(F.col("c") > 0, times).otherwise(0).alias("n_known"),
         (times * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("base_score"), (times * F.col("s") + repeats).alias("score"),

@@ -245,6 +245,48 @@ def test_every_training_word_is_fitted(spark, monkeypatch):
     parted.unpersist()
 
 
+def test_shared_beginnings_are_worked_once():
+    rng = np.random.default_rng(4)
+    own = sorted({bytes(rng.choice(list(b"abc\xc3"), rng.integers(0, 7)).tolist()) for _ in range(900)} | {b"q" * 70 + b"r" * k for k in range(4)}, key=lambda w: w + b" ")
+    c, first = rng.integers(1, 9, len(own)), rng.integers(0, 50, (mixing.TOTAL, 2))
+    for only in (None, list(range(0, len(own), 3)), [0]):
+        known = mixing.Evidence(first, own, c, None, only)
+        some = own if only is None else [own[i] for i in only]
+        beginnings = {(w + b" ")[: k + 1] for w in some for k in range(len(w) + 1)}
+        assert len(known.shared) == len(beginnings) and len(known.edge) == sum(len(w) + 1 for w in some)
+        once = [np.concatenate(x, axis=-1) for x in list(zip(*known.edges(400)))[1:]]
+        whole = [np.concatenate(x, axis=-1) for x in list(zip(*known.chunks(400)))[2:]]
+        place = (8 * known.edge[:, None] + np.arange(8)).ravel()
+        assert all(np.array_equal(a[..., place], b) for a, b in zip(once, whole))
+    assert len(mixing.Evidence(first, [], []).shared) == 0
+
+
+def test_words_of_texts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    some = [*"aB \t\n\x0b\x0c\r\x1c\x85\u00a0\u00c9\u0130\u2003\u6f22", "Word", "  "]
+    texts = ["", " ", "\n\n", "a", *("".join(rng.choice(some, rng.integers(0, 9))) for _ in range(500))]
+    text, code, distinct = mixing.split_texts(pa.array(texts))
+    words = distinct.to_pylist()
+    assert len(set(words)) == len(words)
+    for i, t in enumerate(texts):
+        assert [words[k] for k in code[text == i]] == [*t.encode().lower().split(), b""]
+
+    batch = pa.record_batch({"text": texts, "held_out": [i % 3 == 0 for i in range(len(texts))]})
+    made = pa.Table.from_batches(mixing._count_words(iter([batch, batch])))
+    n = Counter(w for t in texts for w in [*t.encode().lower().split(), b""])
+    c = Counter(w for i, t in enumerate(texts) if i % 3 for w in [*t.encode().lower().split(), b""])
+    assert {r["word"]: (r["c"], r["n"]) for r in made.to_pylist()} == {w: (2 * c[w], 2 * n[w]) for w in n}
+    assert made.num_rows == len(n)
+
+    prob = rng.random(len(words))[code]  # several texts at once, as each alone
+    share, weight = mixing.recent(code, prob, np.flatnonzero(np.diff(text, prepend=-1)))
+    for i in range(len(texts)):
+        alone = mixing.recent(code[text == i], prob[text == i])
+        assert share[text == i] == pytest.approx(alone[0]) and weight[text == i] == pytest.approx(alone[1])
+
+
 def test_frequent_words(spark):
     counts = spark.range(3000).selectExpr("encode(cast(id as string), 'utf-8') as word", "if(id < 40, 50 + id, if(id < 2500, 3, 1)) as n")
     got = [int(r.word) for r in mixing.frequent_words(counts, 600).collect()]
